@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, sharding
+from . import decontamination, mixing, quality, sharding
 
-MODULES = (mixing, sharding, quality)
+MODULES = (decontamination, mixing, sharding, quality)
 
 
 def queries() -> dict:
