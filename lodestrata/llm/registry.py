@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, quality, sharding
+from . import decontamination, mixing, ngram_join, quality, sharding
 
-MODULES = (decontamination, mixing, sharding, quality)
+MODULES = (decontamination, mixing, ngram_join, sharding, quality)
 
 
 def queries() -> dict:
