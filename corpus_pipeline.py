@@ -1,12 +1,70 @@
-"""A corpus pipeline: five stages, each written as Parquet and read again."""
+"""A corpus pipeline: five stages, each written as Parquet and read again.
+
+Quality filter, one document of each near-duplicate group, benchmark
+decontamination, mixing to target weights, sharding.  Counts as part of
+``lodestrata.llm``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestrata.llm import decontamination, mixing, ngram_join, quality, sharding
+from lodestrata.llm.common import materialize, table
+
+#: Share of a document's words that benchmark passages may cover before it goes.
+MAX_HIT_SHARE = 0.0
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the classifier rejects (score under 0.5)."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"), "quality", held_out=1, modulus=3)
+    return quality.score(docs, model, out="__score").filter(F.col("__score") >= 0.5).select(*docs.columns)
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each group of near-duplicates the document with the smallest id.
+
+    Ids of rows that go are anti-joined; of rows with the same id and text one stays.
+    """
+    found = ngram_join.near_duplicates(docs)
+    gone = materialize(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id"), "gone")
+    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in which an occurrence of a benchmark window was found."""
+    found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    gone = materialize(found.filter(F.col("n_hit") > F.col("n_words") * MAX_HIT_SHARE).select("doc_id"), "hit")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.emit(mixing.mix(mixing.sized(docs)), docs.columns)
+
+
+def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds ``size, shard, slot``; copies of a text lie in one shard, if they are not too many for one."""
+    return sharding.assign(sharding.fingerprints(docs)).select(*docs.columns, "size", "tokens", "shard", "slot")
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+    ("sharding", sharding_stage),
+]
 
-STAGES: list = []
+#: The classifier's fit can't be written as SQL; the tests hold stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
