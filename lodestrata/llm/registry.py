@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, ngram_join, quality, sharding
+from . import chat, decontamination, mixing, ngram_join, quality, sharding, urls
 
-MODULES = (decontamination, mixing, ngram_join, sharding, quality)
+MODULES = (decontamination, chat, urls, mixing, ngram_join, sharding, quality)
 
 
 def queries() -> dict:
