@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, mixing, ngram_join, quality, sharding, urls
+from . import chat, decontamination, mixing, ngram_join, pii, quality, sharding, urls
 
-MODULES = (decontamination, chat, urls, mixing, ngram_join, sharding, quality)
+MODULES = (decontamination, chat, urls, pii, mixing, ngram_join, sharding, quality)
 
 
 def queries() -> dict:
