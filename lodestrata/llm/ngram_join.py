@@ -1,7 +1,7 @@
 """Jaccard self-join of documents on word n-grams, by vertical partitioning.
 
-All n-grams have one global order: those with few documents first (in the order
-of their 64-bit hashes), those found in many (``HEAVY`` or more) last.  Documents
+All n-grams have one global order: those that are rare in the corpus first (in the
+order of their 64-bit hashes), those found in several documents last.  Documents
 with equal sets form a class, and classes are joined.
 
 Candidates share an n-gram among the first ``|S| - ceil(0.8 |S|) + 1`` of each.
@@ -26,16 +26,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, table
+from .common import map_arrow, materialize, release, table
 from .components import connected_components
 
 N = 5
 PERCENT = 80
 FRAGMENTS = 4
-#: An n-gram in so many documents goes last in the order; at most so many are kept in mind.
-HEAVY, MAX_HEAVY = 64, 1 << 20
-#: Bits of the filter by which the segments' pass skips texts that are no candidates.
+#: Bits of a table of hashes; its size doesn't depend on the input's.  One marks the
+#: frequent n-grams, another the texts that are no candidates and needn't be cut.
 FILTER_BITS = 1 << 27
+#: About so many n-grams are marked as frequent; which ones depends on their counts.
+MARKED = FILTER_BITS // 8
 
 
 class _WordHashes(dict):
@@ -82,10 +83,32 @@ def _bytes_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("doc_id"), F.col(text).cast("binary").alias("__bytes"))
 
 
-def heavy_ngrams(docs: DataFrame, n: int, percent: int) -> np.ndarray:
-    """N-grams that many documents have near the start of the order of hashes.
+def bit_table(ids: DataFrame, column: str) -> np.ndarray:
+    """``FILTER_BITS`` bits, set at the places of a column's values modulo that many."""
+    place = F.pmod(F.col(column), F.lit(FILTER_BITS)) + 1
+    rows = (
+        ids.select(place.alias("p"))
+        .groupBy(F.bitmap_bucket_number("p").alias("k"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    )
+    got = rows.toArrow()
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for k, bits in zip(got.column("k").to_pylist(), got.column("bits").to_pylist(), strict=True):
+        out[(k - 1) * 4096 : k * 4096] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def is_set(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    place = (values & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+    return ((table[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)
 
-    It only orders n-grams; what is missed costs time and no links.  Counts are over all documents.
+
+def frequent_ngrams(docs: DataFrame, n: int, percent: int) -> np.ndarray:
+    """Bit table of n-grams that several documents have near the start of the order of hashes.
+
+    Counts are over all documents.  The least count that marks an n-gram is the
+    smallest power of two with at most ``MARKED`` n-grams.  The table only
+    orders n-grams: what shares a bit by chance, or is missed, costs time and no links.
     """
 
     def early(t: pa.Table) -> pa.Table:
@@ -93,21 +116,23 @@ def heavy_ngrams(docs: DataFrame, n: int, percent: int) -> np.ndarray:
         sets = [ngram_hashes(b, cache, n) for b in t.column("__bytes").to_pylist()]
         return pa.table({"h": _lists([s[: prefix_length(len(s), percent) * 3 // 2] for s in sets])})
 
-    counts = map_arrow(docs.select("__bytes"), early, "h array<bigint>").select(F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c"))
-    top = counts.filter(F.col("c") >= HEAVY).orderBy(F.col("c").desc(), "h").limit(MAX_HEAVY).select("h").toArrow()
-    return np.sort(top.column("h").to_numpy().view(np.uint64))
+    hashes = map_arrow(docs.select("__bytes"), early, "h array<bigint>").select(F.explode("h").alias("h"))
+    counts = materialize(hashes.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "counts")
+    levels = {r[0]: r[1] for r in counts.groupBy(F.floor(F.log2("c")).cast("int").alias("l")).count().collect()}
+    least = max(levels, default=1)
+    while least > 1 and sum(v for k, v in levels.items() if k >= least - 1) <= MARKED:
+        least -= 1
+    return bit_table(counts.filter(F.col("c") >= (1 << least)), "h")
 
 
-def ordered(h: np.ndarray, heavy: np.ndarray) -> np.ndarray:
-    if not len(heavy) or not len(h):
-        return h
-    is_heavy = heavy[np.minimum(np.searchsorted(heavy, h), len(heavy) - 1)] == h
-    return np.concatenate([h[~is_heavy], h[is_heavy]])
+def ordered(h: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    last = is_set(frequent, h)
+    return np.concatenate([h[~last], h[last]])
 
 
-def n_gram_sets(docs: DataFrame, heavy: np.ndarray, n: int, percent: int) -> DataFrame:
+def n_gram_sets(docs: DataFrame, frequent: np.ndarray, n: int, percent: int) -> DataFrame:
     """``doc_id, n, key`` (128-bit hash of the set; null if empty) and ``prefix``."""
-    sent = docs.sparkSession.sparkContext.broadcast(heavy)
+    sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def sets(t: pa.Table) -> pa.Table:
         cache = _WordHashes()
@@ -164,7 +189,7 @@ def buckets(classes: DataFrame, percent: int) -> DataFrame:
             mixed = rep.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             for name, by in (("leader1", rep), ("leader2", mixed)):
                 at = np.lexsort((by, run))[starts][run]
-                ok = (rep[at] != rep) & (100 * np.minimum(n, n[at]) >= percent * np.maximum(n, n[at]))
+                ok = (rep[at] != rep) & _bound_holds(n, pos, n[at], pos[at], percent)
                 out[name] = pa.array(rep[at], pa.int64(), mask=~ok)
             yield pa.RecordBatch.from_pydict({c: pa.array(v) if not isinstance(v, pa.Array) else v for c, v in out.items()})
 
@@ -209,34 +234,17 @@ def open_pairs(members: DataFrame, percent: int, chunk: int = 1 << 20) -> DataFr
     return dealt.mapInArrow(scan, "a bigint, na bigint, b bigint, nb bigint").distinct()
 
 
-def _filter_of(ids: DataFrame, column: str) -> np.ndarray:
-    """Bit table of the hashes of ids: ``FILTER_BITS`` bits however many there are."""
-    place = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)) + 1
-    rows = (
-        ids.select(place.alias("p"))
-        .groupBy(F.bitmap_bucket_number("p").alias("k"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    )
-    got = rows.toArrow()
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for k, bits in zip(got.column("k").to_pylist(), got.column("bits").to_pylist(), strict=True):
-        out[(k - 1) * 4096 : k * 4096] = np.frombuffer(bits, np.uint8)
-    return out
-
-
 def segments(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
-    """``rep, fragment, segment`` of each class that is in a bucket.
+    """``rep, fragment, segment`` of each class of ``members`` (column ``rep``).
 
     Texts are read again; a filter of bounded size skips most that aren't
     asked for, and the join drops what the filter lets through by chance.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(_filter_of(members, "rep"))
+    sent = docs.sparkSession.sparkContext.broadcast(bit_table(members.select(F.xxhash64("rep").alias("h")), "h"))
     bits = FRAGMENTS.bit_length() - 1
 
     def cut(t: pa.Table) -> pa.Table | None:
-        place = t.column("__place").to_numpy()
-        there = (sent.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1
-        t = t.filter(pa.array(there.astype(bool)))
+        t = t.filter(pa.array(is_set(sent.value, t.column("__hash").to_numpy().view(np.uint64))))
         if not t.num_rows:
             return None
         cache, ids, parts = _WordHashes(), [], []
@@ -247,10 +255,10 @@ def segments(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
         return pa.table({"rep": np.repeat(np.array(ids, np.int64), FRAGMENTS), "fragment": np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(ids)), "segment": _lists(parts)})
 
     found = map_arrow(
-        docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("__place"), "__bytes"),
+        docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("doc_id").alias("__hash"), "__bytes"),
         cut, "rep bigint, fragment int, segment array<bigint>",
     )
-    return found.join(members.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep", "fragment"])
+    return found.join(members.select("rep"), "rep", "left_semi").dropDuplicates(["rep", "fragment"])
 
 
 def verified(pairs: DataFrame, segs: DataFrame, percent: int) -> DataFrame:
@@ -265,6 +273,16 @@ def verified(pairs: DataFrame, segs: DataFrame, percent: int) -> DataFrame:
     return both.filter(F.col("o") * 100 >= (F.col("na") + F.col("nb") - F.col("o")) * percent).select("a", "b")
 
 
+def linked(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Those of the written ``pairs`` that link, written."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    segs = materialize(segments(docs, asked, n), "segments")
+    release(docs.sparkSession)
+    out = materialize(verified(pairs, segs, percent), "links")
+    release(docs.sparkSession)
+    return out
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
     """``key, n_shingles, component_id`` for each row of ``docs``.
 
@@ -274,33 +292,35 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     Null, empty and blank texts have empty sets and stand alone.  Equal rows
     give equal rows.  Sets are compared by 64-bit hashes.
     """
+    spark = docs.sparkSession
     source = _bytes_of(docs, key, text)
-    heavy = heavy_ngrams(source, n, percent)
-    sets = materialize(n_gram_sets(source, heavy, n, percent), "sets")
+    frequent = frequent_ngrams(source, n, percent)
+    sets = materialize(n_gram_sets(source, frequent, n, percent), "sets")
     classes = (
         sets.filter(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     )
+    release(spark)
     members = materialize(buckets(classes, percent), "members")
-    segs = materialize(segments(source, members, n), "segments")
-    stars = None
-    for leader in ("leader1", "leader2"):
-        some = members.filter(F.col(leader).isNotNull()).select(F.col("rep").alias("x"), F.col(leader).alias("y")).distinct()
-        stars = some if stars is None else stars.unionByName(some)
-    size = members.groupBy("rep").agg(F.first("n").alias("n"))
-    stars = (
-        stars.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        .join(size.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a")
-        .join(size.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b")
-    )
-    links = materialize(verified(stars, segs, percent), "links")
+    release(spark)
+    leaders = members.select("rep", "n", F.explode(F.array("leader1", "leader2")).alias("leader")).filter(F.col("leader").isNotNull()).distinct()
+    size = members.groupBy(F.col("rep").alias("leader")).agg(F.first("n").alias("nl"))
+    x, y = F.struct("rep", "n"), F.struct(F.col("leader").alias("rep"), F.col("nl").alias("n"))
+    stars = materialize(
+        leaders.join(size, "leader").select(F.least(x, y).alias("p"), F.greatest(x, y).alias("q"))
+        .select(F.col("p.rep").alias("a"), F.col("p.n").alias("na"), F.col("q.rep").alias("b"), F.col("q.n").alias("nb")).distinct(),
+        "stars",
+    )
+    links = linked(source, stars, n, percent)
     comps = connected_components(links)
     still = (
         members.drop("leader1", "leader2").join(comps, F.col("rep") == F.col("node"), "left")
         .withColumn("comp", F.coalesce("component", "rep"))
     )
-    more = materialize(verified(open_pairs(still, percent), segs, percent), "more")
-    comps = connected_components(links.unionByName(more))
+    more = materialize(open_pairs(still, percent), "open")
+    release(spark)
+    if not more.isEmpty():
+        comps = connected_components(links.unionByName(linked(source, more, n, percent)))
     by_key = (
         sets.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("rep"))
         .join(comps, F.col("rep") == F.col("node"), "left")
