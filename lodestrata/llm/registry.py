@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ann, chat, decontamination, mixing, ngram_join, pii, quality, sharding, urls
+from . import ann, chat, decontamination, mixing, ngram_join, pii, quality, sharding, toxicity, urls
 
-MODULES = (decontamination, chat, urls, pii, ann, mixing, ngram_join, sharding, quality)
+MODULES = (decontamination, chat, urls, pii, ann, toxicity, mixing, ngram_join, sharding, quality)
 
 
 def queries() -> dict:
