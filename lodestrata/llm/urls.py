@@ -29,6 +29,8 @@ BUCKETS = 1 << 16
 STRENGTH = 2.0
 FOLDS = 5
 BINS_PER_UNIT, LIMIT = 50, 20
+#: Bits of each of the two counts that share a number.
+HALF = 31
 
 
 def host(url: Column) -> Column:
@@ -80,22 +82,24 @@ class Model:
         """Mean log likelihood ratio of a character; above 0 the model of accepted URLs fits better."""
         if not all(self.totals):
             return F.lit(0.0)
-        tables = [F.from_json(F.lit(json.dumps(x)), "array<int>") for x in (self.accepted, self.rejected)]
-        zero = F.struct(F.lit(0.0).alias("s"), tables[0].alias("a"), tables[1].alias("r"), F.array().cast("array<int>").alias("last"))
+        packed = [(a << HALF) | r for a, r in zip(self.accepted, self.rejected, strict=True)]
+        counts = F.from_json(F.lit(json.dumps(packed)), "array<bigint>")  # folded to a literal
+        found = F.transform(_places(_chars(url)), lambda here: F.transform(here, lambda b: F.get(counts, b)))
+        whole = F.lit((self.totals[0] << HALF) | self.totals[1])
 
         def step(acc: Column, here: Column) -> Column:
             logs = []
-            for side, total in zip("ar", self.totals, strict=True):
+            for side in (lambda v: F.shiftright(v, HALF), lambda v: v.bitwiseAND(F.lit((1 << HALF) - 1))):
                 p = F.lit(1.0 / 256)
                 for k in range(ORDER + 1):
-                    run = F.coalesce(F.get(acc[side], F.get(here, F.lit(k))), F.lit(0))
-                    context = F.coalesce(F.get(acc[side], F.get(acc["last"], F.lit(k - 1))), F.lit(0)) if k else F.lit(total)
+                    run = F.coalesce(side(F.get(here, F.lit(k))), F.lit(0))
+                    context = F.coalesce(side(F.get(acc["last"], F.lit(k - 1))), F.lit(0)) if k else side(whole)
                     p = (F.least(run, context) + p * STRENGTH) / (context + STRENGTH)
                 logs.append(F.log(p))
-            return F.struct((acc["s"] + logs[0] - logs[1]).alias("s"), acc["a"].alias("a"), acc["r"].alias("r"), here.alias("last"))
+            return F.struct((acc["s"] + logs[0] - logs[1]).alias("s"), here.alias("last"))
 
-        chars = _chars(url)
-        return F.aggregate(_places(chars), zero, step, lambda acc: acc["s"]) / F.size(chars)
+        zero = F.struct(F.lit(0.0).alias("s"), F.array().cast("array<bigint>").alias("last"))
+        return F.aggregate(found, zero, step, lambda acc: acc["s"]) / F.size(found)
 
 
 def fit(labelled: DataFrame) -> Model:
