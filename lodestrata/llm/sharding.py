@@ -4,16 +4,17 @@ Documents with equal texts form a group.  Groups are put into bundles by hash,
 a number that depends on the number of shards alone, and the bundles' vectors
 (bytes, tokens, rows) are packed on the driver: the largest first, each into
 the shard where the dot product of its vector with the residual capacity is
-highest.  A group that outweighs a bundle many times is cut into pieces by the
-hash of ``doc_id``, and each piece is a bundle; there are at most
-``shards * BUNDLES_PER_SHARD`` such groups, as each has more than that share of
-the bytes.  So what reaches the driver is bounded by the number of shards.
+highest.  A group that outweighs a bundle is cut into pieces by the hash of
+``doc_id``, each a bundle, so that no task has the whole of it; its pieces go to
+one shard, unless it outweighs ``WHOLE`` of a shard: then they go in lots of
+that weight.  At most ``shards * BUNDLES_PER_SHARD`` groups outweigh a bundle,
+so what reaches the driver is bounded by the number of shards.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, table, word_count
@@ -21,6 +22,12 @@ from .common import materialize, table, word_count
 SHARDS = 40
 BUNDLES_PER_SHARD = 256
 OVERHEAD = 16
+#: The share of a shard up to which a group stays in one shard.
+WHOLE = 1 / 2
+#: How much fuller than the emptiest, as a share of a shard, a shard may be to be chosen.
+SLACK = 0.002
+#: Pieces of one group at most, so that a bundle's number tells group and piece.
+PIECES = 1 << 16
 
 
 def pack(vectors: np.ndarray, shards: int) -> np.ndarray:
@@ -30,9 +37,9 @@ def pack(vectors: np.ndarray, shards: int) -> np.ndarray:
     residual = np.ones((shards, vectors.shape[1]))
     out = np.zeros(len(vectors), dtype=np.int64)
     for i in np.lexsort((np.arange(len(unit)), -unit.max(axis=1))) if len(unit) else []:
-        # A shard over capacity in one dimension must not gain from what is left in another.
-        score = np.where((residual >= unit[i]).all(axis=1), residual @ unit[i], (residual - unit[i]).min(axis=1) - 1e6)
-        out[i] = int(np.argmax(score))
+        # Bytes stay near equal whatever the rest: only shards about as empty as the emptiest come into question.
+        room = residual[:, 0] >= residual[:, 0].max() - SLACK
+        out[i] = int(np.argmax(np.where(room, residual @ unit[i], -np.inf)))
         residual[out[i]] -= unit[i]
     return out
 
@@ -49,6 +56,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     )
 
 
+def _group_number() -> Column:
+    """From 1 on, below 2 ** 40."""
+    return F.pmod(F.xxhash64("__text_key", F.lit(3)), F.lit((1 << 40) - 1)) + 1
+
+
 def assign(docs: DataFrame, shards: int = SHARDS, narrow: DataFrame | None = None) -> DataFrame:
     """Adds ``shard`` and ``slot`` to rows that have ``fingerprints``' columns.
 
@@ -61,31 +73,39 @@ def assign(docs: DataFrame, shards: int = SHARDS, narrow: DataFrame | None = Non
     """
     spark = docs.sparkSession
     bundles = shards * BUNDLES_PER_SHARD
+    if bundles > PIECES:
+        raise ValueError(f"at most {PIECES // BUNDLES_PER_SHARD} shards")
     if narrow is None:
         narrow = materialize(docs.select("doc_id", "size", "tokens", "__text_key"), "fingerprints")
     total = narrow.agg(F.sum("size")).first()[0] or 0
     limit = max(1, total // bundles)
     groups = narrow.groupBy("__text_key").agg(F.sum("size").alias("__bytes"), F.count(F.lit(1)).alias("__n"))
     heavy = [
-        (bytes(r[0]), int(min(-(-2 * r[1] // limit), r[2])))
-        for r in groups.filter((F.col("__bytes") > limit) & (F.col("__n") > 1)).collect()
+        (bytes(r[0]), int(min(-(-2 * r[1] // limit), r[2], PIECES)), r[3], r[1])
+        for r in groups.filter((F.col("__bytes") > limit) & (F.col("__n") > 1)).select("*", _group_number()).collect()
     ]
-    pieces = spark.createDataFrame(heavy, "__heavy_key binary, __pieces int")
+    pieces = spark.createDataFrame([h[:2] for h in heavy], "__heavy_key binary, __pieces int")
+    # Pieces of a group that are placed as one.
+    lots = {h[2]: max(1, int(h[1] / max(1.0, h[3] * shards / max(1, total) / WHOLE))) for h in heavy}
 
     def keyed(df: DataFrame) -> DataFrame:
-        h = F.xxhash64("__text_key")
         piece = F.pmod(F.xxhash64("doc_id"), F.col("__pieces"))
         return (
             df.join(F.broadcast(pieces), F.col("__text_key") == F.col("__heavy_key"), "left")
-            .withColumn("__bundle", F.when(F.col("__pieces").isNull(), F.pmod(h, F.lit(bundles))).otherwise(F.pmod(h, F.lit(1 << 40)) * 65536 + 65536 + piece))
+            .withColumn("__bundle", F.when(F.col("__pieces").isNull(), F.pmod(F.xxhash64("__text_key"), F.lit(bundles))).otherwise(_group_number() * PIECES + piece))
             .drop("__heavy_key", "__pieces")
         )
 
     sums = (
         keyed(narrow).groupBy("__bundle").agg(F.sum("size"), F.sum("tokens"), F.count(F.lit(1))).orderBy("__bundle").collect()
     )
-    vectors = np.array([[r[1], r[2], r[3]] for r in sums], dtype=float).reshape(-1, 3)
-    chosen = pack(vectors, shards)
+    units = [r[0] if r[0] < PIECES else (r[0] // PIECES, r[0] % PIECES // lots[r[0] // PIECES]) for r in sums]
+    number = {u: i for i, u in enumerate(dict.fromkeys(units))}
+    vectors = np.zeros((len(number), 3))
+    for u, r in zip(units, sums, strict=True):
+        vectors[number[u]] += r[1:4]
+    placed = pack(vectors, shards)
+    chosen = [placed[number[u]] for u in units]
     start, filled = [], [0] * shards
     for r, s in zip(sums, chosen, strict=True):
         start.append(filled[s])
