@@ -10,10 +10,10 @@ one segment a fragment, the overlap of a pair is counted in each fragment by
 itself, and the partial counts are summed for each pair.
 
 What is asked for are links up to connection, so a bucket of m classes isn't
-expanded into its pairs: each class is first compared with two leaders of
-the bucket.  Then only pairs of a bucket whose classes are still in different
-components are listed, where sizes and places in the order allow the
-overlap; all of these are verified.  No bucket is cut off.
+expanded into its pairs: in each of a few rounds its classes are compared with
+one leader.  Then only pairs of a bucket whose classes are still in different
+components are listed, where sizes, places in the order and the sets' sizes in
+ranges of hashes allow the overlap; all of these are verified.  No bucket is cut off.
 """
 
 from __future__ import annotations
@@ -32,6 +32,10 @@ from .components import connected_components
 N = 5
 PERCENT = 80
 FRAGMENTS = 4
+#: Ranges of hashes for which a set's sizes are kept: the sum of the lesser sizes bounds an overlap.
+PARTS = 128
+#: Rounds in which classes are compared with one leader of each bucket.
+ROUNDS = 3
 #: Bits of a table of hashes; its size doesn't depend on the input's.  One marks the
 #: frequent n-grams, another the texts that are no candidates and needn't be cut.
 FILTER_BITS = 1 << 27
@@ -114,7 +118,7 @@ def frequent_ngrams(docs: DataFrame, n: int, percent: int) -> np.ndarray:
     def early(t: pa.Table) -> pa.Table:
         cache = _WordHashes()
         sets = [ngram_hashes(b, cache, n) for b in t.column("__bytes").to_pylist()]
-        return pa.table({"h": _lists([s[: prefix_length(len(s), percent) * 3 // 2] for s in sets])})
+        return pa.table({"h": _lists([s[: prefix_length(len(s), percent) * 5 // 4] for s in sets])})
 
     hashes = map_arrow(docs.select("__bytes"), early, "h array<bigint>").select(F.explode("h").alias("h"))
     counts = materialize(hashes.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "counts")
@@ -130,6 +134,12 @@ def ordered(h: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate([h[~last], h[last]])
 
 
+def _sizes(h: np.ndarray) -> bytes | None:
+    """Members of a set in each of ``PARTS`` ranges of hashes, a byte each; None if one has over 255."""
+    counts = np.bincount((h >> np.uint64(64 - PARTS.bit_length() + 1)).astype(np.int64), minlength=PARTS)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
 def n_gram_sets(docs: DataFrame, frequent: np.ndarray, n: int, percent: int) -> DataFrame:
     """``doc_id, n, key`` (128-bit hash of the set; null if empty) and ``prefix``."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
@@ -142,9 +152,10 @@ def n_gram_sets(docs: DataFrame, frequent: np.ndarray, n: int, percent: int) ->
             "n": pa.array([len(s) for s in found], pa.int64()),
             "key": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in found], pa.binary()),
             "prefix": _lists([ordered(s, sent.value)[: prefix_length(len(s), percent)] for s in found]),
+            "sizes": pa.array([_sizes(s) for s in found], pa.binary()),
         })
 
-    return map_arrow(docs, sets, "doc_id bigint, n bigint, key binary, prefix array<bigint>")
+    return map_arrow(docs, sets, "doc_id bigint, n bigint, key binary, prefix array<bigint>, sizes binary")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
@@ -169,48 +180,79 @@ def _bound_holds(n1: np.ndarray, p1: np.ndarray, n2: np.ndarray, p2: np.ndarray,
     return sizes & (100 * most >= percent * (n1 + n2 - most))
 
 
-def buckets(classes: DataFrame, percent: int) -> DataFrame:
-    """``h, rep, n, pos`` of n-grams that two or more classes have in their prefixes, with up to two leaders."""
+def buckets(classes: DataFrame) -> DataFrame:
+    """``h, rep, n, pos`` of n-grams that two or more classes have in their prefixes."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _runs(batches):
-            h = r["h"]
-            new = np.concatenate([[True], h[1:] != h[:-1]])
-            starts = np.flatnonzero(new)
-            sizes = np.diff(np.concatenate([starts, [len(h)]]))
+            new = np.concatenate([[True], r["h"][1:] != r["h"][:-1]])
+            sizes = np.diff(np.concatenate([np.flatnonzero(new), [len(new)]]))
             keep = np.repeat(sizes > 1, sizes)
-            if not keep.any():
+            if keep.any():
+                yield pa.RecordBatch.from_pydict({c: pa.array(r[c][keep]) for c in ("h", "rep", "n", "pos")})
+
+    rows = classes.select("rep", "n", F.posexplode("prefix").alias("pos", "h")).select("h", "rep", "n", F.col("pos").cast("bigint").alias("pos"))
+    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(scan, "h bigint, rep bigint, n bigint, pos bigint")
+
+
+def _open_buckets(r: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """First and last + 1 row of each bucket whose classes aren't all in one component."""
+    first = np.concatenate([[0], np.flatnonzero(r["h"][1:] != r["h"][:-1]) + 1]).astype(int)
+    last = np.concatenate([first[1:], [len(r["h"])]]).astype(int)
+    still = np.minimum.reduceat(r["comp"], first) != np.maximum.reduceat(r["comp"], first)
+    return first[still], last[still]
+
+
+def leader_pairs(members: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs ``a, na, b, nb`` of each class with one leader of its bucket, if their components differ and a link is possible.
+
+    In the first turn the leader is the class with the smallest id, in the
+    second that with the smallest hash; later each bucket takes another, so
+    that a class meets many leaders.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _runs(batches):
+            first, last = _open_buckets(r)
+            if not len(first):
                 continue
-            h, rep, n, pos = (r[c][keep] for c in ("h", "rep", "n", "pos"))
-            sizes = sizes[sizes > 1]
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            sizes = last - first
+            rows = np.repeat(first - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+            h, rep, n, pos, comp = (r[c][rows] for c in ("h", "rep", "n", "pos", "comp"))
             run = np.repeat(np.arange(len(sizes)), sizes)
-            out = {"h": h, "rep": rep, "n": n, "pos": pos}
-            mixed = rep.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            for name, by in (("leader1", rep), ("leader2", mixed)):
-                at = np.lexsort((by, run))[starts][run]
-                ok = (rep[at] != rep) & _bound_holds(n, pos, n[at], pos[at], percent)
-                out[name] = pa.array(rep[at], pa.int64(), mask=~ok)
-            yield pa.RecordBatch.from_pydict({c: pa.array(v) if not isinstance(v, pa.Array) else v for c, v in out.items()})
+            by = rep
+            if turn:
+                by = (rep.view(np.uint64) + (h.view(np.uint64) if turn > 1 else np.uint64(0)) + np.uint64(turn)) * np.uint64(0x9E3779B97F4A7C15)
+                by ^= by >> np.uint64(29)
+            at = np.lexsort((by, run))[np.concatenate([[0], np.cumsum(sizes)[:-1]])][run]
+            ok = (comp[at] != comp) & _bound_holds(n, pos, n[at], pos[at], percent)
+            i, j = np.flatnonzero(ok), at[ok]
+            low = rep[i] < rep[j]
+            a, b = np.where(low, i, j), np.where(low, j, i)
+            if len(a):
+                pairs = np.unique(np.stack([rep[a], n[a], rep[b], n[b]], axis=1), axis=0)
+                yield pa.RecordBatch.from_pydict({c: pairs[:, k].copy() for k, c in enumerate(("a", "na", "b", "nb"))})
 
-    rows = classes.select("rep", "n", F.posexplode("prefix").alias("pos", "h")).select("h", "rep", "n", F.col("pos").cast("bigint").alias("pos"))
-    dealt = rows.repartition("h").sortWithinPartitions("h")
-    return dealt.mapInArrow(scan, "h bigint, rep bigint, n bigint, pos bigint, leader1 bigint, leader2 bigint")
+    dealt = members.select("h", "rep", "n", "pos", "comp").repartition("h").sortWithinPartitions("h")
+    return dealt.mapInArrow(scan, "a bigint, na bigint, b bigint, nb bigint").distinct()
 
 
 def open_pairs(members: DataFrame, percent: int, chunk: int = 1 << 20) -> DataFrame:
-    """Pairs ``a, na, b, nb`` of a bucket in different components whose bounds allow a link."""
+    """Pairs ``a, na, b, nb`` of a bucket in different components whose bounds allow a link.
+
+    The overlap is at most the sum, over ranges of hashes, of the lesser of both sizes.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _runs(batches):
-            cuts = np.flatnonzero(r["h"][1:] != r["h"][:-1]) + 1
-            first = np.concatenate([[0], cuts]).astype(int)
-            low, high = np.minimum.reduceat(r["comp"], first), np.maximum.reduceat(r["comp"], first)
-            ends = np.concatenate([cuts, [len(r["h"])]]).astype(int)
-            for k in np.flatnonzero(low != high):
-                part = slice(first[k], ends[k])
+            for start, end in zip(*_open_buckets(r), strict=True):
+                part = slice(start, end)
+                blobs = r["sizes"][part]
+                known = np.array([x is not None for x in blobs])
+                sizes = np.frombuffer(b"".join(x or bytes(PARTS) for x in blobs), np.uint8).reshape(-1, PARTS)
                 order = np.lexsort((r["rep"][part], r["n"][part]))
                 rep, n, pos, comp = (r[c][part][order] for c in ("rep", "n", "pos", "comp"))
+                known, sizes = known[order], sizes[order]
                 # Sorted by size: partners of i are those after it, up to the size that still allows a link.
                 upto = np.searchsorted(n, n * 100 // percent, side="right")
                 width = np.maximum(upto - np.arange(len(n)) - 1, 0)
@@ -224,13 +266,17 @@ def open_pairs(members: DataFrame, percent: int, chunk: int = 1 << 20) -> DataFr
                     i, j = i[ok], j[ok]
                     ok = _bound_holds(n[i], pos[i], n[j], pos[j], percent)
                     i, j = i[ok], j[ok]
+                    if len(i):
+                        most = np.concatenate([np.minimum(sizes[i[k : k + 65536]], sizes[j[k : k + 65536]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i), 65536)])
+                        ok = (100 * most >= percent * (n[i] + n[j] - most)) | ~(known[i] & known[j])
+                        i, j = i[ok], j[ok]
                     if len(i):
                         swap = rep[i] > rep[j]
                         a, b = np.where(swap, j, i), np.where(swap, i, j)
                         yield pa.RecordBatch.from_pydict({"a": rep[a], "na": n[a], "b": rep[b], "nb": n[b]})
                     at = to
 
-    dealt = members.select("h", "rep", "n", "pos", "comp").repartition("h").sortWithinPartitions("h")
+    dealt = members.select("h", "rep", "n", "pos", "comp", "sizes").repartition("h").sortWithinPartitions("h")
     return dealt.mapInArrow(scan, "a bigint, na bigint, b bigint, nb bigint").distinct()
 
 
@@ -283,6 +329,13 @@ def linked(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame
     return out
 
 
+def _still_open(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members with their components, of the buckets that still have more than one; written."""
+    now = members.drop("comp").join(comps, F.col("rep") == F.col("node"), "left").select("h", "rep", "n", "pos", F.coalesce("component", "rep").alias("comp"))
+    several = now.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("h")
+    return materialize(now.join(several, "h", "left_semi"), "members")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
     """``key, n_shingles, component_id`` for each row of ``docs``.
 
@@ -298,29 +351,32 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     sets = materialize(n_gram_sets(source, frequent, n, percent), "sets")
     classes = (
         sets.filter(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
-        .groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+        .groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sizes").alias("sizes"))
     )
     release(spark)
-    members = materialize(buckets(classes, percent), "members")
+    members = materialize(buckets(classes), "members").withColumn("comp", F.col("rep"))
     release(spark)
-    leaders = members.select("rep", "n", F.explode(F.array("leader1", "leader2")).alias("leader")).filter(F.col("leader").isNotNull()).distinct()
-    size = members.groupBy(F.col("rep").alias("leader")).agg(F.first("n").alias("nl"))
-    x, y = F.struct("rep", "n"), F.struct(F.col("leader").alias("rep"), F.col("nl").alias("n"))
-    stars = materialize(
-        leaders.join(size, "leader").select(F.least(x, y).alias("p"), F.greatest(x, y).alias("q"))
-        .select(F.col("p.rep").alias("a"), F.col("p.n").alias("na"), F.col("q.rep").alias("b"), F.col("q.n").alias("nb")).distinct(),
-        "stars",
-    )
-    links = linked(source, stars, n, percent)
-    comps = connected_components(links)
-    still = (
-        members.drop("leader1", "leader2").join(comps, F.col("rep") == F.col("node"), "left")
-        .withColumn("comp", F.coalesce("component", "rep"))
-    )
-    more = materialize(open_pairs(still, percent), "open")
+    links = comps = None
+    for turn in range(ROUNDS):
+        pairs = materialize(leader_pairs(members, turn, percent), "pairs")
+        release(spark)
+        if pairs.isEmpty():
+            if turn < 2:
+                continue
+            break
+        found = linked(source, pairs, n, percent)
+        links = found if links is None else links.unionByName(found)
+        comps = connected_components(links)
+        members = _still_open(members, comps)
+        release(spark)
+    with_sizes = members.join(classes.select("rep", "sizes"), "rep")
+    more = materialize(open_pairs(with_sizes, percent), "open")
     release(spark)
     if not more.isEmpty():
-        comps = connected_components(links.unionByName(linked(source, more, n, percent)))
+        found = linked(source, more, n, percent)
+        comps = connected_components(found if links is None else links.unionByName(found))
+    if comps is None:
+        comps = spark.createDataFrame([], "node bigint, component bigint")
     by_key = (
         sets.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("rep"))
         .join(comps, F.col("rep") == F.col("node"), "left")
