@@ -65,8 +65,8 @@ def change_point(df: DataFrame, time: str, value: str, groups: Sequence[str] = (
     n, s = F.count(value).over(upto), F.sum(value).over(upto)
     total_n, total = F.count(value).over(all_), F.sum(value).over(all_)
     gain = s * s / n + F.when(total_n > n, (total - s) * (total - s) / (total_n - n))
-    scored = df.select(*groups, F.lead(time).over(w).alias("change_at"), gain.alias("g"), (s / n).alias("before"), ((total - s) / F.nullif(total_n - n, F.lit(0).cast("bigint"))).alias("after")).filter("g is not null")
-    return scored.groupBy(*groups).agg(F.max_by(F.struct("change_at", "before", "after"), "g").alias("x")).select(*groups, "x.*")
+    scored = df.select(*groups, F.lead(time).over(w).alias("change_at"), gain.alias("__gain"), (s / n).alias("before"), ((total - s) / F.nullif(total_n - n, F.lit(0).cast("bigint"))).alias("after")).filter("__gain is not null")
+    return scored.groupBy(*groups).agg(F.max_by(F.struct("change_at", "before", "after"), "__gain").alias("x")).select(*groups, "x.*")
 
 
 def smooth(df: DataFrame, time: str, value: str, alpha: float, groups: Sequence[str]) -> DataFrame:
