@@ -27,11 +27,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near-duplicates the document with the smallest id.
 
-    Ids of rows that go are anti-joined; of rows with the same id and text one stays.
+    Ids of rows that go are anti-joined.  Of rows with the same id and text one
+    stays; other rows that share an id are documents of their own.
     """
     found = ngram_join.near_duplicates(docs)
     gone = materialize(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id"), "gone")
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

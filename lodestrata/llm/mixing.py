@@ -5,7 +5,8 @@ The documents of a source are put in order (size class, salt, size, hash), the
 expected copies are summed along that order, one random offset is added, and a
 document is emitted once for each integer boundary that its interval crosses.
 As the order runs through the sizes, words come out as near to their target as
-documents do.
+documents do.  A source of few documents may still miss it, so of ``OFFSETS``
+offsets, evenly spaced from a random start, the one whose words come nearest holds.
 
 The prefix sum has two levels.  A block is (source, size class, salt); ranks
 within a block come from a window over that block alone, and the offsets of
@@ -26,6 +27,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MAX_COPIES = 2.0
 SALTS = 256
+OFFSETS = 32
 SIZE_CLASSES_PER_OCTAVE = 16
 
 
@@ -68,6 +70,35 @@ def _block() -> list[Column]:
     return [octave.alias("__class"), F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(SALTS)).cast("int").alias("__salt")]
 
 
+def _placed(docs: DataFrame, offsets: DataFrame) -> DataFrame:
+    """Rows with their rank in their block and the block's numbers."""
+    rank = Window.partitionBy("source", "__class", "__salt").orderBy("size", F.xxhash64("doc_id"), "doc_id")
+    return docs.select("*", *_block()).withColumn("__rank", F.row_number().over(rank)).join(
+        offsets,
+        F.col("source").eqNullSafe(F.col("__s")) & (F.col("__class") == F.col("__c")) & (F.col("__salt") == F.col("__t")),
+    )
+
+
+def _crossed(offset: Column) -> Column:
+    """Integer boundaries that a row's interval of expected copies crosses."""
+    place = (F.col("__before") + F.col("__rank")) * F.col("rate")
+    earlier = (F.col("__before") + F.col("__rank") - 1) * F.col("rate")
+    return F.floor(place + offset) - F.floor(earlier + offset)
+
+
+def _with_best_offset(narrow: DataFrame, offsets: DataFrame) -> DataFrame:
+    shifted = [F.pmod(F.col("__offset") + i / OFFSETS, F.lit(1.0)) for i in range(OFFSETS)]
+    sums = (
+        _placed(narrow, offsets).groupBy("source")
+        .agg(F.first("target").alias("t"), F.first("__offset").alias("__offset"), *[F.sum(_crossed(u) * F.col("size")).alias(f"w{i}") for i, u in enumerate(shifted)])
+    )
+    tried = F.array(*[F.struct(F.abs(F.col(f"w{i}") - F.col("t")).alias("miss"), F.lit(i).alias("i"), u.alias("u")) for i, u in enumerate(shifted)])
+    best = sums.select(F.col("source").alias("__b"), F.array_min(tried)["u"].alias("__u"))
+    return materialize(
+        offsets.join(best, F.col("__s").eqNullSafe(F.col("__b"))).drop("__offset", "__b").withColumnRenamed("__u", "__offset"), "offsets"
+    )
+
+
 def sized(docs: DataFrame) -> DataFrame:
     return docs.withColumn("size", word_count(F.col("text")))
 
@@ -101,16 +132,9 @@ def mix(
         ),
         "blocks",
     )
-    keyed = docs.select("*", *_block())
-    rank = Window.partitionBy("source", "__class", "__salt").orderBy("size", F.xxhash64("doc_id"), "doc_id")
-    ranked = keyed.withColumn("__rank", F.row_number().over(rank))
-    joined = ranked.join(
-        offsets,
-        F.col("source").eqNullSafe(F.col("__s")) & (F.col("__class") == F.col("__c")) & (F.col("__salt") == F.col("__t")),
-    )
-    after = (F.col("__before") + F.col("__rank")) * F.col("rate") + F.col("__offset")
-    earlier = (F.col("__before") + F.col("__rank") - 1) * F.col("rate") + F.col("__offset")
-    copies = F.floor(after) - F.floor(earlier)
+    offsets = _with_best_offset(narrow, offsets)
+    joined = _placed(docs, offsets)
+    copies = _crossed(F.col("__offset"))
     return (
         joined.withColumn("copies", F.least(copies, F.lit(int(-(-cap // 1)))).cast("int"))
         .withColumn("taken", F.col("copies") * F.col("size"))
