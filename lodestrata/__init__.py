@@ -1 +1,11 @@
-"""A PySpark-native analytics engine."""
+"""A PySpark-native analytics engine.
+
+Functions that run in Python workers are pickled by value, so executors need no
+copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import exact_cast, fold
-from ..operators import charts, cleaning, events, graph, monitor, privacy, profile, project, quality, relational, stats, text, timeseries, windows
+from ..operators import charts, cleaning, events, geo, graph, ml, monitor, privacy, profile, project, quality, relational, stats, text, timeseries, windows
 from ..streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -748,3 +748,66 @@ def shortest_paths(orders):
     e = orders.filter("o_orderkey < 600").select((F.col("o_custkey") % 200).alias("src"), F.expr("(o_custkey * 7 + o_orderkey) % 200").alias("dst")).distinct()
     zero = e.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("src"), F.lit(0).cast("bigint").alias("dst"))
     return graph.shortest_paths(e.unionByName(zero), 0)
+
+
+# --- models and geometry
+
+
+@query("SELECT l_orderkey AS k, CASE WHEN ('0x' || substr(md5('split|' || CAST(l_orderkey AS VARCHAR)), 1, 12))::BIGINT / 281474976710656.0 < 0.2 THEN 'test' ELSE 'train' END AS part FROM (SELECT DISTINCT l_orderkey FROM lineitem)", "lineitem")
+def split_by_group(lineitem):
+    return ml.split(lineitem, "l_linenumber", by="l_orderkey", kind="group").select(F.col("l_orderkey").alias("k"), "part").distinct()
+
+
+@query(
+    """WITH c AS (SELECT o_orderstatus = 'F' AS y, o_totalprice > 200000 AS p, count(*) AS n FROM orders GROUP BY 1, 2)
+    SELECT CAST(k AS DOUBLE) AS class, CAST(sum(n) FILTER (y = (k = 1)) AS BIGINT) AS support, sum(n) FILTER (y = (k = 1) AND p = (k = 1)) / CAST(sum(n) FILTER (p = (k = 1)) AS DOUBLE) AS precision, sum(n) FILTER (y = (k = 1) AND p = (k = 1)) / CAST(sum(n) FILTER (y = (k = 1)) AS DOUBLE) AS recall FROM c, (VALUES (0), (1)) t(k) GROUP BY k""",
+    "orders",
+)
+def class_metrics(orders):
+    rows = orders.select((F.col("o_orderstatus") == "F").cast("int").alias("y"), (F.col("o_totalprice") > 200000).cast("int").alias("prediction"))
+    return ml.class_metrics(rows, "y").select("class", "support", "precision", "recall")
+
+
+@query("SELECT event_type AS item, count(*) AS n FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3", "events")
+def popularity(events_):
+    return ml.popularity(events_.withColumnRenamed("event_type", "item"), "item", 3)
+
+
+@query(
+    """WITH p AS (SELECT o_orderkey AS point_id, o_custkey % 100 AS x, o_orderkey % 97 AS y FROM orders), b AS (SELECT s_suppkey AS box_id, s_suppkey % 90 AS x0, s_suppkey % 80 AS y0 FROM supplier)
+    SELECT point_id, box_id FROM p JOIN b ON x >= x0 AND x <= x0 + 6 AND y >= y0 AND y <= y0 + 4""",
+    "orders", "supplier",
+)
+def points_in_boxes(orders, supplier):
+    p = orders.select(F.col("o_orderkey").alias("point_id"), (F.col("o_custkey") % 100).alias("x"), (F.col("o_orderkey") % 97).alias("y"))
+    b = supplier.select(F.col("s_suppkey").alias("box_id"), (F.col("s_suppkey") % 90).alias("x0"), (F.col("s_suppkey") % 80).alias("y0"))
+    return geo.points_in_boxes(p, b.select("*", (F.col("x0") + 6).alias("x1"), (F.col("y0") + 4).alias("y1")), 10.0)
+
+
+@query(
+    """WITH m AS (SELECT avg(n_nationkey) AS m, count(*) AS n FROM nation), z AS (SELECT n_nationkey AS k, n_regionkey AS g, n_nationkey - m AS z FROM nation, m),
+    p AS (SELECT a.z AS zi, b.z AS zj FROM z a JOIN z b ON a.g = b.g AND a.k <> b.k)
+    SELECT round(any_value(n) / CAST((SELECT count(*) FROM p) AS DOUBLE) * (SELECT sum(zi * zj) FROM p) / (SELECT sum(z * z) FROM z), 9) AS moran_i FROM m""",
+    "nation",
+)
+def moran(nation):
+    a, b = nation.select(F.col("n_nationkey").alias("src"), "n_regionkey"), nation.select(F.col("n_nationkey").alias("dst"), "n_regionkey")
+    near = a.join(b, "n_regionkey").filter("src <> dst").select("src", "dst", F.lit(1.0).alias("w"))
+    return geo.moran(nation, near, "n_nationkey", "n_nationkey").select(F.round("moran_i", 9).alias("moran_i"))
+
+
+@query(None, "customer")
+def kmeans_clusters(customer):
+    return ml.cluster(customer.select("c_custkey", "c_acctbal", F.col("c_nationkey").cast("double").alias("n")), ["c_acctbal", "n"], k=4).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(None, "lineitem")
+def linear_model(lineitem):
+    rows = ml.split(lineitem.select("l_orderkey", "l_quantity", "l_discount", "l_extendedprice"), "l_orderkey")
+    model = ml.fit(rows.filter("part = 'train'"), "l_extendedprice", ["l_quantity", "l_discount"], family="linear", task="regression")
+    return ml.regression_metrics(ml.predict(model, rows.filter("part = 'test'")), "l_extendedprice")
+
+
+@query(None, "supplier")
+def dbscan_clusters(supplier):
+    return ml.dbscan(supplier.select("s_suppkey", F.col("s_nationkey").cast("double").alias("x"), (F.col("s_acctbal") / 500).alias("y")), "s_suppkey", "x", "y", 1.5, 3)
