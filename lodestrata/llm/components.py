@@ -12,8 +12,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """``node, component`` (the smallest node) for each node that has an edge.
 
     Edges never come to the driver; each round is written to the shared folder.
-    It ends when every component is a star, that is when no node is at both
-    ends of edges; the number of rounds grows with the logarithm of the largest
+    It ends when every component is a star, that is when no node has two lower
+    neighbours or is at both ends of edges; the number of rounds grows with the logarithm of the largest
     component.  A node's neighbours aren't gathered: their minimum is an
     aggregate, which is joined back.
     """
@@ -31,7 +31,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             .select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).filter("u <> v").distinct()
         )
         e = materialize(small, "small")
-        if e.join(e.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
+        twice = e.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("u")
+        inner = e.join(e.select(F.col("v").alias("u")), "u", "left_semi").select("u")
+        if twice.unionByName(inner).isEmpty():
             break
     roots = e.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
