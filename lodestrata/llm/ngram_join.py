@@ -10,8 +10,8 @@ one segment a fragment, the overlap of a pair is counted in each fragment by
 itself, and the partial counts are summed for each pair.
 
 What is asked for are links up to connection, so a bucket of m classes isn't
-expanded into its pairs: in each of a few rounds its classes are compared with
-one leader.  Then only pairs of a bucket whose classes are still in different
+expanded into its pairs: its classes are first compared with two leaders of the
+bucket.  Then only pairs of a bucket whose classes are still in different
 components are listed, where sizes, places in the order and the sets' sizes in
 ranges of hashes allow the overlap; all of these are verified.  No bucket is cut off.
 """
@@ -34,8 +34,6 @@ PERCENT = 80
 FRAGMENTS = 4
 #: Ranges of hashes for which a set's sizes are kept: the sum of the lesser sizes bounds an overlap.
 PARTS = 128
-#: Rounds in which classes are compared with one leader of each bucket.
-ROUNDS = 3
 #: Bits of a table of hashes; its size doesn't depend on the input's.  One marks the
 #: frequent n-grams, another the texts that are no candidates and needn't be cut.
 FILTER_BITS = 1 << 27
@@ -203,37 +201,31 @@ def _open_buckets(r: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return first[still], last[still]
 
 
-def leader_pairs(members: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Pairs ``a, na, b, nb`` of each class with one leader of its bucket, if their components differ and a link is possible.
+def leader_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, na, b, nb`` of each class with two leaders of its bucket, where bounds allow a link.
 
-    In the first turn the leader is the class with the smallest id, in the
-    second that with the smallest hash; later each bucket takes another, so
-    that a class meets many leaders.
+    The leaders are the classes with the smallest id and with the smallest hash,
+    so that buckets of like classes mostly have the same leaders.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _runs(batches):
-            first, last = _open_buckets(r)
-            if not len(first):
-                continue
-            sizes = last - first
-            rows = np.repeat(first - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-            h, rep, n, pos, comp = (r[c][rows] for c in ("h", "rep", "n", "pos", "comp"))
-            run = np.repeat(np.arange(len(sizes)), sizes)
-            by = rep
-            if turn:
-                by = (rep.view(np.uint64) + (h.view(np.uint64) if turn > 1 else np.uint64(0)) + np.uint64(turn)) * np.uint64(0x9E3779B97F4A7C15)
-                by ^= by >> np.uint64(29)
-            at = np.lexsort((by, run))[np.concatenate([[0], np.cumsum(sizes)[:-1]])][run]
-            ok = (comp[at] != comp) & _bound_holds(n, pos, n[at], pos[at], percent)
-            i, j = np.flatnonzero(ok), at[ok]
-            low = rep[i] < rep[j]
-            a, b = np.where(low, i, j), np.where(low, j, i)
-            if len(a):
-                pairs = np.unique(np.stack([rep[a], n[a], rep[b], n[b]], axis=1), axis=0)
+            rep, n, pos = r["rep"], r["n"], r["pos"]
+            new = np.concatenate([[True], r["h"][1:] != r["h"][:-1]])
+            run, first = np.cumsum(new) - 1, np.flatnonzero(new)
+            found = []
+            for by in (rep, rep.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)):
+                at = np.lexsort((by, run))[first][run]
+                ok = (rep[at] != rep) & _bound_holds(n, pos, n[at], pos[at], percent)
+                i, j = np.flatnonzero(ok), at[ok]
+                low = rep[i] < rep[j]
+                a, b = np.where(low, i, j), np.where(low, j, i)
+                found.append(np.stack([rep[a], n[a], rep[b], n[b]], axis=1))
+            pairs = np.unique(np.concatenate(found), axis=0)
+            if len(pairs):
                 yield pa.RecordBatch.from_pydict({c: pairs[:, k].copy() for k, c in enumerate(("a", "na", "b", "nb"))})
 
-    dealt = members.select("h", "rep", "n", "pos", "comp").repartition("h").sortWithinPartitions("h")
+    dealt = members.select("h", "rep", "n", "pos").repartition("h").sortWithinPartitions("h")
     return dealt.mapInArrow(scan, "a bigint, na bigint, b bigint, nb bigint").distinct()
 
 
@@ -331,7 +323,7 @@ def linked(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame
 
 def _still_open(members: DataFrame, comps: DataFrame) -> DataFrame:
     """Members with their components, of the buckets that still have more than one; written."""
-    now = members.drop("comp").join(comps, F.col("rep") == F.col("node"), "left").select("h", "rep", "n", "pos", F.coalesce("component", "rep").alias("comp"))
+    now = members.join(comps, F.col("rep") == F.col("node"), "left").select("h", "rep", "n", "pos", F.coalesce("component", "rep").alias("comp"))
     several = now.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("h")
     return materialize(now.join(several, "h", "left_semi"), "members")
 
@@ -354,29 +346,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
         .groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sizes").alias("sizes"))
     )
     release(spark)
-    members = materialize(buckets(classes), "members").withColumn("comp", F.col("rep"))
+    members = materialize(buckets(classes), "members")
+    release(spark)
+    pairs = materialize(leader_pairs(members, percent), "pairs")
+    links = linked(source, pairs, n, percent)
+    comps = connected_components(links)
+    members = _still_open(members, comps)
     release(spark)
-    links = comps = None
-    for turn in range(ROUNDS):
-        pairs = materialize(leader_pairs(members, turn, percent), "pairs")
-        release(spark)
-        if pairs.isEmpty():
-            if turn < 2:
-                continue
-            break
-        found = linked(source, pairs, n, percent)
-        links = found if links is None else links.unionByName(found)
-        comps = connected_components(links)
-        members = _still_open(members, comps)
-        release(spark)
     with_sizes = members.join(classes.select("rep", "sizes"), "rep")
     more = materialize(open_pairs(with_sizes, percent), "open")
     release(spark)
     if not more.isEmpty():
-        found = linked(source, more, n, percent)
-        comps = connected_components(found if links is None else links.unionByName(found))
-    if comps is None:
-        comps = spark.createDataFrame([], "node bigint, component bigint")
+        comps = connected_components(links.unionByName(linked(source, more, n, percent)))
     by_key = (
         sets.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("rep"))
         .join(comps, F.col("rep") == F.col("node"), "left")
