@@ -57,6 +57,11 @@ def rule(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES) -
     return found
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, though its expression would be repeated within lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _chars(url: Column) -> Column:
     """Characters with a start and an end mark; digits count as one character."""
     plain = F.translate(ascii_lower(F.coalesce(url, F.lit(""))), "123456789", "000000000")
@@ -64,12 +69,13 @@ def _chars(url: Column) -> Column:
 
 
 def _places(chars: Column) -> Column:
-    """For each character an array of the places of the runs that end there, the shortest first."""
-    runs = lambda i, k: F.array_join(F.slice(chars, i - k + 1, k + 1), "")
-    return F.transform(
-        F.sequence(F.lit(0), F.size(chars) - 1),
-        lambda i: F.transform(F.sequence(F.lit(0), F.least(i, F.lit(ORDER))), lambda k: F.pmod(F.xxhash64(runs(i, k)), F.lit(BUCKETS)).cast("int")),
-    )
+    """For each character an array of the places of the runs that end there, the shortest first; null for runs that would begin before the start."""
+
+    def ending(i: Column) -> Column:
+        back = [F.get(chars, i - k) for k in range(ORDER + 1)]
+        return F.array(*[F.when(i >= k, F.pmod(F.xxhash64(*back[: k + 1]), F.lit(BUCKETS)).cast("int")) for k in range(ORDER + 1)])
+
+    return F.transform(F.sequence(F.lit(0), F.size(chars) - 1), ending)
 
 
 class Model:
@@ -84,7 +90,7 @@ class Model:
             return F.lit(0.0)
         packed = [(a << HALF) | r for a, r in zip(self.accepted, self.rejected, strict=True)]
         counts = F.from_json(F.lit(json.dumps(packed)), "array<bigint>")  # folded to a literal
-        found = F.transform(_places(_chars(url)), lambda here: F.transform(here, lambda b: F.get(counts, b)))
+        found = _bound(_chars(url), lambda chars: F.transform(_places(chars), lambda here: F.transform(here, lambda b: F.get(counts, b))))
         whole = F.lit((self.totals[0] << HALF) | self.totals[1])
 
         def step(acc: Column, here: Column) -> Column:
@@ -99,7 +105,7 @@ class Model:
             return F.struct((acc["s"] + logs[0] - logs[1]).alias("s"), here.alias("last"))
 
         zero = F.struct(F.lit(0.0).alias("s"), F.array().cast("array<bigint>").alias("last"))
-        return F.aggregate(found, zero, step, lambda acc: acc["s"]) / F.size(found)
+        return _bound(found, lambda found: F.aggregate(found, zero, step, lambda acc: acc["s"]) / F.size(found))
 
 
 def fit(labelled: DataFrame) -> Model:
@@ -108,7 +114,7 @@ def fit(labelled: DataFrame) -> Model:
     Without URLs of both kinds every score is 0 and passes.
     """
     rows = labelled.withColumn("__fold", F.pmod(F.xxhash64("url", F.lit(5)), F.lit(FOLDS)))
-    places = rows.filter("__fold <> 0").select("accepted", F.explode(F.flatten(_places(_chars(F.col("url"))))).alias("place"))
+    places = rows.filter("__fold <> 0").select("accepted", F.explode(F.flatten(_bound(_chars(F.col("url")), _places))).alias("place")).filter("place is not null")
     counts = places.groupBy("place").agg(F.count(F.when(F.col("accepted"), 1)), F.count(F.when(~F.col("accepted"), 1))).collect()
     sides = [[0] * BUCKETS, [0] * BUCKETS]
     top = max([1, *(max(r[1], r[2]) for r in counts)])
