@@ -131,6 +131,41 @@ def join_preflight(orders, customer):
     return relational.preflight(orders, customer.filter("c_custkey % 2 = 0"), [("o_custkey", "c_custkey")])
 
 
+# The same operators over whole tables: the queries above and their SQL hold a part of the rows.
+
+
+def _whole_sides(customer, orders):
+    c = customer.select(F.expr("CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_custkey END").alias("ck"), "c_name")
+    o = orders.select(F.expr("CASE WHEN o_orderkey % 1000 = 0 THEN NULL ELSE o_custkey END").alias("ok"), "o_orderkey")
+    return c, o
+
+
+_JOIN_ALL = """WITH c AS (SELECT CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_custkey END AS ck, c_name FROM customer),
+o AS (SELECT CASE WHEN o_orderkey % 1000 = 0 THEN NULL ELSE o_custkey END AS ok, o_orderkey FROM orders)
+SELECT ck, c_name, ok, o_orderkey FROM c {how} JOIN o ON {cond}"""
+
+for _how in ("inner", "left", "right", "full"):
+    for _null in (False, True):
+
+        def _join_all(customer, orders, how=_how, null=_null):
+            return relational.join(*_whole_sides(customer, orders), [("ck", "ok")], how, null)
+
+        _join_all.__name__ = f"join_{_how}" + ("_null_equal" if _null else "") + "_all"
+        query(_JOIN_ALL.format(how=_how.upper(), cond="ck IS NOT DISTINCT FROM ok" if _null else "ck = ok"), "customer", "orders")(_join_all)
+
+
+@query(
+    """WITH l AS (SELECT o_custkey AS k, count(*) AS lc FROM orders GROUP BY 1), r AS (SELECT c_custkey AS k, count(*) AS rc FROM customer GROUP BY 1),
+    b AS (SELECT lc, rc FROM l FULL JOIN r ON l.k = r.k),
+    s AS (SELECT coalesce(sum(lc * rc), 0) AS i, coalesce(sum(lc) FILTER (rc IS NULL), 0) AS lu, coalesce(sum(rc) FILTER (lc IS NULL), 0) AS ru, max(lc) FILTER (rc IS NOT NULL) AS ml, max(rc) FILTER (lc IS NOT NULL) AS mr FROM b)
+    SELECT CAST(i AS BIGINT) AS inner_rows, CAST(lu AS BIGINT) AS left_unmatched, CAST(ru AS BIGINT) AS right_unmatched, CAST(i + lu AS BIGINT) AS left_rows, CAST(i + ru AS BIGINT) AS right_rows,
+    CAST(i + lu + ru AS BIGINT) AS full_rows, CASE WHEN ml > 1 THEN 'n' ELSE '1' END || ':' || CASE WHEN mr > 1 THEN 'n' ELSE '1' END AS relationship FROM s""",
+    "orders", "customer",
+)
+def join_preflight_all(orders, customer):
+    return relational.preflight(orders, customer, [("o_custkey", "c_custkey")])
+
+
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size > 5)", "lineitem", "part")
 def anti_fk(lineitem, part):
     return relational.orphans(lineitem, part.filter("p_size > 5"), "l_partkey", "p_partkey").select("l_orderkey", "l_linenumber", "l_partkey")
@@ -158,6 +193,16 @@ def block_pairs(part):
     return relational.block_pairs(rows, "p_partkey", ["p_brand"], "t", 0.8)
 
 
+@query(
+    """WITH t AS (SELECT p_partkey AS id, p_brand AS b, lower(trim(p_name || CAST(p_partkey % 10 AS VARCHAR))) AS t FROM part)
+    SELECT x.id AS left_id, y.id AS right_id, 1 - levenshtein(x.t, y.t) / CAST(greatest(length(x.t), length(y.t)) AS DOUBLE) AS similarity FROM t x JOIN t y ON x.b = y.b AND x.id < y.id
+    WHERE 1 - levenshtein(x.t, y.t) / CAST(greatest(length(x.t), length(y.t)) AS DOUBLE) >= 0.8""",
+    "part",
+)
+def block_pairs_all(part):
+    return relational.block_pairs(part.select("p_partkey", "p_brand", F.concat("p_name", (F.col("p_partkey") % 10).cast("string")).alias("t")), "p_partkey", ["p_brand"], "t", 0.8)
+
+
 # --- filters, projections, formulas
 
 _PREDICATES = {
@@ -750,6 +795,28 @@ def shortest_paths(orders):
     return graph.shortest_paths(e.unionByName(zero), 0)
 
 
+# Graphs of whole tables; orders have their keys as nodes, suppliers and parts have negative ones, so none meet at any scale.
+
+_ALL_EDGES = "(SELECT l_orderkey AS src, -1 - l_suppkey AS dst FROM lineitem)"
+
+
+@query(f"SELECT node, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree, count(*) AS degree FROM (SELECT src AS node, 0 AS i, 1 AS o FROM {_ALL_EDGES} UNION ALL SELECT dst, 1, 0 FROM {_ALL_EDGES}) GROUP BY 1", "lineitem")
+def degree_all(lineitem):
+    return graph.degrees(lineitem.select(F.col("l_orderkey").alias("src"), F.expr("-1 - l_suppkey").alias("dst"))).select("node", "in_degree", "out_degree", "degree")
+
+
+# A recursive closure of all orders is quadratic in SQL; tests hold this one and the next against brute force.
+@query(None, "orders")
+def components_all(orders):
+    return graph.components(orders.select(F.col("o_orderkey").alias("src"), F.expr("o_orderkey - 1 - o_orderkey % 3").alias("dst")))
+
+
+@query(None, "lineitem")
+def shortest_paths_all(lineitem):
+    """Hops from order 0, by way of the parts that orders have in common."""
+    return graph.shortest_paths(lineitem.select(F.col("l_orderkey").alias("src"), F.expr("-1 - l_partkey").alias("dst")), 0, directed=False)
+
+
 # --- models and geometry
 
 
