@@ -4,11 +4,13 @@ URLs that an allow rule fits train the model of accepted URLs, those that a
 block rule fits that of rejected ones.  Both are variable-order Markov models:
 counts of character runs of up to ``ORDER + 1`` characters, each order smoothed
 by the one below it, so that the longest context that has been seen decides.
-Counts lie in ``BUCKETS`` hashed places whatever the input's size, which bounds
-what is sent to the executors.  The score is the difference of the two log
-likelihoods, divided by the number of characters; the threshold is where, on a
-fifth of the labelled URLs that the counts leave out, the two error rates
-together are least.
+Counts are exact, in a table by run that grows with the input.  What a character
+adds to a score depends only on its window, the longest run that ends there;
+so a table of all distinct windows is made, and each URL's windows are joined
+to it.  Frequent keys of both tables are broadcast, the others shuffled.  The
+score is the difference of the two log likelihoods, divided by the number of
+characters; the threshold is where, on a fifth of the labelled URLs that the
+counts leave out, the two error rates together are least.
 
 All of it is DataFrame expressions.
 """
@@ -21,16 +23,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, materialize, table
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 ORDER = 4
-BUCKETS = 1 << 16
 STRENGTH = 2.0
 FOLDS = 5
 BINS_PER_UNIT, LIMIT = 50, 20
-#: Bits of each of the two counts that share a number.
-HALF = 31
+#: A key with over 1 / HOT of all rows is looked up by broadcast: at most HOT keys, and no others have more.
+HOT = 20_000
+#: Parts of a whole score that a window's share is rounded to, so that sums don't depend on their order.
+UNIT = 1e-9
 
 
 def host(url: Column) -> Column:
@@ -68,44 +71,105 @@ def _chars(url: Column) -> Column:
     return F.concat(F.array(F.lit("\u0002")), F.filter(F.split(plain, ""), lambda c: c != ""), F.array(F.lit("\u0003")))
 
 
-def _places(chars: Column) -> Column:
-    """For each character an array of the places of the runs that end there, the shortest first; null for runs that would begin before the start."""
+def _windows(chars: Column) -> Column:
+    """For each character the run of up to ``ORDER + 1`` characters that ends there."""
+    return F.transform(F.sequence(F.lit(1), F.size(chars)), lambda i: F.array_join(F.slice(chars, F.greatest(i - ORDER, F.lit(1)), F.least(i, F.lit(ORDER + 1))), ""))
 
-    def ending(i: Column) -> Column:
-        back = [F.get(chars, i - k) for k in range(ORDER + 1)]
-        return F.array(*[F.when(i >= k, F.pmod(F.xxhash64(*back[: k + 1]), F.lit(BUCKETS)).cast("int")) for k in range(ORDER + 1)])
 
-    return F.transform(F.sequence(F.lit(0), F.size(chars) - 1), ending)
+def _slots(w: Column) -> Column:
+    """Runs that end a window, shortest first, and from ``ORDER + 1`` on the contexts of those of two characters or more."""
+    n = F.char_length(w)
+    runs = [(k, n > k, F.substr(w, n - k, F.lit(k + 1))) for k in range(ORDER + 1)]
+    contexts = [(ORDER + k, n > k, F.substr(w, n - k, F.lit(k))) for k in range(1, ORDER + 1)]
+    return F.filter(F.array(*[F.struct(F.lit(j).alias("slot"), F.when(there, run).alias("run")) for j, there, run in runs + contexts]), lambda x: x["run"].isNotNull())
+
+
+def _log_ratio(run, context, totals: tuple[int, int]) -> Column:
+    """What a character adds; ``run(k, side)`` and ``context(k, side)`` are counts, 0 for runs that would begin before the start."""
+    logs = []
+    for side in (0, 1):
+        p = F.lit(1.0 / 256)
+        for k in range(ORDER + 1):
+            c = context(k, side) if k else F.lit(totals[side])
+            p = (F.least(run(k, side), c) + p * STRENGTH) / (c + STRENGTH)
+        logs.append(F.log(p))
+    return logs[0] - logs[1]
+
+
+def _look_up(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """Inner join to a table with one row a key and the number ``n`` of rows that have it."""
+    total = found.agg(F.sum("n")).first()[0] or 0
+    often = F.col("n") > total / HOT
+    hot, cold = F.broadcast(found.filter(often).drop("n")), found.filter(~often).drop("n")
+    # Without a hint on the side that is left, Spark broadcasts it too where it is small.
+    return rows.join(hot, key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key).select(*rows.columns, *[c for c in hot.columns if c != key]))
 
 
 class Model:
-    """Counts of runs by place for accepted and rejected URLs, and the threshold."""
+    """Exact counts ``run, a, r`` of runs in accepted and rejected URLs, and the threshold."""
 
-    def __init__(self, accepted: list[int], rejected: list[int], totals: tuple[int, int], threshold: float = 0.0):
-        self.accepted, self.rejected, self.totals, self.threshold = accepted, rejected, totals, threshold
+    def __init__(self, counts: DataFrame, totals: tuple[int, int], threshold: float = 0.0):
+        self.counts, self.totals, self.threshold = counts, totals, threshold
 
     def score(self, url: Column) -> Column:
-        """Mean log likelihood ratio of a character; above 0 the model of accepted URLs fits better."""
+        """Mean log likelihood ratio of a character; above 0 the model of accepted URLs fits better.
+
+        The counts become a literal, so this is for small models; ``judge`` joins tables.
+        """
         if not all(self.totals):
             return F.lit(0.0)
-        packed = [(a << HALF) | r for a, r in zip(self.accepted, self.rejected, strict=True)]
-        counts = F.from_json(F.lit(json.dumps(packed)), "array<bigint>")  # folded to a literal
-        found = _bound(_chars(url), lambda chars: F.transform(_places(chars), lambda here: F.transform(here, lambda b: F.get(counts, b))))
-        whole = F.lit((self.totals[0] << HALF) | self.totals[1])
-
-        def step(acc: Column, here: Column) -> Column:
-            logs = []
-            for side in (lambda v: F.shiftright(v, HALF), lambda v: v.bitwiseAND(F.lit((1 << HALF) - 1))):
-                p = F.lit(1.0 / 256)
-                for k in range(ORDER + 1):
-                    run = F.coalesce(side(F.get(here, F.lit(k))), F.lit(0))
-                    context = F.coalesce(side(F.get(acc["last"], F.lit(k - 1))), F.lit(0)) if k else side(whole)
-                    p = (F.least(run, context) + p * STRENGTH) / (context + STRENGTH)
-                logs.append(F.log(p))
-            return F.struct((acc["s"] + logs[0] - logs[1]).alias("s"), here.alias("last"))
-
-        zero = F.struct(F.lit(0.0).alias("s"), F.array().cast("array<bigint>").alias("last"))
-        return _bound(found, lambda found: F.aggregate(found, zero, step, lambda acc: acc["s"]) / F.size(found))
+        known = {r.run: [r.a, r.r] for r in self.counts.filter("a + r > 0").collect()}
+        counts = F.from_json(F.lit(json.dumps(known)), "map<string, array<bigint>>")
+
+        def share(w: Column) -> Column:
+            def use(found: Column) -> Column:
+                return _log_ratio(lambda k, side: F.coalesce(F.get(F.get(found, F.lit(k)), F.lit(side)), F.lit(0)), lambda k, side: F.coalesce(F.get(F.get(found, F.lit(ORDER + k)), F.lit(side)), F.lit(0)), self.totals)
+
+            n = F.char_length(w)
+            runs = [F.when(n > k, F.substr(w, n - k, F.lit(k + 1))) for k in range(ORDER + 1)] + [F.when(n > k, F.substr(w, n - k, F.lit(k))) for k in range(1, ORDER + 1)]
+            return _bound(F.transform(F.array(*runs), lambda x: F.try_element_at(counts, x)), use)
+
+        each = _bound(_chars(url), _windows)
+        return _bound(each, lambda ws: F.aggregate(F.transform(ws, share), F.lit(0.0), lambda acc, x: acc + x) / F.size(ws))
+
+
+def _learn(rows: DataFrame) -> tuple[DataFrame, Model]:
+    """``__id, score`` of all rows of ``__id, url, accepted`` (null: without a rule), and the model of the labelled ones."""
+    fold = F.pmod(F.xxhash64("url", F.lit(5)), F.lit(FOLDS))
+    each = rows.select("__id", F.when(fold != 0, F.col("accepted")).alias("__side"), F.explode(_bound(_chars(F.col("url")), _windows)).alias("w"))
+    windows = materialize(each.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("__side"), 1)).alias("a"), F.count(F.when(~F.col("__side"), 1)).alias("r")), "windows")
+    # Every character ends one window.
+    totals = tuple(x or 0 for x in windows.agg(F.sum("a"), F.sum("r")).first())
+    parts = windows.select("w", "a", "r", F.explode(_slots(F.col("w"))).alias("x")).select("w", "a", "r", "x.slot", "x.run")
+    own = lambda c: F.sum(F.when(F.col("slot") <= ORDER, F.col(c)).otherwise(0)).alias(c)
+    counts = materialize(parts.groupBy("run").agg(F.count(F.lit(1)).alias("n"), own("a"), own("r")), "runs")
+    model = Model(counts, totals)
+    if not all(totals):
+        return rows.select("__id", F.lit(0.0).alias("score")), model
+    placed = _look_up(parts.select("w", "slot", "run"), counts, "run")
+    held = [(c, j) for c in ("a", "r") for j in range(2 * ORDER + 1)]
+    wide = placed.groupBy("w").agg(*[F.coalesce(F.max(F.when(F.col("slot") == j, F.col(c))), F.lit(0)).alias(f"{c}{j}") for c, j in held])
+    share = _log_ratio(lambda k, side: F.col(f"{'ar'[side]}{k}"), lambda k, side: F.col(f"{'ar'[side]}{ORDER + k}"), totals)
+    shares = materialize(wide.select("w", F.round(share / UNIT).cast("bigint").alias("share")).join(windows.select("w", "n"), "w"), "shares")
+    summed = _look_up(each.select("__id", "w"), shares, "w").groupBy("__id").agg((F.sum("share") * UNIT / F.count(F.lit(1))).alias("score"))
+    scores = materialize(summed, "scores")
+    bin_ = F.round(F.greatest(F.lit(-float(LIMIT)), F.least(F.lit(float(LIMIT)), F.col("score"))) * BINS_PER_UNIT).cast("int")
+    tested = rows.filter((fold == 0) & F.col("accepted").isNotNull()).join(scores, "__id")
+    histogram = sorted(tuple(r) for r in tested.groupBy(bin_.alias("b")).agg(F.count(F.when(F.col("accepted"), 1)), F.count(F.when(~F.col("accepted"), 1))).collect())
+    good, bad = sum(r[1] for r in histogram), sum(r[2] for r in histogram)
+    if good and bad:
+        lost, stopped, best = 0, 0, []
+        for (b, g, x), after in zip(histogram, [*histogram[1:], (histogram[-1][0] + 2, 0, 0)], strict=True):
+            lost, stopped = lost + g, stopped + x
+            cut = (b + after[0]) / 2 / BINS_PER_UNIT
+            best.append((lost / good + 1 - stopped / bad, abs(cut), cut))
+        model.threshold = min(best)[2]
+    return scores, model
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Written with an id a row, so that the ids stay."""
+    return materialize(rows.withColumn("__id", F.monotonically_increasing_id()), "rows")
 
 
 def fit(labelled: DataFrame) -> Model:
@@ -113,32 +177,7 @@ def fit(labelled: DataFrame) -> Model:
 
     Without URLs of both kinds every score is 0 and passes.
     """
-    rows = labelled.withColumn("__fold", F.pmod(F.xxhash64("url", F.lit(5)), F.lit(FOLDS)))
-    places = rows.filter("__fold <> 0").select("accepted", F.explode(F.flatten(_bound(_chars(F.col("url")), _places))).alias("place")).filter("place is not null")
-    counts = places.groupBy("place").agg(F.count(F.when(F.col("accepted"), 1)), F.count(F.when(~F.col("accepted"), 1))).collect()
-    sides = [[0] * BUCKETS, [0] * BUCKETS]
-    top = max([1, *(max(r[1], r[2]) for r in counts)])
-    shrink = max(1.0, top / (1 << 30))
-    for r in counts:
-        sides[0][r[0]], sides[1][r[0]] = int(r[1] / shrink), int(r[2] / shrink)
-    # Every character gives one run of length 1; the mark at the start is one a URL, so its place has them counted.
-    sizes = rows.filter("__fold <> 0").groupBy("accepted").agg(F.sum(F.size(_chars(F.col("url"))))).collect()
-    by = {r[0]: int(r[1] / shrink) for r in sizes}
-    model = Model(*sides, (by.get(True, 0), by.get(False, 0)))
-    if all(model.totals):
-        bin_ = F.round(F.greatest(F.lit(-float(LIMIT)), F.least(F.lit(float(LIMIT)), model.score(F.col("url")))) * BINS_PER_UNIT).cast("int")
-        histogram = sorted(
-            tuple(r) for r in rows.filter("__fold = 0").groupBy(bin_.alias("b")).agg(F.count(F.when(F.col("accepted"), 1)), F.count(F.when(~F.col("accepted"), 1))).collect()
-        )
-        good, bad = sum(r[1] for r in histogram), sum(r[2] for r in histogram)
-        if good and bad:
-            lost, stopped, best = 0, 0, []
-            for (b, g, x), after in zip(histogram, [*histogram[1:], (histogram[-1][0] + 2, 0, 0)], strict=True):
-                lost, stopped = lost + g, stopped + x
-                cut = (b + after[0]) / 2 / BINS_PER_UNIT
-                best.append((lost / good + 1 - stopped / bad, abs(cut), cut))
-            model.threshold = min(best)[2]
-    return model
+    return _learn(_numbered(labelled.select("url", "accepted")))[1]
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
@@ -151,11 +190,12 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFra
     kinds = F.create_map(*[F.lit(x) for kind, text in rules for x in (text, kind)])
     found = pages.withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url")))
     found = found.withColumn("rule", rule(F.col("host"), F.col("path"), rules)).withColumn("__kind", F.try_element_at(kinds, F.col("rule")))
-    model = fit(found.filter(F.col("rule").isNotNull()).select("url", (F.col("__kind") == "allow").alias("accepted")))
+    rows = _numbered(found.withColumn("accepted", F.col("__kind") == "allow"))
+    scores, model = _learn(rows.select("__id", "url", "accepted"))
     return (
-        found.withColumn("score", model.score(F.col("url")))
+        rows.join(scores, "__id")
         .withColumn("verdict", F.coalesce("__kind", F.when(F.col("score") >= model.threshold, F.lit("allow")).otherwise(F.lit("block"))))
-        .drop("__kind")
+        .drop("__kind", "__id", "accepted")
     )
 
 
