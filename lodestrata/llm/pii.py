@@ -23,18 +23,32 @@ from .common import table
 
 KEY = "op6-key"
 ROUNDS = 8
-# What counts as a candidate, in the order in which kinds are tried.
+_DATE = r"(?<![0-9./-])(?:(?:19|20)[0-9]{2}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/(?:19|20)[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.(?:19|20)[0-9]{2})(?![0-9]|[./-][0-9])"
+_IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
+_SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
+_LOCAL = r"(?<![0-9])\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])"
+# A group of a number isn't the start of one of another kind.
+_FOURS = r"(?:[0-9]{4}[ -]){3}[0-9]{4}"
+_CARD_AHEAD = rf"(?<![0-9-])(?:[0-9]{{13}}|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{5}}(?![0-9])|{_FOURS}(?:[ -]{_FOURS})*(?![0-9]|[ -][0-9]{{4}}(?![0-9])))"
+_NOT_OTHER = rf"(?!{_DATE}|{_IP}|{_SSN}|{_LOCAL})"
+_GROUP = rf"(?:[ .-]?{_NOT_OTHER}(?!{_CARD_AHEAD})[0-9]{{2,4}})"
+_SIXTEEN = "[^0-9]{0,2}[0-9]" * 16  # written out, for a look-behind
+# What counts as a candidate, in the order in which kinds are tried.  Numbers of country 1 have fixed
+# groups; of others as many groups are taken as 15 digits allow.  A card's candidate is a whole row of groups of digits.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "secret": r"(?i:password|passwd|pwd|secret|api_?key|token)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+.-]{8,}[\"']?",
     "key_id": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "date": r"(?<![0-9./-])(?:(?:19|20)[0-9]{2}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/(?:19|20)[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.(?:19|20)[0-9]{2})(?![0-9]|[./-][0-9])",
-    "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
-    "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![0-9])\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "date": _DATE,
+    "ip": _IP,
+    "ssn": _SSN,
+    "phone": r"(?<![0-9+])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
+    rf"|(?<![0-9+])(?:\+[0-9]{{1,3}}[ .-]?)(?:\([0-9]{{2,4}}\)[ .-]?)?[0-9]{{2,4}}{_GROUP}{{1,4}}(?![0-9]|\.[0-9])(?<!\+{_SIXTEEN}[0-9 ().-]{{0,30}})|{_LOCAL}",
+    "card": rf"(?<![0-9])(?=(?:[0-9][ -]?){{13}})[0-9]++(?:[ -]{_NOT_OTHER}[0-9]++)*+",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Groups of digits that make a card by themselves, beside other numbers in the same row.
+SHAPES = ((4, 4, 4, 4), (4, 4, 4, 4, 3), (4, 6, 5), (4, 6, 4), *((n,) for n in range(13, 20)))
 DATE_START, DATE_DAYS = "1900-01-01", 73049  # to 2099-12-31
 
 
@@ -114,12 +128,16 @@ def _permuted(numbers: Column, keep: Column, key: str, kind: str) -> Column:
     return F.concat(F.substr(numbers, F.lit(1), keep), _padded(feistel(rest.cast("bigint"), ten(n - half), ten(half), key, tweak), n))
 
 
+def _is_card(d: Column) -> Column:
+    return F.when(F.char_length(d).between(13, 19), (luhn_sum(d, 1) % 10 == 0) & (F.regexp_replace(d, "0", "") != "")).otherwise(F.lit(False))
+
+
 def card(m: Column, key: str) -> tuple[Column, Column]:
     d = digits(m)
     body = F.left(d, F.char_length(d) - 1)
     new = _permuted(body, F.lit(1), key, "card")
     check = F.pmod(F.lit(10) - luhn_sum(new, 0) % 10, F.lit(10)).cast("string")
-    return (luhn_sum(d, 1) % 10 == 0) & (F.regexp_replace(d, "0", "") != ""), refill(m, F.concat(new, check))
+    return _is_card(d), refill(m, F.concat(new, check))
 
 
 def phone(m: Column, key: str) -> tuple[Column, Column]:
@@ -209,6 +227,36 @@ def pseudonym(m: Column, key: str = KEY) -> tuple[Column, Column]:
     return kind, out
 
 
+def parts(m: Column) -> Column:
+    """``text, tried`` of a candidate: cards of a usual shape beside other groups of digits, or else the candidate as it is."""
+    row = F.split(m, "(?<=[ -])|(?=[ -])")  # groups, and separators between them
+
+    def spans(tokens: Column) -> Column:
+        def at(i: Column) -> Column:
+            found = []
+            for shape in SHAPES:
+                n = 2 * len(shape) - 1
+                d = F.array_join(F.filter(F.slice(tokens, i, F.lit(n)), lambda c: c >= "0"), "")
+                right = i + n - 1 <= F.size(tokens)
+                for k, size in enumerate(shape):
+                    right = right & (F.char_length(F.get(tokens, i + (2 * k - 1))) == size)
+                found.append(F.when(F.when(right, _is_card(d)).otherwise(F.lit(False)), F.struct(i.alias("a"), (i + n).alias("b"))))
+            return F.coalesce(*found)
+
+        return F.filter(F.transform(F.sequence(F.lit(1), F.size(tokens), F.lit(2)), at), lambda x: x.isNotNull())
+
+    def cut(tokens: Column) -> Column:
+        piece = lambda a, b, tried: F.struct(F.array_join(F.slice(tokens, a, b - a), "").alias("text"), F.lit(tried).alias("tried"))
+        start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<text: string, tried: boolean>>").alias("out"))
+        step = lambda acc, x: F.when(x["a"] < acc["at"], acc).otherwise(F.struct(x["b"].alias("at"), F.concat(acc["out"], F.array(piece(acc["at"], x["a"], False), piece(x["a"], x["b"], True))).alias("out")))
+        end = lambda acc: F.when(acc["at"] > 1, F.concat(acc["out"], F.array(piece(acc["at"], F.size(tokens) + 1, False))))
+        return F.aggregate(spans(tokens), start, step, end)
+
+    whole = F.array(F.struct(m.alias("text"), F.lit(True).alias("tried")))
+    several = F.regexp_like(m, F.lit(f"^(?:{PATTERNS['card']})$")) & F.regexp_like(m, F.lit("[ -]"))
+    return F.coalesce(F.when(several, F.get(F.transform(F.array(row), cut), F.lit(0))), whole)
+
+
 def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     """Replaces ``text`` and adds ``pii`` (array of the kinds replaced, in order).
 
@@ -216,15 +264,15 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFra
     text changes.  Other columns stay.
     """
     t = F.col(text)
-    found = F.when(F.regexp_like(t, F.lit("[0-9@=:]")), F.regexp_extract_all(t, F.lit(ANY), F.lit(0)))
+    found = F.when(F.regexp_like(t, F.lit("[0-9@=:]|AKIA|ASIA")), F.regexp_extract_all(t, F.lit(ANY), F.lit(0)))
 
-    def one(m: Column) -> Column:
-        kind, new = pseudonym(m, key)
-        return F.struct(kind.alias("kind"), new.alias("text"))
+    def one(x: Column) -> Column:
+        kind, new = pseudonym(x["text"], key)
+        return F.struct(F.when(x["tried"], kind).alias("kind"), F.when(x["tried"], new).otherwise(x["text"]).alias("text"))
 
-    changed = docs.withColumn("__found", found).withColumn("__new", F.when(F.size("__found") > 0, F.transform("__found", one)))
-    pieces = F.zip_with(F.split(t, ANY, -1), F.col("__new"), lambda a, b: F.concat(a, F.coalesce(b["text"], F.lit(""))))
-    kinds = F.filter(F.transform("__new", lambda x: x["kind"]), lambda k: k.isNotNull())
+    changed = docs.withColumn("__found", found).withColumn("__new", F.when(F.size("__found") > 0, F.transform("__found", lambda m: F.transform(parts(m), one))))
+    pieces = F.zip_with(F.split(t, ANY, -1), F.col("__new"), lambda a, b: F.concat(a, F.coalesce(F.array_join(F.transform(b, lambda x: x["text"]), ""), F.lit(""))))
+    kinds = F.filter(F.transform(F.flatten("__new"), lambda x: x["kind"]), lambda k: k.isNotNull())
     return (
         changed.withColumn("pii", F.coalesce(kinds, F.array().cast("array<string>")))
         .withColumn(text, F.when(F.col("__new").isNull(), t).otherwise(F.concat_ws("", pieces)))
