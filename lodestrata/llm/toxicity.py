@@ -1,8 +1,8 @@
 """Toxicity of texts that may be disguised: a noisy channel undone, then a classifier.
 
 A character trigram model is counted over all documents.  A token that may be
-disguised (signs or digits among letters, letters three times in a row, single
-letters set apart) becomes a lattice: each sign stands for itself or for a
+disguised (signs or digits among letters, letters twice in a row, single letters
+or signs set apart by any separators) becomes a lattice: each sign stands for itself or for a
 letter, a repeated letter may be one too many, a separator may be deleted.
 The likeliest path through the lattice under channel and language model is
 found by Viterbi search, and the restored text is scored by logistic
@@ -35,9 +35,13 @@ SEPARATORS = " .-_*~'`/\\,"
 #: Log costs of the channel.
 STANDS_FOR, WILD, DROP_REPEAT, KEEP_THIRD, DROP_SEPARATOR = -0.7, -2.0, -0.7, -4.0, -0.7
 PAIR_WEIGHT = 5.0
-SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][ .*_-]){2,}[^\W\d_](?![^\s.,;:!?])")
 _SIGNS = "".join(re.escape(c) for c in LEET if not c.isdigit())
-SUSPECT = re.compile(rf"[^\W\d_][{_SIGNS}\d]|[{_SIGNS}\d][^\W\d_]|([^\W\d_])\1\1|[^\W\d_][.*_~-][^\W\d_][.*_~-][^\W\d_]")
+# One character of a disguised word; ``*`` is left to the separators, so that no text is divided in two ways.
+_ONE = rf"(?:[^\W_]|[{_SIGNS.replace(re.escape('*'), '')}])"
+_BETWEEN = f"[{re.escape(SEPARATORS)}]+"
+SPACED = re.compile(rf"(?<!\S)(?:{_ONE}{_BETWEEN}){{2,}}{_ONE}(?![^\s.,;:!?])")
+SUSPECT = re.compile(rf"[^\W\d_][{_SIGNS}\d]|[{_SIGNS}\d][^\W\d_]|([^\W\d_])\1|{_ONE}{_BETWEEN}{_ONE}{_BETWEEN}{_ONE}")
+LETTER = re.compile(r"[^\W\d_]")
 TRAILING = re.compile(r"(?:[!?#%&*.,;:\"')\]}]+|\${3,}|\|+)+$")
 
 
@@ -141,7 +145,7 @@ class Features(dict):
         return found
 
     def restored(self, plain: str) -> str:
-        return restore(plain, self.logp) if SUSPECT.search(plain) else plain
+        return restore(plain, self.logp) if SUSPECT.search(plain) and LETTER.search(plain) else plain
 
     def of_text(self, text: str | None) -> list[int]:
         if not text:
@@ -150,6 +154,8 @@ class Features(dict):
         for w in set(text.split()):
             ids.update(self[w])
         for m in SPACED.finditer(text):
+            if not LETTER.search(m[0]):
+                continue
             for w in restore(m[0].lower(), self.logp).split():
                 ids.update(self.word(w))
         return sorted(ids)

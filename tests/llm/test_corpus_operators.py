@@ -250,6 +250,22 @@ def test_restore_undoes_disguises(spark):
         assert toxicity.restore(seen, logp) == meant
 
 
+def test_every_disguise_reaches_the_lattice(spark):
+    rng = random.Random(1)
+    text = " ".join(rng.choice(["idiot", "loser", "the", "moron", "and", "stupid", "house", "clown", "hello"]) for _ in range(400))
+    f = toxicity.Features(toxicity.character_model(make(spark, [(i, text, "s") for i in range(50)])))
+    for meant, disguises in {
+        "idiot": ["1 d 1 0 t", "i d 1 o t", "iddioot", "i  d  i  o  t", "i,d,i,o,t", "1.d.1.0.t"],
+        "moron": ["m.0.r.0.n", "m-0-r-0-n", "m..o..r..o..n"],
+        "stupid": ["stuupidd", "s/t/u/p/i/d", "s t u p 1 d", "$ t u p i d", "s`t`u`p`i`d", "s\\t\\u\\p\\i\\d"],
+    }.items():
+        for seen in disguises:
+            assert set(f.word(meant)) <= set(f.of_text(f"the house {seen} and")), seen
+    assert f.restored("hello") == "hello" and f.restored("2024-1-5") == "2024-1-5"
+    assert f.of_text("1 2 3 4") == sorted({i for w in "1234" for i in f.word(w)})
+    assert f.of_text("* " * 20_000 + "*" * 20_000) is not None
+
+
 def test_toxicity_finds_disguised_words(spark):
     rng = random.Random(2)
     words = [f"{a}{b}" for a in ("ta", "re", "mo", "li") for b in ("ne", "ro", "sal", "wick", "den", "por")]
