@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 
 def tokens(c: Column, numbers: bool = False, stop: Sequence[str] = (), n: int = 1, turkish: bool = False) -> Column:
     """Array of lower-case runs of letters and marks (digits too with ``numbers``); null has none; n-grams joined by a space."""
@@ -43,14 +45,35 @@ def tfidf(df: DataFrame, key: str, text: str, limit: int = 5000, **options) -> D
     return raw.join(norm, "doc").select("doc", "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
+def _scored(pairs: DataFrame, weights: DataFrame, limit: int) -> DataFrame:
+    left = pairs.join(weights.select(F.col("doc").alias("a"), "term", F.col("weight").alias("wa")), "a")
+    both = left.join(weights.select(F.col("doc").alias("b"), "term", F.col("weight").alias("wb")), ["b", "term"])
+    return both.groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 12).alias("cosine")).orderBy(F.col("cosine").desc(), "a", "b").limit(limit)
+
+
+def _meeting(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("doc").alias("a"), "term").join(rows.select(F.col("doc").alias("b"), "term"), "term").filter("a < b").select("a", "b").distinct()
+
+
 def similar(weights: DataFrame, limit: int = 30, most_documents: int = 1000) -> DataFrame:
-    """``a, b, cosine`` of the closest pairs.  Terms in over ``most_documents`` documents only add to pairs that rarer terms bring together."""
+    """``a, b, cosine`` of the closest of all pairs that share a term; documents have length 1, as ``tfidf`` gives them.
+
+    Neighbours among documents with the same heaviest terms (of those in at most
+    ``most_documents`` documents) only give a lower bound of the last cosine.  A
+    pair that reaches it shares a term among those that a document's weights,
+    rarest term first, need to reach it: what is left of either is shorter than
+    the bound.
+    """
+    weights = cut(weights)
     df_ = weights.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     rare = weights.join(df_.filter(F.col("n").between(2, most_documents)).select("term"), "term")
-    pairs = rare.select(F.col("doc").alias("a"), "term").join(rare.select(F.col("doc").alias("b"), "term"), "term").filter("a < b").select("a", "b").distinct()
-    left = pairs.join(weights.select(F.col("doc").alias("a"), "term", F.col("weight").alias("wa")), "a")
-    both = left.join(weights.select(F.col("doc").alias("b"), "term", F.col("weight").alias("wb")), ["b", "term"])
-    return both.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).orderBy(F.col("cosine").desc(), "a", "b").limit(limit)
+    heaviest = rare.groupBy("doc").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("weight", "term")))), 1, 3).alias("top"))
+    alike = heaviest.select("doc", F.explode(F.transform(F.sequence(F.lit(1), F.size("top")), lambda k: F.array_join(F.transform(F.slice("top", F.lit(1), k), lambda x: x["term"]), " "))).alias("same"))
+    near = cut(alike.select(F.lag("doc").over(Window.partitionBy("same").orderBy("doc")).alias("a"), F.col("doc").alias("b")).filter("a < b").distinct())
+    first = _scored(near, weights, limit).agg(F.count(F.lit(1)), F.min("cosine")).first()
+    bound = first[1] - 1e-9 if first[0] >= limit else 0.0
+    rest = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("doc").orderBy(F.col("n").desc(), F.col("term").desc()).rowsBetween(Window.unboundedPreceding, 0)))
+    return _scored(_meeting(weights.join(df_, "term").withColumn("rest", rest).filter((F.col("rest") >= bound) & (F.col("n") > 1))), weights, limit)
 
 
 def search(df: DataFrame, key: str, vector: str, query: Sequence[float], k: int) -> DataFrame:

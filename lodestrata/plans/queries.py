@@ -760,6 +760,12 @@ def seasonal_naive(events_):
     return timeseries.seasonal_naive(daily, "t", "n", 7)
 
 
+# Tests hold it against brute force over all pairs.
+@query(None, "documents")
+def similar_docs(documents):
+    return text.similar(text.tfidf(documents, "doc_id", "text"))
+
+
 # --- graphs
 
 _EDGES = "(SELECT l_orderkey % 500 AS src, 100000 + l_suppkey AS dst FROM lineitem WHERE l_partkey % 37 = 0)"

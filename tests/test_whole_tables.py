@@ -5,6 +5,7 @@ from itertools import combinations
 
 import pytest
 
+from lodestrata.operators import text
 from lodestrata.plans import queries
 
 N = 1300
@@ -87,6 +88,26 @@ def test_joins_of_all_rows(spark, tables):
     assert got(spark, tables, "join_preflight_all") == [(inner, lu, ru, inner + lu, inner + ru, inner + lu + ru, "n:1")]
 
 
+@pytest.mark.parametrize("most", [1, 3, 1000])
+def test_closest_of_all_pairs_of_documents(spark, most):
+    # Terms lie in many documents, and few pairs share a rare one.
+    docs = [(i, " ".join(f"{'abcdefgh'[(i * k * k + k) % 8]}{'xyz'[(i // 3 + k) % 3]}" for k in range(3 + i % 9)) + (" rare" if i % 17 == 0 else "")) for i in range(70)]
+    weights = text.tfidf(spark.createDataFrame(docs, "id bigint, t string"), "id", "t").cache()
+    by = defaultdict(dict)
+    for r in weights.collect():
+        by[r.doc][r.term] = r.weight
+    all_pairs = {(a, b): sum(w * by[b][t] for t, w in by[a].items() if t in by[b]) for a, b in combinations(sorted(by), 2) if set(by[a]) & set(by[b])}
+    want = sorted(((-round(c, 9), p) for p, c in all_pairs.items()))[:30]
+    found = [(r.a, r.b, r.cosine) for r in text.similar(weights, 30, most).collect()]
+    assert [c for _, _, c in found] == pytest.approx([-c for c, _ in want]) and all(all_pairs[a, b] == pytest.approx(c) for a, b, c in found)
+    assert len({(a, b) for a, b, _ in found}) == 30
+
+
+def test_similar_docs_is_registered(spark, tmp_path):
+    spark.createDataFrame([(1, "one two three"), (2, "one two four"), (3, "five")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r)[:2] for r in queries.QUERIES["similar_docs"](spark, str(tmp_path)).collect()] == [(1, 2)]
+
+
 def test_pairs_of_all_parts(spark, tables):
     rows = [(k, b, f"{t}{k % 10}") for k, t, b in tables[1]["part"]]
     want = {}
