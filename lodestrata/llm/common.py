@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-DEFAULT_SHARED_DIR = "file:///tmp/checkpoints"
+LOCAL_DIR = "file:///tmp/checkpoints"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,27 +19,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share; the session names it."""
-    return spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED_DIR
+    """Folder that driver and executors share; the session names it.
+
+    Only where all of Spark runs on this machine may it be unset.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return named or LOCAL_DIR
+
+
+def _delete(spark: SparkSession, path: str, later: bool = False) -> None:
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.deleteOnExit(folder) if later else system.delete(folder, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage with a reliable copy, so that a lost executor costs a
-    reread only.  The files go when the driver's JVM ends.
+    reread only.  The files go with ``discard``, or when the driver's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/lodestrata-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path).getParent()
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = f"{shared_dir(spark).rstrip('/')}/lodestrata-{uuid.uuid4().hex}"
+    df.write.parquet(f"{folder}/{name}")
+    _delete(spark, folder, later=True)
+    out = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+    out._written_to = folder
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialize`` wrote, once all that is made of them is written too."""
+    for df in tables:
+        _delete(df.sparkSession, df._written_to)
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark remove shuffle files of jobs whose results are written, without waiting for the driver's heap to fill."""
+    """Lets Spark remove shuffle files of jobs whose results are written.
+
+    Spark drops them when the driver collects its garbage, which a driver with
+    little to do rarely does by itself; until then they take disk.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -13,7 +13,9 @@ What is asked for are links up to connection, so a bucket of m classes isn't
 expanded into its pairs: its classes are first compared with two leaders of the
 bucket.  Then only pairs of a bucket whose classes are still in different
 components are listed, where sizes, places in the order and the sets' sizes in
-ranges of hashes allow the overlap; all of these are verified.  No bucket is cut off.
+ranges of hashes allow the overlap, and where no n-gram just before the bucket's
+is shared too, for then an earlier bucket lists the pair.  All of these are
+verified.  No bucket is cut off; a large one is dealt out in blocks of rows.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, release, table
+from .common import discard, map_arrow, materialize, release, table
 from .components import connected_components
 
 N = 5
@@ -39,11 +41,15 @@ PARTS = 128
 FILTER_BITS = 1 << 27
 #: About so many n-grams are marked as frequent; which ones depends on their counts.
 MARKED = FILTER_BITS // 8
+#: Shared n-grams before a bucket's own that each of its rows carries.
+EARLIER = 4
+#: Rows of a bucket above which it is dealt out in blocks, each met with each other in a task of its own.
+BLOCK_ROWS = 4096
 
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -82,7 +88,9 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
 
 
 def _bytes_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).cast("binary").alias("__bytes"))
+    """``rid`` names a row by its key and text, so that texts under one key stay apart; equal rows share it."""
+    data = F.col(text).cast("binary")
+    return docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(key), data).alias("rid"), data.alias("__bytes"))
 
 
 def bit_table(ids: DataFrame, column: str) -> np.ndarray:
@@ -139,7 +147,7 @@ def _sizes(h: np.ndarray) -> bytes | None:
 
 
 def n_gram_sets(docs: DataFrame, frequent: np.ndarray, n: int, percent: int) -> DataFrame:
-    """``doc_id, n, key`` (128-bit hash of the set; null if empty) and ``prefix``."""
+    """``doc_id, rid, n, key`` (128-bit hash of the set; null if empty), ``prefix`` and ``sizes``."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def sets(t: pa.Table) -> pa.Table:
@@ -147,128 +155,157 @@ def n_gram_sets(docs: DataFrame, frequent: np.ndarray, n: int, percent: int) ->
         found = [ngram_hashes(b, cache, n) for b in t.column("__bytes").to_pylist()]
         return pa.table({
             "doc_id": t.column("doc_id"),
+            "rid": t.column("rid"),
             "n": pa.array([len(s) for s in found], pa.int64()),
             "key": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in found], pa.binary()),
             "prefix": _lists([ordered(s, sent.value)[: prefix_length(len(s), percent)] for s in found]),
             "sizes": pa.array([_sizes(s) for s in found], pa.binary()),
         })
 
-    return map_arrow(docs, sets, "doc_id bigint, n bigint, key binary, prefix array<bigint>, sizes binary")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return map_arrow(docs, sets, f"doc_id {kind}, rid bigint, n bigint, key binary, prefix array<bigint>, sizes binary")
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """Whole runs of equal ``h`` from batches that are sorted by it."""
+def buckets(classes: DataFrame) -> DataFrame:
+    """``h, rep, n, pos`` of n-grams that two or more classes have in their prefixes, and ``e1`` to ``e4``.
+
+    Those are the n-grams before ``h`` in the class's prefix that may be shared
+    (0: none).  A table of bits skips most rows that the join would drop.
+    """
+    several = materialize(
+        classes.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h"), "several"
+    )
+    sent = classes.sparkSession.sparkContext.broadcast(bit_table(several, "h"))
+
+    def rows(t: pa.Table) -> pa.Table | None:
+        lists = t.column("prefix").combine_chunks()
+        lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+        own = np.repeat(np.arange(len(lengths)), lengths)
+        h = lists.flatten().to_numpy(zero_copy_only=False)
+        pos = np.arange(len(h)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        keep = is_set(sent.value, h.view(np.uint64))
+        h, own, pos = h[keep], own[keep], pos[keep]
+        out = {"h": h, "rep": t.column("rep").to_numpy()[own], "n": t.column("n").to_numpy()[own], "pos": pos.astype(np.int64)}
+        for k in range(1, EARLIER + 1):
+            before = np.zeros(len(h), np.int64)
+            before[k:] = np.where(own[k:] == own[:-k], h[:-k], 0)
+            out[f"e{k}"] = before
+        return pa.table(out)
+
+    schema = "h bigint, rep bigint, n bigint, pos bigint" + "".join(f", e{k} bigint" for k in range(1, EARLIER + 1))
+    return map_arrow(classes.select("rep", "n", "prefix"), rows, schema).join(several, "h", "left_semi")
+
+
+def leader_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, na, b, nb`` of each class with two leaders of its bucket, where bounds allow a link.
+
+    The leaders are the classes with the smallest number and with the smallest hash,
+    so that buckets of like classes mostly have the same leaders.
+    """
+    own = ("rep", "n", "pos")
+    leaders = members.groupBy("h").agg(
+        F.min(F.struct(*own)).alias("__l0"), F.min(F.struct(F.xxhash64("rep").alias("k"), *own)).alias("__l1")
+    )
+    both = F.array("__l0", F.struct(*[F.col(f"__l1.{c}").alias(c) for c in own]))
+
+    def allowed(x: Column) -> Column:
+        """Whether the sizes, and the places of the first shared n-gram, allow the similarity."""
+        most = F.least(F.col("n") - F.col("pos"), x["n"] - x["pos"])
+        sizes = F.least("n", x["n"]) * 100 >= F.greatest("n", x["n"]) * percent
+        return (x["rep"] != F.col("rep")) & sizes & (most * 100 >= (F.col("n") + x["n"] - most) * percent)
+
+    met = members.select("h", *own).join(leaders, "h").select(*own, F.explode(F.filter(both, allowed)).alias("x"))
+    low = F.col("rep") < F.col("x.rep")
+    pick = lambda c, first: F.when(low if first else ~low, F.col(c)).otherwise(F.col(f"x.{c}"))
+    return met.select(pick("rep", True).alias("a"), pick("n", True).alias("na"), pick("rep", False).alias("b"), pick("n", False).alias("nb")).distinct()
+
+
+def _runs(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[dict[str, np.ndarray]]:
+    """Whole runs of equal values in the column ``by`` from batches that are sorted by it."""
     held: dict[str, np.ndarray] | None = None
     for batch in batches:
         now = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(batch.schema.names)}
         if held is not None:
             now = {c: np.concatenate([held[c], now[c]]) for c in now}
-        cut = int(np.searchsorted(now["h"], now["h"][-1], side="left")) if len(now["h"]) else 0
+        cut = int(np.searchsorted(now[by], now[by][-1], side="left")) if len(now[by]) else 0
         if cut:
             yield {c: v[:cut] for c, v in now.items()}
         held = {c: v[cut:] for c, v in now.items()}
-    if held is not None and len(held["h"]):
+    if held is not None and len(held[by]):
         yield held
 
 
-def _bound_holds(n1: np.ndarray, p1: np.ndarray, n2: np.ndarray, p2: np.ndarray, percent: int) -> np.ndarray:
-    """Whether the sizes, and the places of the first shared n-gram, allow the similarity."""
-    most = 1 + np.minimum(n1 - p1 - 1, n2 - p2 - 1)
-    sizes = 100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)
-    return sizes & (100 * most >= percent * (n1 + n2 - most))
-
-
-def buckets(classes: DataFrame) -> DataFrame:
-    """``h, rep, n, pos`` of n-grams that two or more classes have in their prefixes."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in _runs(batches):
-            new = np.concatenate([[True], r["h"][1:] != r["h"][:-1]])
-            sizes = np.diff(np.concatenate([np.flatnonzero(new), [len(new)]]))
-            keep = np.repeat(sizes > 1, sizes)
-            if keep.any():
-                yield pa.RecordBatch.from_pydict({c: pa.array(r[c][keep]) for c in ("h", "rep", "n", "pos")})
+def _dealt(members: DataFrame) -> DataFrame:
+    """Adds ``g``, the task's group, ``block`` and ``cross``: whether only rows of different blocks meet in it.
 
-    rows = classes.select("rep", "n", F.posexplode("prefix").alias("pos", "h")).select("h", "rep", "n", F.col("pos").cast("bigint").alias("pos"))
-    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(scan, "h bigint, rep bigint, n bigint, pos bigint")
-
-
-def _open_buckets(r: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """First and last + 1 row of each bucket whose classes aren't all in one component."""
-    first = np.concatenate([[0], np.flatnonzero(r["h"][1:] != r["h"][:-1]) + 1]).astype(int)
-    last = np.concatenate([first[1:], [len(r["h"])]]).astype(int)
-    still = np.minimum.reduceat(r["comp"], first) != np.maximum.reduceat(r["comp"], first)
-    return first[still], last[still]
-
-
-def leader_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, na, b, nb`` of each class with two leaders of its bucket, where bounds allow a link.
-
-    The leaders are the classes with the smallest id and with the smallest hash,
-    so that buckets of like classes mostly have the same leaders.
+    A bucket of ``m`` rows makes ``m / BLOCK_ROWS`` blocks, rounded up, and each two blocks a group.
     """
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in _runs(batches):
-            rep, n, pos = r["rep"], r["n"], r["pos"]
-            new = np.concatenate([[True], r["h"][1:] != r["h"][:-1]])
-            run, first = np.cumsum(new) - 1, np.flatnonzero(new)
-            found = []
-            for by in (rep, rep.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)):
-                at = np.lexsort((by, run))[first][run]
-                ok = (rep[at] != rep) & _bound_holds(n, pos, n[at], pos[at], percent)
-                i, j = np.flatnonzero(ok), at[ok]
-                low = rep[i] < rep[j]
-                a, b = np.where(low, i, j), np.where(low, j, i)
-                found.append(np.stack([rep[a], n[a], rep[b], n[b]], axis=1))
-            pairs = np.unique(np.concatenate(found), axis=0)
-            if len(pairs):
-                yield pa.RecordBatch.from_pydict({c: pairs[:, k].copy() for k, c in enumerate(("a", "na", "b", "nb"))})
-
-    dealt = members.select("h", "rep", "n", "pos").repartition("h").sortWithinPartitions("h")
-    return dealt.mapInArrow(scan, "a bigint, na bigint, b bigint, nb bigint").distinct()
+    blocks = F.ceil(F.col("m") / BLOCK_ROWS)
+    own = F.pmod(F.xxhash64("rep", F.lit(11)), blocks)
+    return (
+        members.withColumn("block", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+        .withColumn("g", F.xxhash64("h", F.least("block", "other"), F.greatest("block", "other")))
+        .withColumn("cross", F.col("block") != F.col("other"))
+    )
 
 
 def open_pairs(members: DataFrame, percent: int, chunk: int = 1 << 20) -> DataFrame:
     """Pairs ``a, na, b, nb`` of a bucket in different components whose bounds allow a link.
 
-    The overlap is at most the sum, over ranges of hashes, of the lesser of both sizes.
+    Of the pair's buckets only those list it in whose rows no earlier n-gram is
+    the same, among them that of its first shared n-gram.  The overlap is at most
+    the sum, over ranges of hashes, of the lesser of both sizes.
     """
+    earlier = [f"e{k}" for k in range(1, EARLIER + 1)]
+    narrow = ["g", "rep", "n", "pos", "comp", "sizes", "block", "cross", *earlier]
+
+    def listed(r: dict[str, np.ndarray], part: np.ndarray) -> Iterator[pa.RecordBatch]:
+        g, n, pos, comp, rep = (r[c][part] for c in ("g", "n", "pos", "comp", "rep"))
+        block, cross = r["block"][part], r["cross"][part]
+        before = np.stack([r[c][part] for c in earlier], axis=1)
+        blobs = r["sizes"][part]
+        known = np.array([x is not None for x in blobs])
+        sizes = np.frombuffer(b"".join(x or bytes(PARTS) for x in blobs), np.uint8).reshape(-1, PARTS)
+        # In order of group and size: partners of i are those after it, up to the size that its own size and place allow.
+        group = np.cumsum(np.concatenate([[0], (g[1:] != g[:-1]).astype(np.int64)]))
+        limit = np.minimum(n * 100 // percent, (n - pos) * (100 + percent) // percent - n)
+        upto = np.searchsorted((group << 32) + n, (group << 32) + np.maximum(limit, 0), side="right")
+        width = np.maximum(upto - np.arange(len(n)) - 1, 0)
+        ends = np.cumsum(width)
+        at = 0
+        while at < len(n):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + chunk, side="right")))
+            w = width[at:to]
+            i = np.repeat(np.arange(at, at + len(w)), w)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(w) - w, w)
+            at = to
+            ok = (comp[i] != comp[j]) & ((block[i] != block[j]) | ~cross[i])
+            i, j = i[ok], j[ok]
+            most = np.minimum(n[i] - pos[i], n[j] - pos[j])
+            ok = 100 * most >= percent * (n[i] + n[j] - most)
+            i, j = i[ok], j[ok]
+            for k in range(0, len(i), 65536):
+                x, y = i[k : k + 65536], j[k : k + 65536]
+                seen = np.zeros(len(x), bool)
+                for c in range(EARLIER):
+                    mine = before[x, c]
+                    seen |= (mine != 0) & (before[y] == mine[:, None]).any(axis=1)
+                x, y = x[~seen], y[~seen]
+                most = np.minimum(sizes[x], sizes[y]).sum(axis=1, dtype=np.int64)
+                ok = (100 * most >= percent * (n[x] + n[y] - most)) | ~(known[x] & known[y])
+                x, y = x[ok], y[ok]
+                if len(x):
+                    swap = rep[x] > rep[y]
+                    a, b = np.where(swap, y, x), np.where(swap, x, y)
+                    yield pa.RecordBatch.from_pydict({"a": rep[a], "na": n[a], "b": rep[b], "nb": n[b]})
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in _runs(batches):
-            for start, end in zip(*_open_buckets(r), strict=True):
-                part = slice(start, end)
-                blobs = r["sizes"][part]
-                known = np.array([x is not None for x in blobs])
-                sizes = np.frombuffer(b"".join(x or bytes(PARTS) for x in blobs), np.uint8).reshape(-1, PARTS)
-                order = np.lexsort((r["rep"][part], r["n"][part]))
-                rep, n, pos, comp = (r[c][part][order] for c in ("rep", "n", "pos", "comp"))
-                known, sizes = known[order], sizes[order]
-                # Sorted by size: partners of i are those after it, up to the size that still allows a link.
-                upto = np.searchsorted(n, n * 100 // percent, side="right")
-                width = np.maximum(upto - np.arange(len(n)) - 1, 0)
-                at = 0
-                while at < len(n):
-                    to = at + max(1, int(np.searchsorted(np.cumsum(width[at:]), chunk)))
-                    w = width[at:to]
-                    i = np.repeat(np.arange(at, min(to, len(n))), w)
-                    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(w) - w, w)
-                    ok = comp[i] != comp[j]
-                    i, j = i[ok], j[ok]
-                    ok = _bound_holds(n[i], pos[i], n[j], pos[j], percent)
-                    i, j = i[ok], j[ok]
-                    if len(i):
-                        most = np.concatenate([np.minimum(sizes[i[k : k + 65536]], sizes[j[k : k + 65536]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i), 65536)])
-                        ok = (100 * most >= percent * (n[i] + n[j] - most)) | ~(known[i] & known[j])
-                        i, j = i[ok], j[ok]
-                    if len(i):
-                        swap = rep[i] > rep[j]
-                        a, b = np.where(swap, j, i), np.where(swap, i, j)
-                        yield pa.RecordBatch.from_pydict({"a": rep[a], "na": n[a], "b": rep[b], "nb": n[b]})
-                    at = to
-
-    dealt = members.select("h", "rep", "n", "pos", "comp", "sizes").repartition("h").sortWithinPartitions("h")
+        for r in _runs(batches, "g"):
+            order = np.lexsort((r["rep"], r["n"], r["g"]))
+            yield from listed(r, order)
+
+    dealt = _dealt(members).select(*narrow).repartition("g").sortWithinPartitions("g")
     return dealt.mapInArrow(scan, "a bigint, na bigint, b bigint, nb bigint").distinct()
 
 
@@ -278,24 +315,21 @@ def segments(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
     Texts are read again; a filter of bounded size skips most that aren't
     asked for, and the join drops what the filter lets through by chance.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(bit_table(members.select(F.xxhash64("rep").alias("h")), "h"))
+    sent = docs.sparkSession.sparkContext.broadcast(bit_table(members, "rep"))
     bits = FRAGMENTS.bit_length() - 1
 
     def cut(t: pa.Table) -> pa.Table | None:
-        t = t.filter(pa.array(is_set(sent.value, t.column("__hash").to_numpy().view(np.uint64))))
+        t = t.filter(pa.array(is_set(sent.value, t.column("rid").to_numpy().view(np.uint64))))
         if not t.num_rows:
             return None
         cache, ids, parts = _WordHashes(), [], []
-        for doc, b in zip(t.column("doc_id").to_pylist(), t.column("__bytes").to_pylist(), strict=True):
+        for row, b in zip(t.column("rid").to_pylist(), t.column("__bytes").to_pylist(), strict=True):
             h = ngram_hashes(b, cache, n)
-            ids.append(doc)
+            ids.append(row)
             parts += np.split(h, np.searchsorted(h, np.arange(1, FRAGMENTS, dtype=np.uint64) << np.uint64(64 - bits)))
         return pa.table({"rep": np.repeat(np.array(ids, np.int64), FRAGMENTS), "fragment": np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(ids)), "segment": _lists(parts)})
 
-    found = map_arrow(
-        docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("doc_id").alias("__hash"), "__bytes"),
-        cut, "rep bigint, fragment int, segment array<bigint>",
-    )
+    found = map_arrow(docs.select("rid", "__bytes"), cut, "rep bigint, fragment int, segment array<bigint>")
     return found.join(members.select("rep"), "rep", "left_semi").dropDuplicates(["rep", "fragment"])
 
 
@@ -317,15 +351,15 @@ def linked(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame
     segs = materialize(segments(docs, asked, n), "segments")
     release(docs.sparkSession)
     out = materialize(verified(pairs, segs, percent), "links")
-    release(docs.sparkSession)
+    discard(segs, pairs)
     return out
 
 
-def _still_open(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """Members with their components, of the buckets that still have more than one; written."""
-    now = members.join(comps, F.col("rep") == F.col("node"), "left").select("h", "rep", "n", "pos", F.coalesce("component", "rep").alias("comp"))
-    several = now.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("h")
-    return materialize(now.join(several, "h", "left_semi"), "members")
+def _still_open(members: DataFrame, comps: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Members with their components and sizes, of the buckets that still have more than one; ``m`` is the bucket's rows."""
+    now = members.join(comps, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep")).drop("node", "component")
+    several = now.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi").select("h", "m")
+    return now.join(several, "h").join(sizes, "rep")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -335,34 +369,30 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     of word n-grams; ``component_id`` is the smallest key that links reach.
     With fewer words than ``n`` the whole sequence is the set's one member.
     Null, empty and blank texts have empty sets and stand alone.  Equal rows
-    give equal rows.  Sets are compared by 64-bit hashes.
+    give equal rows; several texts under one key are documents of their own.
+    A row with a null key links as others do, and its null counts as no
+    component's smallest key.  Sets are compared by 64-bit hashes of n-grams,
+    and rows named by 64-bit hashes.
     """
     spark = docs.sparkSession
     source = _bytes_of(docs, key, text)
-    frequent = frequent_ngrams(source, n, percent)
-    sets = materialize(n_gram_sets(source, frequent, n, percent), "sets")
-    classes = (
-        sets.filter(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
-        .groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sizes").alias("sizes"))
+    sets = materialize(n_gram_sets(source, frequent_ngrams(source, n, percent), n, percent), "sets")
+    classes = materialize(
+        sets.filter(F.col("key").isNotNull()).groupBy("key")
+        .agg(F.min("rid").alias("rep"), F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "prefix", "sizes")]),
+        "classes",
     )
-    release(spark)
     members = materialize(buckets(classes), "members")
     release(spark)
-    pairs = materialize(leader_pairs(members, percent), "pairs")
-    links = linked(source, pairs, n, percent)
+    links = linked(source, materialize(leader_pairs(members, percent), "pairs"), n, percent)
     comps = connected_components(links)
-    members = _still_open(members, comps)
-    release(spark)
-    with_sizes = members.join(classes.select("rep", "sizes"), "rep")
-    more = materialize(open_pairs(with_sizes, percent), "open")
-    release(spark)
+    more = materialize(open_pairs(_still_open(members, comps, classes.select("rep", "sizes")), percent), "open")
+    discard(members)
     if not more.isEmpty():
         comps = connected_components(links.unionByName(linked(source, more, n, percent)))
-    by_key = (
-        sets.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("rep"))
-        .join(comps, F.col("rep") == F.col("node"), "left")
-        .select("key", F.coalesce("component", "rep").alias("__c"))
-    )
+    named = classes.select("key", "rep", "least").join(comps, F.col("rep") == F.col("node"), "left").select("key", "least", "component")
+    smallest = named.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min("least").alias("__c"))
+    by_key = named.join(smallest, "component", "left").select("key", F.coalesce("__c", "least").alias("__c"))
     return (
         sets.select("doc_id", "n", "key").join(by_key, "key", "left")
         .select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("__c", "doc_id").alias("component_id"))

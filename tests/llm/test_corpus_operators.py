@@ -76,6 +76,29 @@ def test_ngram_join_chain_across_leaders(spark):
     assert {tuple(r) for r in ngram_join.near_duplicates(make(spark, rows)).collect()} == brute_components(rows)
 
 
+@pytest.mark.parametrize("block", [4096, 150])
+def test_ngram_join_of_one_template_in_many_components(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block)
+    rng = random.Random(8)
+    template = [f"t{i}" for i in range(70)]
+    rows = []
+    for k in range(2000):
+        w = template[:]
+        for _ in range(rng.choice([1, 1, 2, 3, 4, 5])):
+            w[rng.randrange(70)] = f"e{rng.randrange(60)}"
+        rows.append((3000 - k, " ".join(w), "s"))
+    want = brute_components(rows)
+    assert {tuple(r) for r in ngram_join.near_duplicates(make(spark, rows)).collect()} == want
+    assert len({c for _, _, c in want}) > 20
+
+
+def test_ngram_join_of_texts_under_one_key_and_null_keys(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(5, a, "s"), (5, b, "s"), (7, a + " x", "s"), (3, b + " y", "s"), (None, a + " z", "s"), (None, None, "s"), (None, "alone " * 9, "s")]
+    got = Counter(tuple(r) for r in ngram_join.near_duplicates(make(spark, rows)).collect())
+    assert got == Counter([(5, 36, 5), (5, 36, 3), (7, 37, 5), (3, 37, 3), (None, 37, 5), (None, 0, None), (None, 1, None)])
+
+
 def test_ngram_join_empty_and_extra_columns(spark):
     assert ngram_join.near_duplicates(make(spark, [])).count() == 0
     docs = make(spark, [(1, "a b c d e f", "s"), (2, "a b c d e f", "s")]).selectExpr("*", "1 AS n", "'k' AS key", "0 AS rep")
