@@ -199,14 +199,13 @@ def buckets(classes: DataFrame) -> DataFrame:
 def leader_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, na, b, nb`` of each class with two leaders of its bucket, where bounds allow a link.
 
-    The leaders are the classes with the smallest number and with the smallest hash,
-    so that buckets of like classes mostly have the same leaders.
+    The leaders are the class with the fewest n-grams before the bucket's, for edits of
+    a text put rarer ones there, and that with the smallest number, so that
+    buckets of like classes mostly have the same leaders.
     """
     own = ("rep", "n", "pos")
-    leaders = members.groupBy("h").agg(
-        F.min(F.struct(*own)).alias("__l0"), F.min(F.struct(F.xxhash64("rep").alias("k"), *own)).alias("__l1")
-    )
-    both = F.array("__l0", F.struct(*[F.col(f"__l1.{c}").alias(c) for c in own]))
+    leaders = members.groupBy("h").agg(F.min(F.struct("pos", "rep", "n")).alias("__l0"), F.min(F.struct(*own)).alias("__l1"))
+    both = F.array(F.struct(*[F.col(f"__l0.{c}").alias(c) for c in own]), "__l1")
 
     def allowed(x: Column) -> Column:
         """Whether the sizes, and the places of the first shared n-gram, allow the similarity."""
