@@ -2,21 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """A written copy, so that a loop's plan doesn't grow and a lost executor costs a reread."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    path = f"{root.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
+from .running import cut
 
 
 def degrees(edges: DataFrame, weight: str | None = None) -> DataFrame:
