@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
@@ -10,25 +11,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.running import shared_dir
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-LOCAL_DIR = "file:///tmp/checkpoints"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share; the session names it.
-
-    Only where all of Spark runs on this machine may it be unset.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return named or LOCAL_DIR
-
-
 def _delete(spark: SparkSession, path: str, later: bool = False) -> None:
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
@@ -43,7 +34,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     reread only.  The files go with ``discard``, or when the driver's JVM ends.
     """
     spark = df.sparkSession
-    folder = f"{shared_dir(spark).rstrip('/')}/lodestrata-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/lodestrata-{uuid.uuid4().hex}"
     df.write.parquet(f"{folder}/{name}")
     _delete(spark, folder, later=True)
     out = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
@@ -81,10 +72,26 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.Table], pa.Table | None], schema:
                 out = fn(pa.Table.from_batches([batch.slice(at, rows)]))
                 if out is not None:
                     yield from out.to_batches()
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers are kept for later tasks, and what they hold adds up."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def row_digest(*columns: str) -> Column:
+    """128 bits that name a row by its values; null differs from every text, equal rows share it."""
+    parts = [F.coalesce(F.concat(F.lit("1"), F.col(c).cast("string")), F.lit("0")) for c in columns]
+    return F.unhex(F.md5(F.concat_ws("\u0001", *parts).cast("binary")))
+
+
 def hash_unit(*parts: Column) -> Column:
     """A number in [0, 1) from the md5 of the parts; the same in each run."""
     text = F.concat_ws("\u0001", *[F.coalesce(p.cast("string"), F.lit("\u0002")) for p in parts])
