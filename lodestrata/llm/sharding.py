@@ -3,18 +3,18 @@
 Documents with equal texts form a group.  Groups are put into bundles by hash,
 a number that depends on the number of shards alone, and the bundles' vectors
 (bytes, tokens, rows) are packed on the driver: the largest first, each into
-the shard where the dot product of its vector with the residual capacity is
-highest.  A group that outweighs a bundle is cut into pieces by the hash of
-``doc_id``, each a bundle, so that no task has the whole of it; its pieces go to
-one shard, unless it outweighs ``WHOLE`` of a shard: then they go in lots of
-that weight.  At most ``shards * BUNDLES_PER_SHARD`` groups outweigh a bundle,
-so what reaches the driver is bounded by the number of shards.
+the shard where the weighted dot product of its vector with the residual capacity is
+highest, over all shards.  A group that outweighs a bundle is a unit of its own,
+dealt over several tasks by the hash of ``doc_id``.  A group that outweighs a
+whole shard, in bytes, tokens or rows, can't stay in one: it is placed in
+lots of a quarter of a shard.  At most ``3 * shards * BUNDLES_PER_SHARD`` groups
+outweigh a bundle, so what reaches the driver is bounded by the number of shards.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, table, word_count
@@ -22,24 +22,23 @@ from .common import materialize, table, word_count
 SHARDS = 40
 BUNDLES_PER_SHARD = 256
 OVERHEAD = 16
-#: The share of a shard up to which a group stays in one shard.
-WHOLE = 1 / 2
-#: How much fuller than the emptiest, as a share of a shard, a shard may be to be chosen.
-SLACK = 0.002
-#: Pieces of one group at most, so that a bundle's number tells group and piece.
-PIECES = 1 << 16
+#: How much bytes, tokens and rows count in the dot product; bytes most, as tasks are as long as their bytes.
+WEIGHTS = (20.0, 5.0, 1.0)
+#: The share of a shard that a lot has of a group that outweighs one.
+LOT = 1 / 4
+#: Numbers of bundles of heavy groups: the group's number times this, and the piece.
+PIECES = 1 << 32
 
 
-def pack(vectors: np.ndarray, shards: int) -> np.ndarray:
+def pack(vectors: np.ndarray, shards: int, weights: tuple[float, ...] = WEIGHTS) -> np.ndarray:
     """Shard of each row of ``vectors``; deterministic, ties to the lower shard."""
     total = vectors.sum(axis=0).astype(float)
     unit = np.divide(vectors * shards, total, out=np.zeros(vectors.shape), where=total > 0)
     residual = np.ones((shards, vectors.shape[1]))
     out = np.zeros(len(vectors), dtype=np.int64)
+    weighted = unit * np.array(weights)
     for i in np.lexsort((np.arange(len(unit)), -unit.max(axis=1))) if len(unit) else []:
-        # Bytes stay near equal whatever the rest: only shards about as empty as the emptiest come into question.
-        room = residual[:, 0] >= residual[:, 0].max() - SLACK
-        out[i] = int(np.argmax(np.where(room, residual @ unit[i], -np.inf)))
+        out[i] = int(np.argmax(residual @ weighted[i]))
         residual[out[i]] -= unit[i]
     return out
 
@@ -56,13 +55,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     )
 
 
-def _group_number() -> Column:
-    """From 1 on, below 2 ** 40."""
-    return F.pmod(F.xxhash64("__text_key", F.lit(3)), F.lit((1 << 40) - 1)) + 1
-
-
 def assign(docs: DataFrame, shards: int = SHARDS, narrow: DataFrame | None = None) -> DataFrame:
-    """Adds ``shard`` and ``slot`` to rows that have ``fingerprints``' columns.
+    """Adds ``shard`` and ``slot`` to rows that have ``fingerprints``' columns; others stay.
 
     ``narrow``: a written table of those columns without others, if there is
     one.  Shards are filled to near equal bytes, tokens and rows.  Slots run
@@ -73,32 +67,28 @@ def assign(docs: DataFrame, shards: int = SHARDS, narrow: DataFrame | None = Non
     """
     spark = docs.sparkSession
     bundles = shards * BUNDLES_PER_SHARD
-    if bundles > PIECES:
-        raise ValueError(f"at most {PIECES // BUNDLES_PER_SHARD} shards")
     if narrow is None:
         narrow = materialize(docs.select("doc_id", "size", "tokens", "__text_key"), "fingerprints")
-    total = narrow.agg(F.sum("size")).first()[0] or 0
-    limit = max(1, total // bundles)
-    groups = narrow.groupBy("__text_key").agg(F.sum("size").alias("__bytes"), F.count(F.lit(1)).alias("__n"))
-    heavy = [
-        (bytes(r[0]), int(min(-(-2 * r[1] // limit), r[2], PIECES)), r[3], r[1])
-        for r in groups.filter((F.col("__bytes") > limit) & (F.col("__n") > 1)).select("*", _group_number()).collect()
-    ]
-    pieces = spark.createDataFrame([h[:2] for h in heavy], "__heavy_key binary, __pieces int")
-    # Pieces of a group that are placed as one.
-    lots = {h[2]: max(1, int(h[1] / max(1.0, h[3] * shards / max(1, total) / WHOLE))) for h in heavy}
+    totals = [float(x or 0) for x in narrow.agg(F.sum("size"), F.sum("tokens"), F.count(F.lit(1))).first()]
+    #: The largest of a group's shares of all bytes, tokens and rows.
+    share = F.greatest(*[F.col(f"__{c}") / F.lit(max(1.0, t)) for c, t in zip(("bytes", "tokens", "n"), totals, strict=True)])
+    groups = narrow.groupBy("__text_key").agg(F.sum("size").alias("__bytes"), F.sum("tokens").alias("__tokens"), F.count(F.lit(1)).alias("__n"))
+    heavy = groups.select("__text_key", "__n", share.alias("share")).filter(F.col("share") > 1 / bundles).orderBy("__text_key").collect()
+    # Pieces weigh about half a bundle, if their rows weigh no more.
+    pieces = [(bytes(r[0]), k, int(min(-(-2 * r[2] * bundles // 1), r[1]))) for k, r in enumerate(heavy, 1)]
+    lots = {k: max(1, n if r[2] * shards <= 1 else int(n * LOT / (r[2] * shards))) for (_, k, n), r in zip(pieces, heavy, strict=True)}
+    known = spark.createDataFrame(pieces, "__heavy_key binary, __group bigint, __pieces bigint")
 
     def keyed(df: DataFrame) -> DataFrame:
         piece = F.pmod(F.xxhash64("doc_id"), F.col("__pieces"))
+        light = F.pmod(F.xxhash64("__text_key"), F.lit(bundles))
         return (
-            df.join(F.broadcast(pieces), F.col("__text_key") == F.col("__heavy_key"), "left")
-            .withColumn("__bundle", F.when(F.col("__pieces").isNull(), F.pmod(F.xxhash64("__text_key"), F.lit(bundles))).otherwise(_group_number() * PIECES + piece))
-            .drop("__heavy_key", "__pieces")
+            df.join(F.broadcast(known), F.col("__text_key") == F.col("__heavy_key"), "left")
+            .withColumn("__bundle", F.when(F.col("__pieces").isNull(), light).otherwise(F.col("__group") * PIECES + piece))
+            .drop("__heavy_key", "__pieces", "__group")
         )
 
-    sums = (
-        keyed(narrow).groupBy("__bundle").agg(F.sum("size"), F.sum("tokens"), F.count(F.lit(1))).orderBy("__bundle").collect()
-    )
+    sums = keyed(narrow).groupBy("__bundle").agg(F.sum("size"), F.sum("tokens"), F.count(F.lit(1))).orderBy("__bundle").collect()
     units = [r[0] if r[0] < PIECES else (r[0] // PIECES, r[0] % PIECES // lots[r[0] // PIECES]) for r in sums]
     number = {u: i for i, u in enumerate(dict.fromkeys(units))}
     vectors = np.zeros((len(number), 3))
