@@ -34,9 +34,6 @@ MAX_VOCABULARY = 1_000_000
 BLOCK_WORDS = 1_000_000
 #: A word is a run of digits, letters a-z and characters beyond ASCII.
 WORD_BYTES = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-INDEX_SCHEMA = (
-    "shard string, rows array<bigint>, lengths array<int>, terms array<binary>, counts array<int>, postings array<binary>"
-)
 
 
 def words(data: bytes | None) -> list[bytes]:
@@ -57,9 +54,9 @@ def _unpacked(blob: bytes) -> np.ndarray:
 
 
 def build_index(docs: DataFrame, key: str, text: str, vocabulary: set[bytes] | None = None, gap: int = WINDOW) -> DataFrame:
-    """The positional index of whole texts; ``key`` (bigint) names rows and comes back in ``rows``.
+    """The positional index of whole texts; ``key``, of any type, names rows and comes back in ``rows``.
 
-    Null and empty texts are documents without words.  Keys may repeat.
+    Null and empty texts are documents without words.  Keys may repeat or be null.
     """
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast({w: i for i, w in enumerate(sorted(vocabulary))} if vocabulary is not None else None)
@@ -93,12 +90,14 @@ def build_index(docs: DataFrame, key: str, text: str, vocabulary: set[bytes] | N
             lists = [_packed(x) for x in np.split(place, cuts)]
             heads = term[np.concatenate([[0], cuts])]
             terms, counts = [names[i] for i in heads], np.diff(np.concatenate([[0], cuts, [len(term)]])).tolist()
-        kinds = (pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.binary()))
+        kinds = (pa.string(), pa.list_(t.schema.field("__key").type), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.binary()))
         row = (uuid.uuid4().hex, t.column("__key").to_pylist(), lengths, terms, counts, lists)
         return pa.table([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["shard", "rows", "lengths", "terms", "counts", "postings"])
 
-    narrow = docs.select(F.col(key).cast("bigint").alias("__key"), F.col(text).cast("binary").alias("__bytes"))
-    return materialize(map_arrow(narrow, index, INDEX_SCHEMA, SHARD_ROWS), "index")
+    narrow = docs.select(F.col(key).alias("__key"), F.col(text).cast("binary").alias("__bytes"))
+    kind = narrow.schema["__key"].dataType.simpleString()
+    schema = f"shard string, rows array<{kind}>, lengths array<int>, terms array<binary>, counts array<int>, postings array<binary>"
+    return materialize(map_arrow(narrow, index, schema, SHARD_ROWS), "index")
 
 
 def term_counts(index: DataFrame, terms: Iterable[bytes]) -> dict[bytes, int]:
@@ -203,15 +202,20 @@ def phrase_matches(index: DataFrame, items: list[tuple[str, list[bytes]]], width
             order = sorted(range(len(win)), key=lambda k: (counts.get(win[k], 0), k))
             if counts.get(win[order[0]], 0):
                 plans.setdefault(tuple(win), (order, []))[1].append(i)
-    sent = spark.sparkContext.broadcast(([n for n, _ in items], [(list(w), o, sorted(set(own))) for w, (o, own) in plans.items()]))
+    # By the rarest term, so that a shard's work follows the terms that it shares with the block.
+    by_rarest: dict[bytes, list[tuple[list[bytes], list[int], list[int]]]] = {}
+    for w, (order, own) in plans.items():
+        by_rarest.setdefault(w[order[0]], []).append((list(w), order, sorted(set(own))))
+    sent = spark.sparkContext.broadcast(([n for n, _ in items], by_rarest))
 
     def match(t: pa.Table) -> pa.Table:
         names, wanted = sent.value
+        key_kind = t.schema.field("rows").type.value_type
         out: dict[str, list] = {k: [] for k in ("shard", "row", "key", "n_words", "items", "starts", "ends")}
         for r in t.to_pylist():
             shard = _Shard(r["lengths"], r["terms"], r["postings"], gap)
             hits: dict[int, list[tuple[int, int, int]]] = {}
-            for win, order, own in wanted:
+            for win, order, own in (x for term in shard.at if term in wanted for x in wanted[term]):
                 if any(win[k] not in shard.at for k in order):
                     continue
                 starts = shard.phrase(win, order)
@@ -228,10 +232,11 @@ def phrase_matches(index: DataFrame, items: list[tuple[str, list[bytes]]], width
                         merged.append([i, a, b])
                 for k, v in zip(out, (r["shard"], row, key, n, sorted({names[m[0]] for m in merged}), [m[1] for m in merged], [m[2] for m in merged]), strict=True):
                     out[k].append(v)
-        kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+        kinds = (pa.string(), pa.int32(), key_kind, pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()))
         return pa.table([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
 
-    schema = "shard string, row int, key bigint, n_words bigint, items array<string>, starts array<int>, ends array<int>"
+    kind = index.schema["rows"].dataType.elementType.simpleString()
+    schema = f"shard string, row int, key {kind}, n_words bigint, items array<string>, starts array<int>, ends array<int>"
     return map_arrow(index.select("shard", "rows", "lengths", "terms", "postings"), match, schema, 4)
 
 
@@ -248,10 +253,11 @@ def proximity_matches(index: DataFrame, queries: list[tuple[str, list[bytes]]],
                     for a, b in shard.near(terms, width).tolist():
                         row, place = shard.local(np.array([a]))
                         rows.append((r["rows"][row[0]], name, int(place[0]), int(place[0]) + b - a))
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64())
+        kinds = (t.schema.field("rows").type.value_type, pa.string(), pa.int64(), pa.int64())
         return pa.table([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], names=["key", "query", "start", "end"])
 
-    return map_arrow(index.select("rows", "lengths", "terms", "postings"), match, "key bigint, query string, start bigint, end bigint", 4)
+    kind = index.schema["rows"].dataType.elementType.simpleString()
+    return map_arrow(index.select("rows", "lengths", "terms", "postings"), match, f"key {kind}, query string, start bigint, end bigint", 4)
 
 
 def _union_length(starts: str, ends: str):
@@ -290,7 +296,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
         for f in found[1:]:
             merged = merged.unionByName(f)
         merged = merged.groupBy("shard", "row").agg(
-            F.min("key").alias("key"), F.min("n_words").alias("n_words"),
+            F.first("key").alias("key"), F.min("n_words").alias("n_words"),
             *[F.flatten(F.collect_list(c)).alias(c) for c in ("items", "starts", "ends")],
         )
     return merged.select(
