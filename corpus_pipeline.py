@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import decontamination, mixing, ngram_join, quality, sharding
-from lodestrata.llm.common import materialize, table
+from lodestrata.llm.common import materialize, row_digest, table
 
 #: Share of a document's words that benchmark passages may cover before it goes.
 MAX_HIT_SHARE = 0.0
@@ -19,36 +19,54 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the classifier rejects (score under 0.5)."""
+    """Drops documents that the classifier rejects (score under 0.5); repeated rows share their score, null texts that of no features."""
     model = quality.train(docs, table(spark, sf_dir, "labels"), "quality", held_out=1, modulus=3)
     return quality.score(docs, model, out="__score").filter(F.col("__score") >= 0.5).select(*docs.columns)
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose digest is in ``gone``; of equal rows one stays.
+
+    Both go by the digest, so texts are shuffled once.
+    """
+    rows = docs.withColumn("__row", row_digest("doc_id", "text"))
+    return rows.join(gone, "__row", "left_anti").dropDuplicates(["__row"]).select(*docs.columns)
+
+
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near-duplicates the document with the smallest id.
+    """Keeps of each group of near-duplicates the document with the smallest id (null first).
 
-    Ids of rows that go are anti-joined.  Of rows with the same id and text one
-    stays; other rows that share an id are documents of their own.
+    Rows are told apart by id and text, so several texts under one id are
+    documents of their own.  Of rows with the same id and text one stays.
+    Documents without words, null texts too, are in no group and stay.
     """
-    found = ngram_join.near_duplicates(docs)
-    gone = materialize(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id"), "gone")
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    keyed = docs.select(F.struct("doc_id", row_digest("doc_id", "text").alias("row")).alias("__key"), "text")
+    found = ngram_join.near_duplicates(keyed, key="__key")
+    gone = materialize(found.filter(F.col("__key") != F.col("component_id")).select(F.col("__key.row").alias("__row")), "gone")
+    return _without(docs, gone)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which an occurrence of a benchmark window was found."""
-    found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    gone = materialize(found.filter(F.col("n_hit") > F.col("n_words") * MAX_HIT_SHARE).select("doc_id"), "hit")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Drops documents in which an occurrence of a benchmark window was found; null and empty texts stay, of equal rows one."""
+    keyed = docs.select(row_digest("doc_id", "text").alias("__row"), "text")
+    found = decontamination.decontaminate(keyed, table(spark, sf_dir, "benchmark"), key="__row")
+    gone = materialize(found.filter(F.col("n_hit") > F.col("n_words") * MAX_HIT_SHARE).select("__row"), "hit")
+    return _without(docs, gone)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    return mixing.emit(mixing.mix(mixing.sized(docs)), docs.columns)
+    """Each document as often as the mix takes it; counts are made without texts, which are shuffled once, to meet them.
+
+    A null source is a source; texts without words are drawn at their source's rate.
+    """
+    return mixing.emit(docs, mixing.mix(mixing.sized(docs.withColumn("__row", row_digest("doc_id", "text")))))
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds ``size, shard, slot``; copies of a text lie in one shard, if they are not too many for one."""
+    """Adds ``size, tokens, shard, slot``; copies of a text lie in one shard, unless they outweigh one.
+
+    Null texts count as empty ones; no row is dropped, and slots are gapless.
+    """
     return sharding.assign(sharding.fingerprints(docs)).select(*docs.columns, "size", "tokens", "shard", "slot")
 
 
