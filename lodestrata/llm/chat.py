@@ -1,8 +1,11 @@
 """Chat formatting: schema fingerprints choose declarative mappings to canonical turns.
 
-A record is a JSON text of unknown layout.  The nested field paths of its
-parsed value, without types, are hashed; the hash selects the mapping that
-says where turns are.  Turns are rendered by a template with markers;
+A record is a JSON text of unknown layout.  Its nested field paths, of those
+that any mapping names, are hashed; the hash selects the mapping that
+says where turns are.  Other fields (ids, names, scores) don't change the
+fingerprint.  A record that no mapping fits keeps its whole text as one turn
+of the role ``unknown``, and has a null layout, so that it can be found.
+Turns are rendered by a template with markers;
 control strings inside texts are escaped reversibly, and the loss mask is a list
 of spans (in code points) of the assistants' texts in the output.
 
@@ -11,6 +14,8 @@ All of it is DataFrame expressions.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,33 +29,41 @@ CONTROL = (
     "<<SYS>>", "<</SYS>>", "[INST]", "[/INST]", "<start_of_turn>", "<end_of_turn>", "<bos>", "<eos>", "<pad>", "<unk>",
 )
 
-#: Names of roles by layouts that use others.
-ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+#: Roles in layouts that call them otherwise.
+SHARE_ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+UNKNOWN = "unknown"
 
 
 class Layout:
-    """One mapping: example records give the fingerprints, and the rest says where turns are.
+    """One mapping: the sets of field paths that it fits, and where turns are.
 
-    Either ``items`` names an array of objects with a role and a text field, or
-    ``fields`` lists (role, names); texts of several names are joined by an
-    empty line, absent and empty ones left out, and a role without text gives no turn.
+    Either ``items`` names an array of objects with a role and a text field, whose
+    roles may be renamed, or ``fields`` lists (role, names); texts of several names are joined by an
+    empty line, absent and empty ones left out, and a system role without text gives no turn.
     """
 
-    def __init__(self, name: str, examples: list[str], items: tuple[str, str, str] | None = None, fields: list[tuple[str, tuple[str, ...]]] | None = None):
-        self.name, self.examples, self.items, self.fields = name, examples, items, fields
+    def __init__(
+        self, name: str, fits: list[list[str]], items: tuple[str, str, str] | None = None,
+        fields: list[tuple[str, tuple[str, ...]]] | None = None, roles: dict[str, str] | None = None,
+    ):
+        self.name, self.fits, self.items, self.fields, self.roles = name, fits, items, fields, roles
+
+    def prints(self) -> list[str]:
+        return [hashlib.sha256("\n".join(sorted(p)).encode()).hexdigest() for p in self.fits]
 
     def turns(self, record: Column) -> Column:
         if self.items:
             at, role, text = self.items
-            parsed = F.from_json(record, f"struct<`{at}`: array<struct<`{role}`: string, `{text}`: string>>>")
-            roles = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
-            return F.transform(
-                F.coalesce(parsed[at], F.array().cast(f"array<struct<`{role}`: string, `{text}`: string>>")),
-                lambda t: F.struct(
-                    F.coalesce(F.try_element_at(roles, t[role]), t[role], F.lit("")).alias("role"),
-                    F.coalesce(t[text], F.lit("")).alias("text"),
-                ),
-            )
+            kind = f"array<struct<`{role}`: string, `{text}`: string>>"
+            found = F.coalesce(F.from_json(record, f"struct<`{at}`: {kind}>")[at], F.array().cast(kind))
+
+            def turn(t: Column) -> Column:
+                name = t[role]
+                if self.roles:
+                    name = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in self.roles.items() for x in kv]), name), name)
+                return F.struct(F.coalesce(name, F.lit("")).alias("role"), F.coalesce(t[text], F.lit("")).alias("text"))
+
+            return F.transform(found, turn)
         names = [n for _, ns in self.fields for n in ns]
         parsed = F.from_json(record, "struct<" + ", ".join(f"`{n}`: string" for n in names) + ">")
         each = [
@@ -61,40 +74,60 @@ class Layout:
 
 
 LAYOUTS = (
-    Layout("messages", ['{"messages": [{"role": "", "content": ""}]}', '{"messages": []}'], items=("messages", "role", "content")),
-    Layout("share", ['{"conversations": [{"from": "", "value": ""}]}', '{"conversations": []}'], items=("conversations", "from", "value")),
-    Layout("instruction", ['{"instruction": "", "input": "", "output": ""}', '{"instruction": "", "output": ""}'],
-           fields=[("user", ("instruction", "input")), ("assistant", ("output",))]),
-    Layout("prompt", ['{"prompt": "", "response": ""}', '{"system": "", "prompt": "", "response": ""}'],
-           fields=[("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",))]),
-    Layout("completion", ['{"prompt": "", "completion": ""}'], fields=[("user", ("prompt",)), ("assistant", ("completion",))]),
-    Layout("question", ['{"question": "", "answer": ""}'], fields=[("user", ("question",)), ("assistant", ("answer",))]),
+    Layout("messages", [["messages", "messages[].role", "messages[].content"], ["messages"]], items=("messages", "role", "content")),
+    Layout("share", [["conversations", "conversations[].from", "conversations[].value"], ["conversations"]], items=("conversations", "from", "value"), roles=SHARE_ROLES),
+    Layout("instruction", [["instruction", "input", "output"], ["instruction", "output"]], fields=[("user", ("instruction", "input")), ("assistant", ("output",))]),
+    Layout("prompt", [["prompt", "response"], ["system", "prompt", "response"]], fields=[("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",))]),
+    Layout("completion", [["prompt", "completion"], ["system", "prompt", "completion"]], fields=[("system", ("system",)), ("user", ("prompt",)), ("assistant", ("completion",))]),
+    Layout("question", [["question", "answer"]], fields=[("user", ("question",)), ("assistant", ("answer",))]),
 )
 
 
-def field_paths(record: Column) -> Column:
-    """The nested field paths of a JSON record as one string, types of values left out; null if it isn't JSON."""
-    shape = F.schema_of_variant(F.try_parse_json(record))
-    return F.regexp_replace(shape, r"(: |ARRAY<)(?!OBJECT|ARRAY)[A-Z_]+(\(\d+,\d+\))?", "$1_")
+def field_paths(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
+    """Sorted paths of a JSON object, of those that the layouts name; null if it isn't one.
+
+    ``a[].b``: field b of any element of the list a; ``a[].?``: what should be a list of objects is something else.
+    """
+    known = sorted({p for x in layouts for fit in x.fits for p in fit})
+    top = F.array_intersect(F.json_object_keys(record), F.array(*[F.lit(p) for p in known if "[]" not in p]))
+
+    def fields_of(at: str) -> Column:
+        inner = F.from_json(record, f"struct<`{at}`: array<map<string, string>>>")[at]
+        keys = F.flatten(F.transform(inner, lambda m: F.coalesce(F.map_keys(m), F.array(F.lit("?")))))
+        paths = F.coalesce(F.transform(keys, lambda k: F.concat(F.lit(f"{at}[]."), k)), F.array(F.lit(f"{at}[].?")))
+        wanted = F.array(*[F.lit(p) for p in known if p.startswith(f"{at}[].")], F.lit(f"{at}[].?"))
+        return F.when(F.array_contains(top, at), F.array_intersect(paths, wanted)).otherwise(F.array().cast("array<string>"))
+
+    return F.sort_array(F.concat(top, *[fields_of(at) for at in sorted({p.split("[].")[0] for p in known if "[]" in p})]))
 
 
-def fingerprint(record: Column) -> Column:
-    return F.sha2(field_paths(record), 256)
+def fingerprint(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
+    return F.sha2(F.when(field_paths(record, layouts).isNotNull(), F.concat_ws("\n", field_paths(record, layouts))), 256)
 
 
 def canonical(df: DataFrame, record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """Adds ``fingerprint, layout`` (null if none fits) and ``turns`` (then empty).
+    """Adds ``fingerprint, layout`` (null if none fits) and ``turns``.
 
-    A null record, or one that isn't JSON, has no fingerprint.  Null roles and texts become empty.
+    A record that isn't a JSON object has no fingerprint.  A record without a
+    layout keeps its text as one turn of the role ``unknown``, which no loss mask takes; a null one
+    has no turns.  Null roles and texts become empty.  Columns of these names are replaced.
     """
-    out = df.withColumn("fingerprint", fingerprint(F.col(record)))
-    layout, turns = F.lit(None).cast("string"), F.array().cast("array<struct<role: string, text: string>>")
+    out = df.withColumn("fingerprint", fingerprint(F.col(record), layouts))
+    kept = F.array(F.struct(F.lit(UNKNOWN).alias("role"), F.col(record).alias("text")))
+    layout = F.lit(None).cast("string")
+    turns = F.when(F.col(record).isNull(), F.array().cast("array<struct<role: string, text: string>>")).otherwise(kept)
     for x in reversed(layouts):
-        fits = F.col("fingerprint").isin(*[fingerprint(F.lit(e)) for e in x.examples])
+        fits = F.col("fingerprint").isin(*x.prints())
         layout, turns = F.when(fits, F.lit(x.name)).otherwise(layout), F.when(fits, x.turns(F.col(record))).otherwise(turns)
     return out.withColumn("layout", layout).withColumn("turns", turns)
 
 
+def unknown_layouts(df: DataFrame) -> DataFrame:
+    """``fingerprint, paths, n`` of the canonical records that no layout fits: what a new mapping is needed for."""
+    left = df.filter(F.col("layout").isNull() & F.col("record").isNotNull())
+    return left.groupBy("fingerprint", F.concat_ws(",", F.sort_array(F.json_object_keys("record"))).alias("paths")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def escape(text: Column) -> Column:
     """Backslashes are doubled, and one is put after the first character of each control string."""
     heads = {c[0] for c in CONTROL}
