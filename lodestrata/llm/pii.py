@@ -14,6 +14,7 @@ All of it is DataFrame expressions.
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-KEY = "op6-key"
+#: Setting of the session that holds the secret key of pseudonyms.
+KEY_SETTING = "spark.lodestrata.pii.key"
 ROUNDS = 8
 _DATE = r"(?<![0-9./-])(?:(?:19|20)[0-9]{2}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/(?:19|20)[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.(?:19|20)[0-9]{2})(?![0-9]|[./-][0-9])"
 _IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
@@ -29,14 +31,16 @@ _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
 _LOCAL = r"(?<![0-9])\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])"
 # A group of a number isn't the start of one of another kind.
 _FOURS = r"(?:[0-9]{4}[ -]){3}[0-9]{4}"
-_CARD_AHEAD = rf"(?<![0-9-])(?:[0-9]{{13}}|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{5}}(?![0-9])|{_FOURS}(?:[ -]{_FOURS})*(?![0-9]|[ -][0-9]{{4}}(?![0-9])))"
+_CARD_AHEAD = rf"(?<![0-9-])(?:[0-9]{{13}}|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{5}}(?![0-9])|{_FOURS}(?:[ -]{_FOURS})*+(?![0-9]|[ -][0-9]{{4}}(?![0-9])))"
 _NOT_OTHER = rf"(?!{_DATE}|{_IP}|{_SSN}|{_LOCAL})"
 _GROUP = rf"(?:[ .-]?{_NOT_OTHER}(?!{_CARD_AHEAD})[0-9]{{2,4}})"
 _SIXTEEN = "[^0-9]{0,2}[0-9]" * 16  # written out, for a look-behind
+# Groups that may repeat without bound are possessive: those are matched in a loop, others by recursion, which a long
+# text would exhaust.
 # What counts as a candidate, in the order in which kinds are tried.  Numbers of country 1 have fixed
 # groups; of others as many groups are taken as 15 digits allow.  A card's candidate is a whole row of groups of digits.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "secret": r"(?i:password|passwd|pwd|secret|api_?key|token)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+.-]{8,}[\"']?",
     "key_id": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
     "date": _DATE,
@@ -173,9 +177,12 @@ def date(m: Column, key: str) -> tuple[Column, Column]:
     parse = lambda s: F.try_to_timestamp(s, F.lit("yyyy-MM-dd")).cast("date")
     iso, day_first, month_first = parse(form(p[0], p[1], p[2])), parse(form(p[2], p[1], p[0])), parse(form(p[2], p[0], p[1]))
     value = F.when(first, iso).otherwise(F.coalesce(day_first, month_first))
+    # Days up to the 12th stay among themselves, so that a date that could only be read month first still can't be read otherwise.
+    start = F.lit(DATE_START).cast("date")
+    late = lambda v: F.day(F.date_add(start, F.least(v, F.lit(DATE_DAYS)).cast("int"))) > 12
     new = F.date_add(
-        F.lit(DATE_START).cast("date"),
-        walk(F.datediff(value, F.lit(DATE_START).cast("date")).cast("bigint"), 271, 270, key, F.lit("date"), lambda v: v < DATE_DAYS, 12).cast("int"),
+        start,
+        walk(F.datediff(value, start).cast("bigint"), 271, 270, key, F.lit("date"), lambda v: (v < DATE_DAYS) & (late(v) == (F.day(value) > 12)), 60).cast("int"),
     )
     day_leads = day_first.isNotNull()
     # Day and month are padded to the width that they had, if they fit it.
@@ -188,7 +195,9 @@ def date(m: Column, key: str) -> tuple[Column, Column]:
 
 def _spelt(text: Column, key: str, kind: str, n: Column, alphabet: str) -> Column:
     """``n`` letters of a keyed hash of ``text``; the hash goes on as long as needed."""
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(n / 64).cast("int")), lambda i: F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), text), 256))
+    # The text is hashed once, so that a long one isn't gone through for each block of its pseudonym.
+    whole = F.array(F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), text), 256))
+    blocks = F.flatten(F.transform(whole, lambda h: F.transform(F.sequence(F.lit(0), F.floor(n / 64).cast("int")), lambda i: F.sha2(F.concat_ws("|", F.lit(key), i.cast("string"), h), 256))))
     return F.left(F.translate(F.array_join(blocks, ""), "0123456789abcdef", alphabet), n)
 
 
@@ -215,7 +224,7 @@ def key_id(m: Column, key: str) -> tuple[Column, Column]:
 KINDS = {"email": email, "secret": secret, "key_id": key_id, "date": date, "ip": ip, "ssn": ssn, "phone": phone, "card": card}
 
 
-def pseudonym(m: Column, key: str = KEY) -> tuple[Column, Column]:
+def pseudonym(m: Column, key: str) -> tuple[Column, Column]:
     """``(kind, replacement)`` of one candidate; the kind is null and the text as it was if no kind validates."""
     kind, out = F.lit(None).cast("string"), m
     for name in reversed(PATTERNS):
@@ -257,11 +266,12 @@ def parts(m: Column) -> Column:
     return F.coalesce(F.when(several, F.get(F.transform(F.array(row), cut), F.lit(0))), whole)
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Replaces ``text`` and adds ``pii`` (array of the kinds replaced, in order).
 
-    Null stays null and empty stays empty, with no kinds; nothing else in the
-    text changes.  Other columns stay.
+    Whoever has ``key`` can undo the permutations, so it has no default.  Null
+    stays null and empty stays empty, with no kinds; nothing else in the
+    text changes.  Equal rows give equal rows.  Other columns stay, but for one named ``pii``.
     """
     t = F.col(text)
     found = F.when(F.regexp_like(t, F.lit("[0-9@=:]|AKIA|ASIA")), F.regexp_extract_all(t, F.lit(ANY), F.lit(0)))
@@ -285,7 +295,9 @@ def _is(kind: str) -> Callable[[Column], Column]:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """The session names the key; where it doesn't, pseudonyms are good for this call alone."""
+    key = spark.conf.get(KEY_SETTING, None) or secrets.token_hex(16)
+    found = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
     counts = [F.size(F.filter("pii", _is(n))).alias(f"n_{n}") for n in PATTERNS]
     return found.select("doc_id", "text", F.size("pii").alias("n_replaced"), *counts)
 
