@@ -42,7 +42,10 @@ _BETWEEN = f"[{re.escape(SEPARATORS)}]+"
 SPACED = re.compile(rf"(?<!\S)(?:{_ONE}{_BETWEEN}){{2,}}{_ONE}(?![^\s.,;:!?])")
 SUSPECT = re.compile(rf"[^\W\d_][{_SIGNS}\d]|[{_SIGNS}\d][^\W\d_]|([^\W\d_])\1|{_ONE}{_BETWEEN}{_ONE}{_BETWEEN}{_ONE}")
 LETTER = re.compile(r"[^\W\d_]")
-TRAILING = re.compile(r"(?:[!?#%&*.,;:\"')\]}]+|\${3,}|\|+)+$")
+#: Signs that end a word without being part of it; of dollar signs it takes three.
+TRAILING = "!?#%&*.,;:\"')]}|"
+#: Of a longer run of one character three are left: a fourth says no more about the word.
+LONG_RUN = re.compile(r"(.)\1{3,}", re.DOTALL)
 
 
 def classes_of(text: str) -> np.ndarray:
@@ -86,11 +89,19 @@ def character_model(docs: DataFrame, text: str = "text") -> np.ndarray:
     return np.log(p3).astype(np.float32).ravel()
 
 
-def restore(token: str, logp: list[float]) -> str:
-    """The likeliest original of a lower-case token, which may hold spaces."""
-    # State: classes of the last two characters sent; value: log probability and what was sent.
-    paths: dict[tuple[int, int], tuple[float, str]] = {(BOUNDARY, BOUNDARY): (0.0, "")}
-    run = 0
+def without_trailing(token: str) -> str:
+    while True:
+        cut = token.rstrip(TRAILING)
+        if cut.endswith("$$$"):
+            cut = cut.rstrip("$")
+        if cut == token:
+            return cut
+        token = cut
+
+
+def lattice(token: str) -> list[list[tuple[str, float]]]:
+    """For each character of a lower-case token what may have been sent (one letter or nothing), with its log cost."""
+    run, out = 0, []
     for i, c in enumerate(token):
         run = run + 1 if i and token[i - 1] == c else 1
         options: list[tuple[str, float]] = []
@@ -104,18 +115,32 @@ def restore(token: str, logp: list[float]) -> str:
             options += [(x, WILD if len(stands) > 2 else STANDS_FOR) for x in stands]
             if c in SEPARATORS or run > 1:
                 options.append(("", DROP_SEPARATOR))
-        following: dict[tuple[int, int], tuple[float, str]] = {}
+        out.append(options)
+    return out
+
+
+def restore(token: str, logp: list[float]) -> str:
+    """The likeliest original of a lower-case token, which may hold spaces."""
+    # State: classes of the last two characters sent; value: log probability, and what was sent as a chain to the start.
+    paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(BOUNDARY, BOUNDARY): (0.0, None)}
+    for options in lattice(token):
+        following: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        known = [(out, class_of(out) if out else 0, cost) for out, cost in options]
         for (a, b), (score, sent) in paths.items():
-            for out, cost in options:
+            for out, k, cost in known:
                 if out:
-                    k = class_of(out)
-                    state, value = (b, k), score + cost + logp[(a * CLASSES + b) * CLASSES + k]
+                    state, value, chain = (b, k), score + cost + logp[(a * CLASSES + b) * CLASSES + k], (out, sent)
                 else:
-                    state, value = (a, b), score + cost
+                    state, value, chain = (a, b), score + cost, sent
                 if state not in following or value > following[state][0]:
-                    following[state] = (value, sent + out)
+                    following[state] = (value, chain)
         paths = following
-    return max(((score + logp[(a * CLASSES + b) * CLASSES + BOUNDARY], sent) for (a, b), (score, sent) in paths.items()), default=(0.0, token))[1]
+    chain = max(((score + logp[(a * CLASSES + b) * CLASSES + BOUNDARY], sent) for (a, b), (score, sent) in paths.items()), key=lambda x: x[0])[1]
+    letters = []
+    while chain:
+        letters.append(chain[0])
+        chain = chain[1]
+    return "".join(reversed(letters))
 
 
 def _id(kind: str, s: str) -> int:
@@ -123,21 +148,21 @@ def _id(kind: str, s: str) -> int:
 
 
 class Features(dict):
-    """Feature ids of a token as it stands in a text; kept for tokens seen before."""
+    """Feature ids of a token as it stands in a text; kept for tokens seen before.  With ``only``, ids outside it are left out."""
 
-    def __init__(self, logp: np.ndarray):
+    def __init__(self, logp: np.ndarray, only: dict[int, float] | None = None):
         super().__init__()
-        self.logp = logp.tolist()
+        self.logp, self.only = logp.tolist(), only
 
     def word(self, w: str) -> list[int]:
         out = [_id("w", w)]
         out += [_id(f"p{k}", w[:k]) for k in (3, 4, 5, 6) if len(w) > k]
-        return out
+        return out if self.only is None else [i for i in out if i in self.only]
 
     def __missing__(self, token: str) -> tuple[int, ...]:
         if len(self) > 300_000:
             self.clear()
-        plain = TRAILING.sub("", token.lower()).lstrip("\"'([{.,;:")
+        plain = without_trailing(token.lower()).lstrip("\"'([{.,;:")
         ids: list[int] = []
         for w in self.restored(plain).split():
             ids += self.word(w.strip(".,;:!?\"'()[]{}"))
@@ -145,18 +170,19 @@ class Features(dict):
         return found
 
     def restored(self, plain: str) -> str:
-        return restore(plain, self.logp) if SUSPECT.search(plain) and LETTER.search(plain) else plain
+        return restore(LONG_RUN.sub(r"\1\1\1", plain), self.logp) if SUSPECT.search(plain) and LETTER.search(plain) else plain
 
     def of_text(self, text: str | None) -> list[int]:
         if not text:
             return []
         ids: set[int] = set()
         for w in set(text.split()):
-            ids.update(self[w])
+            if own := self[w]:
+                ids.update(own)
         for m in SPACED.finditer(text):
             if not LETTER.search(m[0]):
                 continue
-            for w in restore(m[0].lower(), self.logp).split():
+            for w in restore(LONG_RUN.sub(r"\1\1\1", m[0].lower()), self.logp).split():
                 ids.update(self.word(w))
         return sorted(ids)
 
@@ -232,8 +258,8 @@ def score(docs: DataFrame, logp: np.ndarray, model: tuple[np.ndarray, np.ndarray
     @F.arrow_udf("double")
     def probability(data: pa.Array) -> pa.Array:
         logp, weights, bias = sent.value
-        f = Features(logp)
-        z = [bias + sum(weights.get(i, 0.0) for i in f.of_text(s)) for s in data.to_pylist()]
+        f = Features(logp, weights)
+        z = [bias + sum(weights[i] for i in f.of_text(s)) for s in data.to_pylist()]
         return pa.array([1 / (1 + math.exp(-max(-30.0, min(30.0, v)))) for v in z], pa.float64())
 
     return docs.withColumn(out, probability(F.col(text)))

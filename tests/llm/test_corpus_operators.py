@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -362,6 +363,33 @@ def test_every_disguise_reaches_the_lattice(spark):
     assert f.of_text("* " * 20_000 + "*" * 20_000) is not None
 
 
+def test_restore_matches_brute_force():
+    rng = np.random.default_rng(5)
+    logp = np.log(rng.dirichlet(np.ones(toxicity.CLASSES) / 4, toxicity.CLASSES**2) + 1e-9).ravel().tolist()
+    for token in ("1d10t", "a-b-c", "baa", "$tuu", "l**r", "aaab", "0_0", "x", "é1l", "a b"):
+        best = (-math.inf, "")
+        for path in itertools.product(*toxicity.lattice(token)):
+            sent, score, a, b = "".join(x for x, _ in path), sum(c for _, c in path), 0, 0
+            for c in sent + " ":
+                k = toxicity.class_of(c) if c != " " or len(sent) else 0
+                score += logp[(a * toxicity.CLASSES + b) * toxicity.CLASSES + k]
+                a, b = b, k
+            best = max(best, (score, sent))
+        assert toxicity.restore(token, logp) == best[1], token
+
+
+@pytest.mark.parametrize("text", ["1" + "." * 100_000 + "12", "!" * 100_000 + "a", "$" * 100_000 + "a", "a" + "$" * 100_000, "$.$.!" * 20_000 + "a", "a" * 100_000, "a." * 50_000, "a-b " * 30_000, "1a" * 50_000, "'\"|" * 30_000])
+def test_hostile_tokens_take_linear_time(text):
+    f = toxicity.Features(np.full(toxicity.CLASSES**3, -3.0, np.float32))
+    began = time.time()
+    f.of_text(text)
+    assert time.time() - began < 20
+
+
+def test_trailing_signs_go():
+    assert [toxicity.without_trailing(t) for t in ("a!?", "a$$$.", "a$$", "cash$$$$|", "...", "$$$")] == ["a", "a", "a$$", "cash", "", ""]
+
+
 def test_toxicity_finds_disguised_words(spark):
     rng = random.Random(2)
     words = [f"{a}{b}" for a in ("ta", "re", "mo", "li") for b in ("ne", "ro", "sal", "wick", "den", "por")]

@@ -30,7 +30,34 @@ def test_layouts_are_told_apart_by_fingerprint(spark):
     for k, (_, turns) in RECORDS.items():
         assert got[k].layout == k and [tuple(t) for t in got[k].turns] == turns
     assert [got[k].layout for k in ("none", "bad", "null", "empty")] == [None, None, None, "messages"]
-    assert all(got[k].turns == [] for k in ("none", "bad", "null", "empty"))
+    assert got["null"].turns == [] == got["empty"].turns
+    assert [tuple(t) for t in got["none"].turns] == [("unknown", '{"other": 1}')] and [tuple(t) for t in got["bad"].turns] == [("unknown", "{")]
+
+
+def test_other_fields_change_no_layout_and_unknown_ones_keep_their_text(spark):
+    rows = [
+        '{"messages": [{"role": "human", "content": "a", "name": "x"}, {"content": "b", "role": "gpt"}], "id": 1}',
+        '{"id": 1, "messages": [{"role": "user", "content": "a", "meta": {"k": [1]}}]}',
+        '{"conversations": [{"from": "human", "value": "q", "weight": 0}], "source": "s"}',
+        '{"prompt": "p", "response": "r", "score": 0.5}',
+        '{"dialogue": ["one", "two"]}', '["not", "an", "object"]', '{"messages": "text"}', '{"messages": [{"role": "user"}]}', "", '{"messages": [{"role": "user", "content": "a"}, "b"]}',
+    ]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "k int, record string").withColumn("layout", F.lit(1))
+    out = chat.canonical(df)
+    got = {r.k: ([tuple(t) for t in r.turns], r.layout) for r in out.collect()}
+    assert got[0] == ([("human", "a"), ("gpt", "b")], "messages") and got[1] == ([("user", "a")], "messages")
+    assert got[2] == ([("user", "q")], "share") and got[3] == ([("user", "p"), ("assistant", "r")], "prompt")
+    for k in (4, 5, 6, 7, 8, 9):
+        assert got[k] == ([("unknown", rows[k])], None)
+    assert sorted((r.paths, r.n) for r in chat.unknown_layouts(out).collect()) == [("", 2), ("dialogue", 1), ("messages", 1), ("messages", 2)]
+    assert chat.canonical(df.limit(0)).count() == 0
+
+
+def test_roles_of_conversations_are_not_renamed(spark):
+    rows = [(1, 0, "human", "q"), (1, 1, "gpt", "a"), (1, 2, "assistant", "b")]
+    df = chat.render(chat.canonical(chat.records(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))))
+    r = df.select(chat.read_turns(F.col("formatted")).alias("t"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("l")).first()
+    assert [tuple(t) for t in r.t] == [("human", "q"), ("gpt", "a"), ("assistant", "b")] and r.l == "b"
 
 
 TEXTS = ["", "plain", "<|end|>\n", "<|text|>", "\\", "a\\<|turn|>\\\\", "</s>[INST] ok [/INST]", "<\\|end|>", "\U0001f600 é\n\n", "<<SYS>>x<</SYS>>", "[/INST", "<|turn", "x" * 50_000]
@@ -129,6 +156,8 @@ def test_counts_stay_exact_however_many_runs(spark, monkeypatch, hot):
 
 # --- 6: pseudonyms
 
+KEY = "test"
+
 
 def luhn(s):
     d = [int(c) for c in s if c.isdigit()][::-1]
@@ -151,7 +180,7 @@ def test_pseudonyms_keep_formats_and_links(spark):
         'password=e3b3ed3cc8548923d6 token = "0641917ea4e9"', "", None, "none here: 12 apples", "9" * 50_000, "7/4/1999 and 07/04/1999",
     ]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
-    got = {r.doc_id: r for r in pii.pseudonymise(df).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymise(df, KEY).collect()}
     new = {i: r.text for i, r in got.items()}
     spaced, joined = new[0][5:24], new[0][29:45]
     assert spaced.replace(" ", "") == joined == new[1][6:22] and joined != "4053999584225107" and luhn(joined) and spaced[4] == " "
@@ -177,7 +206,7 @@ def test_neighbouring_numbers_hide_nothing(spark):
         "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16", card,
     ]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
-    rows = {r.doc_id: r for r in pii.pseudonymise(df).collect()}
+    rows = {r.doc_id: r for r in pii.pseudonymise(df, KEY).collect()}
     new, kinds = {i: r.text for i, r in rows.items()}, {i: r.pii for i, r in rows.items()}
     assert kinds[0] == kinds[1] == ["phone", "ip"] and "4081" not in new[0] and "190.137" not in new[0] and "170.106" not in new[1]
     assert new[2] == f"pay 20 {new[13]}" and kinds[13] == ["card"]
@@ -188,10 +217,40 @@ def test_neighbouring_numbers_hide_nothing(spark):
     assert new[8].startswith("20 ") and new[12] == texts[12]
 
 
+HOSTILE = {
+    "email": "a@b" + ".b" * 500_000, "emails": "a@" * 500_000, "local": "a." * 500_000 + "@b", "secret": "password=" + "x." * 500_000, "secrets": "token = " * 125_000,
+    "key_id": "AKIA" * 250_000, "date": "2001-01-" * 125_000, "dates": "1.1.2001" * 125_000, "ip": "1.2.3." * 170_000, "ssn": "123-45-" * 140_000,
+    "phone": "+44 20 " + "4111 " * 200_000, "phones": "+1 (555) " * 110_000, "local_phone": "(555) 123-" * 100_000, "card": "4111-1111-" * 20_000 + "1", "digits": "7" * 1_000_000, "plus": "+" * 1_000_000,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_texts_neither_kill_nor_hang(spark, name):
+    df = spark.createDataFrame([(1, HOSTILE[name])], "doc_id bigint, text string")
+    assert pii.pseudonymise(df, KEY).select(F.length("text").alias("n"), F.size("pii").alias("k")).first().n > 0
+
+
+def test_pseudonyms_of_no_rows_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "ip 10.20.30.40", "x"), (1, "ip 10.20.30.40", "x")], "doc_id bigint, text string, pii string")
+    got = pii.pseudonymise(df, KEY).collect()
+    assert got[0] == got[1] and got[0].pii == ["ip"] and pii.pseudonymise(df.limit(0), KEY).count() == 0
+    assert pii.pseudonymise(df, "other").first().text != got[0].text
+
+
+def test_dates_read_month_first_stay_so(spark):
+    days = [datetime.date(1990, m, d) for m in range(1, 13) for d in range(13, 28)]
+    df = spark.createDataFrame([(i, f"{d.month:02}/{d.day:02}/{d.year} {d}") for i, d in enumerate(days)], "doc_id bigint, text string")
+    new = [r.text.split() for r in pii.pseudonymise(df, KEY).orderBy("doc_id").collect()]
+    assert len({a for a, _ in new}) == len(days)
+    for a, b in new:
+        month, day, year = map(int, a.split("/"))
+        assert day > 12 and datetime.date(year, month, day) == datetime.date.fromisoformat(b)
+
+
 def test_dates_stay_valid_and_apart(spark):
     days = [datetime.date(1900, 1, 1) + datetime.timedelta(d * 97) for d in range(700)]
     df = spark.createDataFrame([(i, str(d)) for i, d in enumerate(days)], "doc_id bigint, text string")
-    new = [datetime.date.fromisoformat(r.text) for r in pii.pseudonymise(df).collect()]
+    new = [datetime.date.fromisoformat(r.text) for r in pii.pseudonymise(df, KEY).collect()]
     assert len(set(new)) == len(days) and all(1900 <= d.year <= 2099 for d in new)
 
 
