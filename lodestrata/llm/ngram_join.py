@@ -167,9 +167,9 @@ def n_gram_sets(docs: DataFrame, frequent: np.ndarray, n: int, percent: int) ->
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """``h, rep, n, pos`` of n-grams that two or more classes have in their prefixes, and ``e1`` to ``e4``.
+    """``h, rep, n, pos`` of n-grams that two or more classes have in their prefixes, ``rare``, and ``e1`` to ``e4``.
 
-    Those are the n-grams before ``h`` in the class's prefix that may be shared
+    ``rare`` counts the class's n-grams in the prefix that no other has there.  The last are the n-grams before ``h`` in the class's prefix that may be shared
     (0: none).  A table of bits skips most rows that the join would drop.
     """
     several = materialize(
@@ -186,26 +186,27 @@ def buckets(classes: DataFrame) -> DataFrame:
         keep = is_set(sent.value, h.view(np.uint64))
         h, own, pos = h[keep], own[keep], pos[keep]
         out = {"h": h, "rep": t.column("rep").to_numpy()[own], "n": t.column("n").to_numpy()[own], "pos": pos.astype(np.int64)}
+        out["rare"] = (lengths - np.bincount(own, minlength=len(lengths)))[own].astype(np.int64)
         for k in range(1, EARLIER + 1):
             before = np.zeros(len(h), np.int64)
             before[k:] = np.where(own[k:] == own[:-k], h[:-k], 0)
             out[f"e{k}"] = before
         return pa.table(out)
 
-    schema = "h bigint, rep bigint, n bigint, pos bigint" + "".join(f", e{k} bigint" for k in range(1, EARLIER + 1))
+    schema = "h bigint, rep bigint, n bigint, pos bigint, rare bigint" + "".join(f", e{k} bigint" for k in range(1, EARLIER + 1))
     return map_arrow(classes.select("rep", "n", "prefix"), rows, schema).join(several, "h", "left_semi")
 
 
 def leader_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, na, b, nb`` of each class with two leaders of its bucket, where bounds allow a link.
 
-    The leaders are the class with the fewest n-grams before the bucket's, for edits of
-    a text put rarer ones there, and that with the smallest number, so that
-    buckets of like classes mostly have the same leaders.
+    The leaders are the class with the fewest n-grams of its own, for edits of a text
+    make such, and that with the fewest before the bucket's; buckets of like classes
+    mostly have the same leaders.
     """
     own = ("rep", "n", "pos")
-    leaders = members.groupBy("h").agg(F.min(F.struct("pos", "rep", "n")).alias("__l0"), F.min(F.struct(*own)).alias("__l1"))
-    both = F.array(F.struct(*[F.col(f"__l0.{c}").alias(c) for c in own]), "__l1")
+    leaders = members.groupBy("h").agg(F.min(F.struct("rare", *own)).alias("__l0"), F.min(F.struct("pos", "rep", "n")).alias("__l1"))
+    both = F.array(*[F.struct(*[F.col(f"{x}.{c}").alias(c) for c in own]) for x in ("__l0", "__l1")])
 
     def allowed(x: Column) -> Column:
         """Whether the sizes, and the places of the first shared n-gram, allow the similarity."""
