@@ -9,6 +9,11 @@ the k-th best exact score so far are scored again on the original vectors in
 double precision; the others can't be among the nearest but by a failure of
 the bound (``EPSILON`` standard widths).
 
+The estimate works on the packed bits: a rotated query is cut into
+``PLANES`` bit planes, and its inner product with a code is a weighted sum of the
+counts of bits that code and plane have in common.  What rounding to planes
+loses is added to the bound.
+
 Centroids are fitted on a bounded sample; every row is indexed, and every row
 is a candidate of every query.  Queries go to the executors in blocks of
 bounded size.
@@ -30,7 +35,9 @@ K = 20
 CENTROIDS, SAMPLE_ROWS = 16, 16_384
 EPSILON = 2.5
 QUERY_BLOCK = 16_384
-CHUNK_PAIRS = 1 << 22
+#: Bits of a query's coordinates.
+PLANES = 6
+CHUNK_PAIRS = 1 << 20
 
 
 def rotation(dim: int, seed: int = 11) -> np.ndarray:
@@ -60,6 +67,37 @@ def centroids(sample: np.ndarray, k: int = CENTROIDS, rounds: int = 8) -> np.nda
     return c
 
 
+def packed(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits as whole 64-bit words."""
+    out = np.packbits(bits, axis=1)
+    return np.pad(out, ((0, 0), (0, -out.shape[1] % 8))).view(np.uint64)
+
+
+class Planes:
+    """Rotated queries as bit planes: coordinate = low + step * (sum of 2^k times bit k), but for ``loss`` in the sum of all."""
+
+    def __init__(self, turned: np.ndarray, planes: int = PLANES):
+        top = (1 << planes) - 1
+        self.low = turned.min(axis=1)
+        spread = turned.max(axis=1) - self.low
+        self.step = np.where(spread > 0, spread, 1.0) / top
+        levels = np.rint((turned - self.low[:, None]) / self.step[:, None]).astype(np.int64)
+        self.loss = np.abs(self.low[:, None] + levels * self.step[:, None] - turned).sum(axis=1)
+        self.total = turned.sum(axis=1)
+        self.words = [packed((levels >> k) & 1) for k in range(planes)]
+
+    def dot(self, codes: np.ndarray) -> np.ndarray:
+        """Inner products of codes (signs, +1 and -1) and queries, within ``loss`` * 2."""
+        common = np.zeros((len(codes), len(self.low)), np.float32)
+        for k, words in enumerate(self.words):
+            count = np.zeros(common.shape, np.uint16)
+            for w in range(codes.shape[1]):
+                count += np.bitwise_count(codes[:, w, None] & words[None, :, w])
+            common += count * np.float32(1 << k)
+        ones = np.bitwise_count(codes).sum(axis=1, dtype=np.float32)
+        return 2 * (common * self.step[None, :].astype(np.float32) + ones[:, None] * self.low[None, :].astype(np.float32)) - self.total[None, :].astype(np.float32)
+
+
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.argmin((c * c).sum(axis=1)[None, :] - 2 * x @ c.T, axis=1)
 
@@ -83,7 +121,7 @@ class Model:
         norm = np.linalg.norm(rest, axis=1)
         unit = rest / np.where(norm > 0, norm, 1)[:, None] @ p
         factor = np.abs(unit).sum(axis=1) / np.sqrt(x.shape[1])
-        return near, np.packbits(unit > 0, axis=1), norm, np.where(norm > 0, factor, 1.0)
+        return near, packed(unit > 0), norm, np.where(norm > 0, factor, 1.0)
 
 
 def fit(vectors: DataFrame, vec: str, key: str, rows: int = SAMPLE_ROWS) -> Model:
@@ -93,8 +131,19 @@ def fit(vectors: DataFrame, vec: str, key: str, rows: int = SAMPLE_ROWS) -> Mode
     return Model({d: centroids(np.stack([x for x in found if len(x) == d])) for d in sorted(dims)})
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """In single precision where that loses nothing, as for vectors that came in it."""
+    with np.errstate(over="ignore"):
+        y = x.astype(np.float32)
+    return y if (y.astype(np.float64) == x).all() else x
+
+
+def _wide(blobs: list[bytes], dim: int) -> np.ndarray:
+    return np.stack([np.frombuffer(b, np.float32 if len(b) == 4 * dim else np.float64).astype(np.float64) for b in blobs])
+
+
 def build_index(vectors: DataFrame, model: Model, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """``vec_id, vector, centroid, code, norm, factor`` of every usable row; written to the shared folder."""
+    """``vec_id, dim, vector, centroid, code, norm, factor`` of every usable row; written to the shared folder."""
     sent = vectors.sparkSession.sparkContext.broadcast(model.by_dim)
 
     def index(t: pa.Table) -> pa.Table | None:
@@ -107,7 +156,8 @@ def build_index(vectors: DataFrame, model: Model, vec: str = "embedding", key: s
             near, code, norm, factor = model.encode(x)
             parts.append(pa.table({
                 "vec_id": pa.array([ids[i] for i in own], pa.int64()),
-                "vector": pa.array([v.tobytes() for v in x], pa.binary()),
+                "dim": pa.array(np.full(len(x), d, np.int32)),
+                "vector": pa.array([v.tobytes() for v in _narrow(x)], pa.binary()),
                 "centroid": pa.array(near, pa.int32()),
                 "code": pa.array([r.tobytes() for r in code], pa.binary()),
                 "norm": pa.array(norm), "factor": pa.array(factor),
@@ -115,7 +165,7 @@ def build_index(vectors: DataFrame, model: Model, vec: str = "embedding", key: s
         return pa.concat_tables(parts) if parts else None
 
     rows = vectors.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("vec_id"), F.col(vec).alias("vector"))
-    return materialize(map_arrow(rows, index, "vec_id bigint, vector binary, centroid int, code binary, norm double, factor double", 8192), "codes")
+    return materialize(map_arrow(rows, index, "vec_id bigint, dim int, vector binary, centroid int, code binary, norm double, factor double", 8192), "codes")
 
 
 class _Best:
@@ -155,17 +205,16 @@ def search_block(index: DataFrame, queries: list[tuple[int, np.ndarray]], model:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, by_dim = Model(sent.value[0]), sent.value[1]
         best: dict[int, _Best] = {d: _Best(len(ids), k) for d, (ids, _) in by_dim.items()}
-        ready = {d: ((q @ model.of(d)[1]).astype(np.float32), q @ model.of(d)[0].T, np.linalg.norm(q, axis=1)) for d, (_, q) in by_dim.items()}
+        ready = {d: (Planes(q @ model.of(d)[1]), q @ model.of(d)[0].T, np.linalg.norm(q, axis=1)) for d, (_, q) in by_dim.items()}
         for batch in batches:
             t = pa.Table.from_batches([batch])
-            lengths = np.array([len(b) // 8 for b in t.column("vector").to_pylist()])
+            lengths = t.column("dim").to_numpy()
             for d in set(lengths.tolist()) & set(by_dim):
                 part = t.filter(pa.array(lengths == d))
                 ids_q, q = by_dim[d]
-                turned, at_centroid, q_norm = ready[d]
-                x = np.frombuffer(b"".join(part.column("vector").to_pylist()), np.float64).reshape(-1, d)
-                codes = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(len(x), -1)
-                signs = np.unpackbits(codes, axis=1)[:, :d].astype(np.float32) * 2 - 1
+                planes, at_centroid, q_norm = ready[d]
+                x = _wide(part.column("vector").to_pylist(), d)
+                codes = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint64).reshape(len(x), -1)
                 ids, near = part.column("vec_id").to_numpy(), part.column("centroid").to_numpy()
                 norm, factor = part.column("norm").to_numpy(), part.column("factor").to_numpy()
                 gain = norm / factor / np.sqrt(d)
@@ -173,7 +222,7 @@ def search_block(index: DataFrame, queries: list[tuple[int, np.ndarray]], model:
                 rows = max(1, CHUNK_PAIRS // max(1, len(q)))
                 for at in range(0, len(x), rows):
                     s = slice(at, at + rows)
-                    guess = (signs[s] @ turned.T) * gain[s, None].astype(np.float32) + at_centroid[:, near[s]].T.astype(np.float32)
+                    guess = planes.dot(codes[s]) * gain[s, None].astype(np.float32) + at_centroid[:, near[s]].T.astype(np.float32)
                     low = best[d].score[:, -1]
                     if np.isneginf(low).any():  # to start with, score the likeliest exactly
                         n = min(k + 1, len(guess))
@@ -185,7 +234,7 @@ def search_block(index: DataFrame, queries: list[tuple[int, np.ndarray]], model:
                         seed.add(j, ids[s][i], _exact(x[s][i], q[j]))
                         low = np.maximum(low, seed.score[:, -1])
                     # Exact ties with the k-th best count, so a hair is added to what single precision gives.
-                    top = guess + width[s, None].astype(np.float32) * q_norm[None, :].astype(np.float32) * np.float32(1.001) + np.float32(1e-5) * q_norm[None, :].astype(np.float32)
+                    top = guess + (2 * gain[s, None] * planes.loss[None, :]).astype(np.float32) + width[s, None].astype(np.float32) * q_norm[None, :].astype(np.float32) * np.float32(1.001) + np.float32(1e-5) * q_norm[None, :].astype(np.float32)
                     i, j = np.nonzero(top >= low[None, :])
                     ok = ids[s][i] != ids_q[j]
                     i, j = i[ok], j[ok]
@@ -200,7 +249,17 @@ def search_block(index: DataFrame, queries: list[tuple[int, np.ndarray]], model:
                 "query_id": np.repeat(ids_q, there.sum(axis=1)), "vec_id": best[d].id[there], "score": best[d].score[there],
             })
 
-    return index.select("vec_id", "vector", "centroid", "code", "norm", "factor").mapInArrow(scan, "query_id bigint, vec_id bigint, score double")
+    return index.select("vec_id", "dim", "vector", "centroid", "code", "norm", "factor").mapInArrow(scan, "query_id bigint, vec_id bigint, score double")
+
+
+def one_per_id(vectors: DataFrame, vec: str, key: str) -> DataFrame:
+    """Of rows that share an id the one with the greatest vector; null ids go."""
+    rows = vectors.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias(key), vec)
+    repeated = materialize(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(key), "repeated")
+    if repeated.isEmpty():
+        return rows
+    single = rows.join(repeated, key, "left_anti")
+    return single.unionByName(rows.join(repeated, key, "left_semi").groupBy(key).agg(F.max(vec).alias(vec)))
 
 
 def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = K, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
@@ -208,12 +267,13 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = K, vec:
 
     Rows with the query's own id are no candidates of it.  Vectors are compared
     with those of their own length.  Unusable vectors and null ids take no
-    part; a query with fewer candidates gets all.  Equal vectors tie, and ties go to the
+    part; of rows that share an id the one with the greatest vector does.  A query with fewer candidates gets all.  Equal vectors tie, and ties go to the
     smaller id.  An empty table gives none.
     """
+    vectors, queries = one_per_id(vectors, vec, key), one_per_id(queries, vec, key)
     model = fit(vectors, vec, key)
     index = build_index(vectors, model, vec, key)
-    asked = queries.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint"), vec).toLocalIterator(prefetchPartitions=True)
+    asked = queries.toLocalIterator(prefetchPartitions=True)
     parts: list[DataFrame] = []
     block: dict[int, np.ndarray] = {}
 
@@ -234,8 +294,7 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = K, vec:
         found = found.unionByName(p)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return (
-        found.dropDuplicates(["query_id", "vec_id"])
-        .withColumn("rank", F.row_number().over(order))
+        found.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
     )

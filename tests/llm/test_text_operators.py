@@ -5,6 +5,7 @@ import json
 import math
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -292,3 +293,37 @@ def test_search_with_ties_few_rows_and_none(spark):
     few = df.filter("vec_id in (0, 1, 40)")
     assert ann.nearest_neighbours(few, few.filter("vec_id = 0")).count() == 2
     assert ann.nearest_neighbours(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_planes_estimate_inner_products_with_codes():
+    rng = np.random.default_rng(2)
+    for dim in (3, 64, 100):
+        turned, signs = rng.standard_normal((7, dim)), rng.random((50, dim)) > 0.5
+        planes = ann.Planes(turned)
+        exact = np.where(signs, 1.0, -1.0) @ turned.T
+        assert (np.abs(planes.dot(ann.packed(signs)) - exact) <= 2 * planes.loss[None, :] + 1e-3).all()
+
+
+def test_repeated_ids_are_one_vector(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.5]), (20, [1.0, 1.0]), (20, [0.0, 1.0]), (20, None), (3, [2.0, 0.0]), (4, [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = [tuple(r) for r in ann.nearest_neighbours(df, df.filter("vec_id = 0"), k=3).orderBy("rank").collect()]
+    assert got == [(0, 1, 3, 2.0), (0, 2, 20, 1.5), (0, 3, 4, 0.75)]
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").is_dir(), reason="no test tables")
+def test_recall_on_the_table_of_embeddings(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    rows = df.toPandas().dropna()
+    x, ids = np.stack(rows.embedding.to_numpy()).astype(np.float64), rows.vec_id.to_numpy()
+    found = {}
+    for r in ann.op8_nearest(spark, "/root/testdata/sf0.1").collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = asked = 0
+    for q in np.flatnonzero(ids % 20 == 0)[::10]:
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(found[int(ids[q])] & set(ids[np.lexsort((ids, -score))[:20]].tolist()))
+        asked += 20
+    assert hits >= 0.9 * asked
+    print("recall", hits / asked)
