@@ -25,12 +25,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose digest is in ``gone``; of equal rows one stays.
-
-    Both go by the digest, so texts are shuffled once.
-    """
-    rows = docs.withColumn("__row", row_digest("doc_id", "text"))
-    return rows.join(gone, "__row", "left_anti").dropDuplicates(["__row"]).select(*docs.columns)
+    """``docs`` without the rows whose digest, ``__row``, is in ``gone``."""
+    return docs.withColumn("__row", row_digest("doc_id", "text")).join(gone, "__row", "left_anti")
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,15 +39,16 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = docs.select(F.struct("doc_id", row_digest("doc_id", "text").alias("row")).alias("__key"), "text")
     found = ngram_join.near_duplicates(keyed, key="__key")
     gone = materialize(found.filter(F.col("__key") != F.col("component_id")).select(F.col("__key.row").alias("__row")), "gone")
-    return _without(docs, gone)
+    # Both go by the digest, so texts are shuffled once.
+    return _without(docs, gone).dropDuplicates(["__row"]).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which an occurrence of a benchmark window was found; null and empty texts stay, of equal rows one."""
+    """Drops documents in which an occurrence of a benchmark window was found; null and empty texts stay, equal rows stay or go together."""
     keyed = docs.select(row_digest("doc_id", "text").alias("__row"), "text")
     found = decontamination.decontaminate(keyed, table(spark, sf_dir, "benchmark"), key="__row")
     gone = materialize(found.filter(F.col("n_hit") > F.col("n_words") * MAX_HIT_SHARE).select("__row"), "hit")
-    return _without(docs, gone)
+    return _without(docs, gone).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
