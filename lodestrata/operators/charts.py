@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.distributions import NORMAL, t_quantile
+from ..functions.distributions import normal_cdf, normal_quantile, t_quantile
 from ..functions.values import Rejected, dtype, finite, is_numeric
-from .graph import cut
+from .running import cut, running
 
 
 def _finite(df: DataFrame, *columns: str) -> DataFrame:
@@ -141,12 +142,18 @@ def qq(df: DataFrame, column: str, ordinal: str) -> DataFrame:
     data = _finite(df, column)
     n, mean, sd = data.agg(F.count(F.lit(1)), F.avg(column).cast("double"), F.stddev_samp(column).cast("double")).first()
 
-    @F.pandas_udf("double")
-    def inverse(p):
-        return p.map(lambda x: NORMAL.inv_cdf(x) * (sd or 0) + mean)
+    placed = running(data.select(F.col(column).alias("value"), F.col(ordinal).alias("ordinal")), [F.col("value"), F.col("ordinal")], {"k": F.lit(1)})
+    p = (F.col("k") - 0.5) / n
+    return placed.select(F.col("value").cast("double").alias("value"), p.alias("p"), (normal_quantile(p) * F.lit(float(sd or 0)) + F.lit(float(mean or 0))).alias("theoretical"))
 
-    p = (F.row_number().over(Window.orderBy(column, ordinal)) - 0.5) / n
-    return data.select(F.col(column).cast("double").alias("value"), p.alias("p")).withColumn("theoretical", inverse("p"))
+
+def pp(df: DataFrame, column: str, ordinal: str) -> DataFrame:
+    """``p, theoretical``: plotting position (i + 0.5) / n against the fitted normal's distribution function there."""
+    data = _finite(df, column)
+    n, mean, sd = data.agg(F.count(F.lit(1)), F.avg(column).cast("double"), F.stddev_samp(column).cast("double")).first()
+    placed = running(data.select(F.col(column).cast("double").alias("value"), F.col(ordinal).alias("ordinal")), [F.col("value"), F.col("ordinal")], {"k": F.lit(1)})
+    z = (F.col("value") - F.lit(float(mean or 0))) / F.lit(float(sd or 1))
+    return placed.select(((F.col("k") - 0.5) / n).alias("p"), normal_cdf(z).alias("theoretical"))
 
 
 def error_bars(df: DataFrame, category: str, value: str, kind: str = "sd", level: float = 0.95) -> DataFrame:
@@ -154,8 +161,14 @@ def error_bars(df: DataFrame, category: str, value: str, kind: str = "sd", level
     cells = _finite(df, value).groupBy(F.col(category).alias("category")).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd")).filter("n >= 2")
     half = {"sd": F.col("sd"), "se": F.col("sd") / F.sqrt("n")}.get(kind)
     if half is None:
-        sizes = [r[0] for r in cells.select("n").distinct().limit(100_000).collect()]
-        table = df.sparkSession.createDataFrame([(s, t_quantile((1 + level) / 2, s - 1)) for s in sizes], "n bigint, t double")
+
+        def quantiles(batches):
+            for b in batches:
+                sizes = b.column("n").to_pylist()
+                yield pa.RecordBatch.from_pydict({"n": sizes, "t": pa.array([t_quantile((1 + level) / 2, s - 1) for s in sizes], pa.float64())})
+
+        cells = cut(cells)
+        table = cells.select("n").distinct().mapInArrow(quantiles, "n bigint, t double")
         cells, half = cells.join(table, "n"), F.col("t") * F.col("sd") / F.sqrt("n")
     return cells.select("category", "n", "mean", half.alias("half"))
 
@@ -175,26 +188,26 @@ def radar(df: DataFrame, entity: str, columns: Sequence[str]) -> DataFrame:
     return df.groupBy(F.col(entity).alias("entity")).agg(*scaled).unpivot(["entity"], list(columns), "axis", "value")
 
 
-def tree(df: DataFrame, node: str, parent: str, amount: str, depth: int = 8) -> DataFrame:
-    """``node, depth, total``: amounts of leaves summed up to the root; one root, no cycles, ``depth`` levels at most."""
+def tree(df: DataFrame, node: str, parent: str, amount: str) -> DataFrame:
+    """``node, depth, total``: amounts of leaves summed up to the root; one root, no cycles, any depth."""
     nodes = df.select(F.col(node).alias("node"), F.col(parent).alias("parent"), F.col(amount).cast("double").alias("amount"))
     if nodes.filter("parent is null").count() != 1:
         raise Rejected("one root is needed")
     level, all_levels = nodes.filter("parent is null").select("node", F.array("node").alias("path")), None
     nodes = cut(nodes)
-    for _ in range(depth + 1):
+    while True:
         all_levels = level if all_levels is None else all_levels.unionByName(level)
         level = cut(nodes.join(level.select(F.col("node").alias("parent"), "path"), "parent").select("node", F.concat("path", F.array("node")).alias("path")))
         if level.isEmpty():
             break
     reached = all_levels.join(nodes.select("node", "amount"), "node")
-    if reached.count() != nodes.count() or not level.isEmpty():
-        raise Rejected("a cycle, a lost node, or too deep")
+    if reached.count() != nodes.count():
+        raise Rejected("a cycle or a lost node")
     sums = reached.select(F.explode("path").alias("node"), "amount").groupBy("node").agg(F.sum("amount").alias("total"))
     return sums.join(reached.select("node", (F.size("path") - 1).alias("depth")), "node").select("node", "depth", "total")
 
 
-def flow_levels(df: DataFrame, source: str, target: str, amount: str, steps: int = 32) -> DataFrame:
+def flow_levels(df: DataFrame, source: str, target: str, amount: str) -> DataFrame:
     """``node, level, inflow, outflow`` of a balanced flow without cycles; a level is the longest path to the node."""
     e = df.groupBy(F.col(source).alias("s"), F.col(target).alias("t")).agg(F.sum(amount).cast("double").alias("w"))
     if e.filter("w < 0 or s = t").limit(1).count():
@@ -203,15 +216,19 @@ def flow_levels(df: DataFrame, source: str, target: str, amount: str, steps: int
     sums = flows.groupBy("node").agg(F.sum("i").alias("inflow"), F.sum("o").alias("outflow"))
     if sums.filter("inflow > 0 and outflow > 0 and abs(inflow - outflow) > 1e-9 * greatest(inflow, outflow)").limit(1).count():
         raise Rejected("a node isn't balanced")
-    reach, levels = sums.filter("inflow = 0").select("node", F.lit(0).alias("level")), None
-    for _ in range(steps):
-        levels = reach if levels is None else levels.unionByName(reach)
-        reach = e.join(reach, F.col("s") == F.col("node")).select(F.col("t").alias("node"), (F.col("level") + 1).alias("level")).distinct()
-        if not reach.limit(1).count():
-            break
-    else:
-        raise Rejected("a cycle")
-    return levels.groupBy("node").agg(F.max("level").alias("level")).join(sums, "node").select("node", "level", "inflow", "outflow")
+    # Level by level the nodes go that no node left leads to; a cycle is what never goes.
+    left, edges, levels, k = cut(sums.select("node")), cut(e.select("s", "t").distinct()), None, 0
+    while not left.isEmpty():
+        free = cut(left.join(edges.select(F.col("t").alias("node")), "node", "left_anti"))
+        if free.isEmpty():
+            raise Rejected("a cycle")
+        own = free.withColumn("level", F.lit(k))
+        levels, k = own if levels is None else levels.unionByName(own), k + 1
+        left = cut(left.join(free, "node", "left_anti"))
+        edges = cut(edges.join(free, F.col("s") == F.col("node"), "left_anti"))
+    if levels is None:
+        return sums.withColumn("level", F.lit(0)).select("node", "level", "inflow", "outflow")
+    return levels.join(sums, "node").select("node", "level", "inflow", "outflow")
 
 
 def choropleth(df: DataFrame, region: str, value: str, edges: Sequence[float]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import dtype, finite
+from .running import running, with_next
 
 
 def _both(reference: DataFrame, current: DataFrame, column: str) -> DataFrame:
@@ -36,9 +37,8 @@ def _merged(reference: DataFrame, current: DataFrame, column: str) -> DataFrame:
     """``v, fr, fc, gap`` over distinct values: both distribution functions, and the distance to the next value."""
     c = _both(reference, current, column).groupBy("v").agg(F.count(F.when(F.col("k") == 0, 1)).alias("r"), F.count(F.when(F.col("k") == 1, 1)).alias("c"))
     nr, nc = c.agg(F.sum("r"), F.sum("c")).first()
-    w = Window.orderBy("v")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    return c.select("v", (F.sum("r").over(upto) / float(nr or 1)).alias("fr"), (F.sum("c").over(upto) / float(nc or 1)).alias("fc"), (F.lead("v").over(w) - F.col("v")).alias("gap"))
+    upto = running(with_next(c, F.col("v"), "next"), [F.col("v")], {"__r_upto": F.col("r"), "__c_upto": F.col("c")})
+    return upto.select("v", (F.col("__r_upto") / float(nr or 1)).alias("fr"), (F.col("__c_upto") / float(nc or 1)).alias("fc"), (F.col("next") - F.col("v")).alias("gap"))
 
 
 def ks(reference: DataFrame, current: DataFrame, column: str) -> DataFrame:
@@ -76,8 +76,8 @@ def binary_metrics(df: DataFrame, truth: str, score: str, threshold: float = 0.5
     n = lambda a, b: F.count(F.when((y == a) & (p == b), 1))
     base = df.agg(n(1, 1).alias("tp"), n(0, 1).alias("fp"), n(1, 0).alias("fn"), n(0, 0).alias("tn"), F.avg((s - y) * (s - y)).alias("brier"))
     cells = df.groupBy(s.alias("s")).agg(F.sum(y).alias("pos"), (F.count(F.lit(1)) - F.sum(y)).alias("neg"))
-    below = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    pairs = cells.select("pos", "neg", (F.col("pos") * (F.coalesce(F.sum("neg").over(below), F.lit(0)) + F.col("neg") / 2)).alias("w"))
+    upto = running(cells, [F.col("s")], {"upto": F.col("neg")})
+    pairs = upto.select("pos", "neg", (F.col("pos") * (F.col("upto") - F.col("neg") / 2)).alias("w"))
     auc = pairs.agg((F.sum("w") / (F.sum("pos") * F.sum("neg"))).alias("roc_auc"))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return base.join(F.broadcast(auc)).select("tp", "fp", "fn", "tn", F.try_divide(tp, tp + fp).alias("precision"), F.try_divide(tp, tp + fn).alias("recall"), F.try_divide(2 * tp, 2 * tp + fp + fn).alias("f1"), "brier", "roc_auc")

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..functions.values import Rejected
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-PHONE = r"\+?[0-9][0-9 ()-]{7,}[0-9]"
+PHONE = r"(?<![\p{L}\p{N}_-])\+?[0-9][0-9 ()]{8,}[0-9](?![\p{L}\p{N}_-])"
 SECRET = r"(?i)(password|secret|token|api_key)\s*[=:]"
 NAMES = r"(?i)mail|phone|tel|pass|secret|token|ssn|iban"
 

@@ -23,13 +23,21 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or LOCAL_DIR).rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared one, which goes when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/lodestrata-{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(p)
+    system.deleteOnExit(p)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A written copy, so that a loop's plan doesn't grow and a lost executor costs a reread."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/rows"
     df.write.parquet(path)
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -50,3 +58,13 @@ def running(df: DataFrame, order: Sequence[Column], sums: dict[str, Column]) ->
     within = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = cut_up.join(F.broadcast(starts), F.col("__range") == F.col("__r"))
     return out.withColumns({n: F.coalesce(F.sum(c).over(within), F.lit(0)) + F.coalesce(f"__{n}", F.lit(0)) for n, c in sums.items()}).drop("__range", "__r", *[f"__{n}" for n in sums])
+
+
+def with_next(df: DataFrame, order: Column, name: str) -> DataFrame:
+    """Adds the value of ``order`` in the following row; ``df`` has each value once."""
+    cut_up = in_ranges(df.withColumn("__v", order), [F.col("__v")])
+    firsts = cut_up.groupBy(F.col("__range").alias("__r")).agg(F.min("__v").alias("__first"))
+    firsts = firsts.select("__r", F.lead("__first").over(Window.orderBy("__r")).alias("__first"))
+    within = Window.partitionBy("__range").orderBy("__v")
+    out = cut_up.join(F.broadcast(firsts), F.col("__range") == F.col("__r"))
+    return out.withColumn(name, F.coalesce(F.lead("__v").over(within), F.col("__first"))).drop("__v", "__range", "__r", "__first")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distributions import NORMAL, chi2_sf, f_sf, normal_sf2, t_quantile, t_sf2
 from ..functions.values import Rejected, dtype, finite
+from .running import running
 from .windows import average_rank
 
 
@@ -70,7 +71,10 @@ def _ranks(df: DataFrame, value: str, group: str) -> tuple[list, float]:
 
 def mann_whitney(df: DataFrame, value: str, group: str) -> DataFrame:
     """U of the first group in order, with ties and continuity corrected; rank-biserial effect."""
-    (a, b), ties = _ranks(df, value, group)
+    ranked, ties = _ranks(df, value, group)
+    if len(ranked) != 2:
+        raise Rejected(f"two groups are needed, not {len(ranked)}")
+    a, b = ranked
     u = a.ranks - a.n * (a.n + 1) / 2
     n = a.n + b.n
     sd = math.sqrt(a.n * b.n / 12 * (n + 1 - ties / (n * (n - 1))))
@@ -261,9 +265,9 @@ def log_rank(df: DataFrame, duration: str, event: str, group: str) -> DataFrame:
     if len(names) != 2:
         raise Rejected("two groups are needed")
     t = t.fillna(0)
-    later = Window.orderBy("time").rowsBetween(0, Window.unboundedFollowing)
     a, b = names
-    r = t.select("time", F.col(f"{a}_d").alias("da"), F.col(f"{b}_d").alias("db"), F.sum(f"{a}_n").over(later).alias("na"), F.sum(f"{b}_n").over(later).alias("nb"))
+    left = running(t, [F.col("time").desc()], {"__na": F.col(f"{a}_n"), "__nb": F.col(f"{b}_n")})
+    r = left.select("time", F.col(f"{a}_d").alias("da"), F.col(f"{b}_d").alias("db"), F.col("__na").alias("na"), F.col("__nb").alias("nb"))
     d, n = F.col("da") + F.col("db"), F.col("na") + F.col("nb")
     expected = d * F.col("na") / n
     var = F.when(n > 1, d * F.col("na") * F.col("nb") * (n - d) / (n * n * (n - 1))).otherwise(0.0)

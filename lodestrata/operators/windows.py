@@ -3,19 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import Rejected, dtype, finite
+from .running import cut, running
 
 
 def average_rank(df: DataFrame, column: str, output: str = "rank", groups: Sequence[str] = ()) -> DataFrame:
     """Ties get the mean of their ranks.  Counts of values are ranked, not rows, so a window sees each value once."""
     keys = [*groups, column]
     counts = df.filter(F.col(column).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(*groups).orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
-    ranks = counts.withColumn(output, F.sum("__n").over(w) - (F.col("__n") - 1) / 2.0).drop("__n")
+    upto = running(counts, [F.col(k) for k in keys], {"__upto": F.col("__n")})
+    if groups:
+        starts = cut(upto).groupBy(*groups).agg(F.min(F.col("__upto") - F.col("__n")).alias("__start"))
+        same = [F.col(f"__g{i}").eqNullSafe(F.col(g)) for i, g in enumerate(groups)]
+        upto = upto.join(starts.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], "__start"), reduce(and_, same)).drop(*[f"__g{i}" for i in range(len(groups))])
+    start = F.col("__start") if groups else F.lit(0)
+    ranks = upto.select(*keys, (F.col("__upto") - start - (F.col("__n") - 1) / 2.0).alias(output))
     return df.join(ranks, keys, "left")
 
 
@@ -32,22 +40,21 @@ def ecdf(df: DataFrame, column: str, weight: str | None = None) -> DataFrame:
     c = F.col(column)
     counts = df.filter(finite(c, dtype(df, column))).groupBy(c.alias("value")).agg((F.sum(weight) if weight else F.count(F.lit(1))).cast("double").alias("__w"))
     total = counts.agg(F.sum("__w")).first()[0] or 1.0
-    w = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    return counts.select("value", (F.sum("__w").over(w) / total).alias("cumulative"))
+    return running(counts, [F.col("value")], {"__upto": F.col("__w")}).select("value", (F.col("__upto") / total).alias("cumulative"))
 
 
 def pareto(df: DataFrame, category: str, amount: str | None = None) -> DataFrame:
     """``category, amount, cumulative_percent``, the largest first."""
     sums = df.groupBy(F.col(category).alias("category")).agg((F.sum(amount) if amount else F.count(F.lit(1))).cast("double").alias("amount"))
-    w = Window.orderBy(F.col("amount").desc(), "category").rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.partitionBy()
-    return sums.select("category", "amount", (100 * F.sum("amount").over(w) / F.sum("amount").over(everything)).alias("cumulative_percent"))
+    sums = cut(sums)
+    total = sums.agg(F.sum("amount")).first()[0]
+    upto = running(sums, [F.col("amount").desc(), F.col("category")], {"__upto": F.col("amount")})
+    return upto.select("category", "amount", (100 * F.col("__upto") / F.lit(total)).alias("cumulative_percent"))
 
 
 def waterfall(df: DataFrame, order: str, kind: str, amount: str, tolerance: float = 1e-9) -> DataFrame:
     """Running total of changes from the start; the end must be what comes out."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = df.withColumn("total", F.sum(F.when(F.col(kind) != "end", F.col(amount))).over(w))
+    out = running(df, [F.col(order)], {"total": F.when(F.col(kind) != "end", F.col(amount))})
     end = out.filter(F.col(kind) == "end").select(amount, "total").first()
     if end is not None and abs(end[0] - end[1]) > tolerance * max(1.0, abs(end[0])):
         raise Rejected(f"the end is {end[0]}, the sum {end[1]}")

@@ -26,6 +26,51 @@ def delimited(spark: SparkSession, path: str, delimiter: str = ",", encoding: st
     return spark.read.option("sep", delimiter).option("encoding", encoding).option("header", header).option("mode", "PERMISSIVE").option("escape", '"').option("multiLine", False).csv(path)
 
 
+def quarantined(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "UTF-8", header_row: int = 0, skip_blank: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows as text, rows that have another number of fields than the header: ``file, line, fields, reason``).
+
+    A record is a line; quotes may hold delimiters and doubled quotes, and a quote that isn't closed is a reason too.
+    Names are those of the line ``header_row`` (from 0) of the first file; each file's lines up to it are left out.
+    """
+    from functools import reduce
+    from operator import or_
+
+    lines = spark.read.option("encoding", encoding).option("lineSep", "\n").text(path) if encoding.upper() in ("UTF-8", "UTF8") else _decoded(spark, path, encoding)
+    lines = lines.select(F.regexp_replace("value", "\r$", "").alias("line"), F.col("_metadata.file_path").alias("file") if "file" not in lines.columns else F.col("file"))
+    head = [r.line.removeprefix("\ufeff") for r in lines.limit(header_row + 1).collect()]
+    if len(head) <= header_row:
+        raise Rejected("no header")
+    import csv
+
+    names = next(csv.reader([head[header_row]], delimiter=delimiter))
+    names = [n.strip() or f"column_{i + 1}" for i, n in enumerate(names)]
+    if len(set(names)) != len(names):
+        raise Rejected("two columns of one name")
+    skipped = reduce(or_, [F.col("line") == h for h in head], F.col("line") == "\ufeff" + head[0])
+    body = lines.filter(~skipped)
+    if skip_blank:
+        body = body.filter(F.trim("line") != "")
+    # A quoted field stands alone between delimiters; what is left of quotes then was never closed.
+    d = re.escape(delimiter)
+    masked = F.regexp_replace("line", rf'(?<=^|{d})"(?:[^"]|"")*+"(?=$|{d})', "q")
+    marked = body.withColumn("fields", F.size(F.split(masked, d, -1))).withColumn(
+        "reason",
+        F.when(F.regexp_like(masked, F.lit(rf'(^|{d})"')), "open quote").when(F.col("fields") < len(names), "short").when(F.col("fields") > len(names), "long"),
+    )
+    schema = ", ".join(f"`c{i}` string" for i in range(len(names)))
+    options = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "nullValue": "\u0000", "emptyValue": ""}
+    good = marked.filter("reason is null").select(F.from_csv("line", schema, options).alias("r")).select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)])
+    return good, marked.filter("reason is not null").select("file", "line", "fields", "reason")
+
+
+def _decoded(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """Lines of files in an encoding of one byte a character: the newline is the same byte in all of them."""
+    raw = spark.read.option("encoding", "ISO-8859-1").option("lineSep", "\n").text(path)
+    upper = bytes(range(128, 256))
+    meant = "".join(bytes([b]).decode(encoding, "replace") for b in upper)
+    return raw.select(F.translate("value", upper.decode("latin-1"), meant).alias("value"), F.col("_metadata.file_path").alias("file"))
+
+
 def _number(c: Column, decimal: str, thousands: str) -> Column:
     out = F.replace(c, F.lit(thousands), F.lit("")) if thousands else c
     return F.replace(out, F.lit(decimal), F.lit(".")) if decimal != "." else out
@@ -83,12 +128,15 @@ def infer(df: DataFrame, **options) -> dict[str, str]:
 
 
 def json_lines(spark: SparkSession, path: str, schema: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(records, bad lines)."""
+    """(records, bad lines): one parser says which is which, so each line is in one of them."""
     lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
-    v = F.try_parse_json("value")
-    good, bad = lines.filter(v.isNotNull()), lines.filter(v.isNull())
-    reader = spark.read.schema(schema) if schema else spark.read
-    return reader.json(path, mode="DROPMALFORMED") if not schema else good.select(F.from_json("value", schema).alias("r")).select("r.*"), bad
+    if schema is None:
+        found = spark.read.option("columnNameOfCorruptRecord", "__bad").json(path).schema
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found if f.name != "__bad")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}
+    parsed_ = lines.select("value", F.from_json("value", f"{schema}, `__bad` string" if schema else "`__bad` string", options).alias("r"))
+    bad = F.col("r").isNull() | F.col("r.__bad").isNotNull()
+    return parsed_.filter(~bad).select("r.*").drop("__bad"), parsed_.filter(bad).select("value")
 
 
 def json_document(spark: SparkSession, path: str, pointer: str = "") -> DataFrame:
@@ -97,11 +145,32 @@ def json_document(spark: SparkSession, path: str, pointer: str = "") -> DataFram
         steps = "$" + "".join(f"[{p}]" if p.isdigit() else f"['{p.replace('~1', '/').replace('~0', '~')}']" for p in pointer.strip("/").split("/"))
         rows = spark.read.text(path, wholetext=True).select(F.get_json_object("value", steps).alias("v"))
         kind = rows.select(F.schema_of_json(F.lit(rows.first()[0]))).first()[0]
+        # Fields that only other files have count too.
+        for r in rows.select(F.col("v")).offset(1).toLocalIterator():
+            if r[0] is not None and (other := rows.limit(1).select(F.schema_of_json(F.lit(r[0]))).first()[0]) != kind:
+                kind = _merged_kind(kind, other)
         out = rows.select(F.from_json("v", kind).alias("r"))
         return out.select(F.explode("r").alias("r")).select("r.*") if kind.upper().startswith("ARRAY") else out.select("r.*")
     return spark.read.option("multiLine", True).json(path)
 
 
+def _merged_kind(a: str, b: str) -> str:
+    """The JSON schema with the fields of both; a field of two kinds is text."""
+
+    def merge(x: T.DataType, y: T.DataType) -> T.DataType:
+        if isinstance(x, T.ArrayType) and isinstance(y, T.ArrayType):
+            return T.ArrayType(merge(x.elementType, y.elementType))
+        if isinstance(x, T.StructType) and isinstance(y, T.StructType):
+            there = {f.name: f.dataType for f in x}
+            for f in y:
+                there[f.name] = merge(there[f.name], f.dataType) if f.name in there else f.dataType
+            return T.StructType([T.StructField(k, v) for k, v in there.items()])
+        return x if x == y else T.DoubleType() if {x, y} == {T.LongType(), T.DoubleType()} else T.StringType()
+
+    kind = merge(T.DataType.fromDDL(a), T.DataType.fromDDL(b))
+    return kind.simpleString()
+
+
 def flatten(df: DataFrame, limit: int = 256) -> DataFrame:
     """Nested objects become columns ``/a/b``."""
 
@@ -141,6 +210,11 @@ def parquet_parts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", True).parquet(path)
 
 
+def columnar(spark: SparkSession, path: str, kind: str = "orc") -> DataFrame:
+    """ORC (or Parquet) files, schemas merged; columns and filters are pushed into the scan."""
+    return spark.read.format(kind).option("mergeSchema", True).load(path)
+
+
 def geojson(spark: SparkSession, path: str) -> DataFrame:
     """``geometry_type, coordinates`` (JSON) and properties of features."""
     doc = spark.read.text(path, wholetext=True).select(F.explode(F.from_json(F.get_json_object("value", "$.features"), "array<string>")).alias("f"))
@@ -230,16 +304,28 @@ _OFFICE = "{urn:oasis:names:tc:opendocument:xmlns:office:1.0}"
 def ods_rows(content: bytes, sheet: int = 1) -> Iterator[list[str | None]]:
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         tables = list(ElementTree.fromstring(z.read("content.xml")).iter(f"{_TABLE}table"))
+    blank = 0
     for row in tables[sheet - 1].iter(f"{_TABLE}table-row"):
         out: list[str | None] = []
+        held = 0
         for c in row.iter(f"{_TABLE}table-cell"):
             text = "\n".join("".join(p.itertext()) for p in c.iter(f"{_TEXT}p"))
             value = c.get(f"{_OFFICE}value") or c.get(f"{_OFFICE}date-value") or c.get(f"{_OFFICE}boolean-value") or text or None
-            out += [value] * min(int(c.get(f"{_TABLE}number-columns-repeated", "1")), 256)
-        while out and out[-1] is None:
-            out.pop()
-        if out:
-            yield out
+            repeated = int(c.get(f"{_TABLE}number-columns-repeated", "1"))
+            if value is None:
+                held += repeated  # written out only if a value follows: sheets end in empty cells up to their widest
+            else:
+                out += [None] * held + [value] * repeated
+                held = 0
+        times = int(row.get(f"{_TABLE}number-rows-repeated", "1"))
+        if not out:
+            blank += times  # likewise for rows
+            continue
+        for _ in range(blank):
+            yield []
+        blank = 0
+        for _ in range(times):
+            yield list(out)
 
 
 def workbook(spark: SparkSession, path: str, kind: str = "xlsx", sheet: int = 1) -> DataFrame:
@@ -257,7 +343,10 @@ def workbook(spark: SparkSession, path: str, kind: str = "xlsx", sheet: int = 1)
 
 
 class SQLiteSource(DataSource):
-    """``spark.read.format("sqlite")`` with options ``path`` and ``table``; a file that all workers see."""
+    """``spark.read.format("sqlite")`` with options ``path`` and ``table``; a file that all workers see.
+
+    ``columns`` (names, comma-separated) and ``where`` (SQL) are left to the database.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -266,6 +355,9 @@ class SQLiteSource(DataSource):
     def schema(self) -> str:
         with sqlite3.connect(f"file:{self.options['path']}?mode=ro", uri=True) as db:
             rows = db.execute(f"PRAGMA table_info('{self.options['table']}')").fetchall()
+        if wanted := _names(self.options):
+            by_name = {r[1]: r for r in rows}
+            rows = [by_name[n] for n in wanted]
         kinds = {"INTEGER": "bigint", "INT": "bigint", "REAL": "double", "DOUBLE": "double", "BLOB": "binary"}
         return ", ".join(f"`{r[1]}` {kinds.get(r[2].upper().split('(')[0], 'string')}" for r in rows)
 
@@ -276,20 +368,86 @@ class SQLiteSource(DataSource):
 class _SQLiteReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.table, self.parts = options["path"], options["table"], int(options.get("parts", 4))
+        self.columns, self.where = _names(options), options.get("where")
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(i) for i in range(self.parts)]
+        """Ranges of row ids; a table without them is read whole."""
+        with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as db:
+            try:
+                low, high = db.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone()
+            except sqlite3.OperationalError:
+                return [InputPartition(None)]
+        if low is None:
+            return [InputPartition(None)]
+        step = (high - low) // self.parts + 1
+        return [InputPartition((a, min(a + step - 1, high))) for a in range(low, high + 1, step)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         import sqlite3 as db_
 
+        what = ", ".join(f'"{c}"' for c in self.columns) or "*"
+        tests = ([f"({self.where})"] if self.where else []) + (["rowid BETWEEN ? AND ?"] if partition.value else [])
         with db_.connect(f"file:{self.path}?mode=ro", uri=True) as db:
-            yield from db.execute(f'SELECT * FROM "{self.table}" WHERE rowid % ? = ?', (self.parts, partition.value))
+            yield from db.execute(f'SELECT {what} FROM "{self.table}"' + (" WHERE " + " AND ".join(tests) if tests else ""), partition.value or ())
+
+
+def _names(options: dict) -> list[str]:
+    return [c for c in options.get("columns", "").split(",") if c]
+
+
+def _loaded(spark: SparkSession, source: type[DataSource], path: str, table: str, columns: Sequence[str], where: str | None) -> DataFrame:
+    spark.dataSource.register(source)
+    reader = spark.read.format(source.name()).option("path", path).option("table", table).option("columns", ",".join(columns))
+    return (reader.option("where", where) if where else reader).load()
+
+
+def sqlite(spark: SparkSession, path: str, table: str, columns: Sequence[str] = (), where: str | None = None) -> DataFrame:
+    return _loaded(spark, SQLiteSource, path, table, columns, where)
+
+
+class DuckDBSource(DataSource):
+    """As ``SQLiteSource``, for a DuckDB file; it is read in ranges of row ids, as Arrow batches."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "duckdb"
+
+    def _what(self) -> str:
+        return ", ".join(f'"{c}"' for c in _names(self.options)) or "*"
+
+    def schema(self) -> str:
+        import duckdb
+
+        with duckdb.connect(self.options["path"], read_only=True) as db:
+            return _schema(db.sql(f'SELECT {self._what()} FROM "{self.options["table"]}" LIMIT 0').to_arrow_table().schema)
+
+    def reader(self, schema: T.StructType) -> DataSourceReader:
+        return _DuckDBReader(self.options, self._what())
+
+
+class _DuckDBReader(DataSourceReader):
+    def __init__(self, options: dict, what: str):
+        self.path, self.table, self.parts, self.what, self.where = options["path"], options["table"], int(options.get("parts", 4)), what, options.get("where")
+
+    def partitions(self) -> list[InputPartition]:
+        import duckdb
+
+        with duckdb.connect(self.path, read_only=True) as db:
+            high = db.sql(f'SELECT coalesce(max(rowid), -1) FROM "{self.table}"').fetchall()[0][0]
+        step = (high + 1) // self.parts + 1
+        return [InputPartition((a, a + step)) for a in range(0, high + 1, step)]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        import duckdb
+
+        a, b = partition.value
+        tests = [f"rowid >= {a} AND rowid < {b}"] + ([f"({self.where})"] if self.where else [])
+        with duckdb.connect(self.path, read_only=True) as db:
+            yield from db.sql(f'SELECT {self.what} FROM "{self.table}" WHERE {" AND ".join(tests)}').to_arrow_table().to_batches()
 
 
-def sqlite(spark: SparkSession, path: str, table: str) -> DataFrame:
-    spark.dataSource.register(SQLiteSource)
-    return spark.read.format("sqlite").option("path", path).option("table", table).load()
+def duckdb_table(spark: SparkSession, path: str, table: str, columns: Sequence[str] = (), where: str | None = None) -> DataFrame:
+    return _loaded(spark, DuckDBSource, path, table, columns, where)
 
 
 def database(spark: SparkSession, url: str, table: str, properties: dict[str, str], partition: tuple[str, int, int, int] | None = None) -> DataFrame:

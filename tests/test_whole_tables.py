@@ -63,12 +63,12 @@ def test_graphs_of_all_rows(spark, tables):
         ends[1][o] += 1
         ends[0][-1 - s] += 1
     want = {n: (ends[0][n], ends[1][n], ends[0][n] + ends[1][n]) for n in ends[0] | ends[1]}
-    assert {r[0]: r[1:] for r in got(spark, tables, "degree_all")} == want
+    assert {r[0]: r[1:] for r in got(spark, tables, "degree")} == want
     near = linked((k, k - 1 - k % 3) for k, _ in orders)
     want = {n: min(hops(near, n)) for n in list(near)}
-    assert dict(got(spark, tables, "components_all")) == want and len(set(want.values())) > 5
+    assert dict(got(spark, tables, "components")) == want and len(set(want.values())) > 5
     near = linked((o, -1 - p) for o, p, _ in lines)
-    assert dict(got(spark, tables, "shortest_paths_all")) == hops(near, 0)
+    assert dict(got(spark, tables, "shortest_paths")) == hops(near, 0)
 
 
 def test_joins_of_all_rows(spark, tables):
@@ -82,10 +82,10 @@ def test_joins_of_all_rows(spark, tables):
                 want += [c[i] + (None, None) for i in set(range(len(c))) - {i for i, _ in hit}]
             if how in ("right", "full"):
                 want += [(None, None) + o[j] for j in set(range(len(o))) - {j for _, j in hit}]
-            assert Counter(got(spark, tables, f"join_{how}{'_null_equal' * null}_all")) == Counter(want)
+            assert Counter(got(spark, tables, f"join_{how}{'_null_equal' * null}")) == Counter(want)
     keys, n = {k for k, _ in tables[1]["customer"]}, Counter(ck for _, ck in tables[1]["orders"])
     inner, lu, ru = sum(v for k, v in n.items() if k in keys), sum(v for k, v in n.items() if k not in keys), len(keys - set(n))
-    assert got(spark, tables, "join_preflight_all") == [(inner, lu, ru, inner + lu, inner + ru, inner + lu + ru, "n:1")]
+    assert got(spark, tables, "join_preflight") == [(inner, lu, ru, inner + lu, inner + ru, inner + lu + ru, "n:1")]
 
 
 @pytest.mark.parametrize("most", [1, 3, 1000])
@@ -114,4 +114,4 @@ def test_pairs_of_all_parts(spark, tables):
     for (i, b, x), (j, c, y) in combinations(rows, 2):
         if b == c and (s := 1 - distance(x, y) / max(len(x), len(y))) >= 0.8:
             want[i, j] = s
-    assert {r[:2]: r[2] for r in got(spark, tables, "block_pairs_all")} == pytest.approx(want) and max(want)[1] >= 400
+    assert {r[:2]: r[2] for r in got(spark, tables, "block_pairs")} == pytest.approx(want) and max(want)[1] >= 400
