@@ -35,7 +35,7 @@ def quarantined(spark: SparkSession, path: str, delimiter: str = ",", encoding:
     from functools import reduce
     from operator import or_
 
-    lines = spark.read.option("encoding", encoding).option("lineSep", "\n").text(path) if encoding.upper() in ("UTF-8", "UTF8") else _decoded(spark, path, encoding)
+    lines = spark.read.option("lineSep", "\n").text(path) if encoding.upper() in ("UTF-8", "UTF8") else _decoded(spark, path, encoding)
     lines = lines.select(F.regexp_replace("value", "\r$", "").alias("line"), F.col("_metadata.file_path").alias("file") if "file" not in lines.columns else F.col("file"))
     head = [r.line.removeprefix("\ufeff") for r in lines.limit(header_row + 1).collect()]
     if len(head) <= header_row:
@@ -58,17 +58,17 @@ def quarantined(spark: SparkSession, path: str, delimiter: str = ",", encoding:
         F.when(F.regexp_like(masked, F.lit(rf'(^|{d})"')), "open quote").when(F.col("fields") < len(names), "short").when(F.col("fields") > len(names), "long"),
     )
     schema = ", ".join(f"`c{i}` string" for i in range(len(names)))
-    options = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "nullValue": "\u0000", "emptyValue": ""}
-    good = marked.filter("reason is null").select(F.from_csv("line", schema, options).alias("r")).select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)])
+    options = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "emptyValue": ""}
+    good = marked.filter("reason is null").select(F.from_csv("line", schema, options).alias("r")).select(*[F.coalesce(f"r.c{i}", F.lit("")).alias(n) for i, n in enumerate(names)])
     return good, marked.filter("reason is not null").select("file", "line", "fields", "reason")
 
 
 def _decoded(spark: SparkSession, path: str, encoding: str) -> DataFrame:
     """Lines of files in an encoding of one byte a character: the newline is the same byte in all of them."""
-    raw = spark.read.option("encoding", "ISO-8859-1").option("lineSep", "\n").text(path)
+    raw = spark.read.option("lineSep", "\n").text(path)  # as bytes: Spark's text reader decodes nothing
     upper = bytes(range(128, 256))
     meant = "".join(bytes([b]).decode(encoding, "replace") for b in upper)
-    return raw.select(F.translate("value", upper.decode("latin-1"), meant).alias("value"), F.col("_metadata.file_path").alias("file"))
+    return raw.select(F.translate(F.decode(F.col("value").cast("binary"), "ISO-8859-1"), upper.decode("latin-1"), meant).alias("value"), F.col("_metadata.file_path").alias("file"))
 
 
 def _number(c: Column, decimal: str, thousands: str) -> Column:
