@@ -137,10 +137,10 @@ def emit(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     Equal rows are numbered on either side, so each meets one row of the mix.
     """
     turn = lambda key: F.row_number().over(Window.partitionBy(key).orderBy(key))
-    taken = mixed.select("__row", "copies").withColumn("__turn", turn("__row")).filter("copies > 0")
+    taken = mixed.select("__row", F.col("copies").alias("__copies")).withColumn("__turn", turn("__row")).filter("__copies > 0")
     rows = docs.withColumn("__row", row_digest("doc_id", "text")).withColumn("__turn", turn("__row"))
     met = rows.join(taken, ["__row", "__turn"])
-    return met.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return met.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -252,7 +252,10 @@ def train(docs: DataFrame, labels: DataFrame, logp: np.ndarray, label: str = "to
 
 
 def score(docs: DataFrame, logp: np.ndarray, model: tuple[np.ndarray, np.ndarray, float], text: str = "text", out: str = "score") -> DataFrame:
-    """Adds the probability that a whole text is toxic; null and empty texts have no features."""
+    """Adds the probability that a whole text is toxic.
+
+    Null and empty texts have no features, equal texts the same score; other columns stay, but for one named ``out``.
+    """
     sent = docs.sparkSession.sparkContext.broadcast((logp, {int(i): float(w) for i, w in zip(model[0], model[1], strict=True)}, model[2]))
 
     @F.arrow_udf("double")
