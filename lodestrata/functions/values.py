@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+import unicodedata
 from decimal import Decimal, InvalidOperation
+from difflib import SequenceMatcher
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,3 +120,21 @@ def exact_cast(c: Column, source: T.DataType, target: str, date_format: str | No
     out = c.try_cast(target)
     back = out.try_cast(source)
     return F.when(back == c, out)
+
+
+def nfkc_fold(c: Column) -> Column:
+    """Compatibility form, case folded, stripped: names are compared by it."""
+    @F.arrow_udf("string")
+    def folded(data: pa.Array) -> pa.Array:
+        return pa.array([None if s is None else unicodedata.normalize("NFKC", s).casefold().strip() for s in data.to_pylist()], pa.string())
+
+    return folded(c.cast("string"))
+
+
+def sequence_ratio(a: Column, b: Column) -> Column:
+    """Likeness from 0 to 1 by longest matching blocks: twice the matched characters over both lengths."""
+    @F.arrow_udf("double")
+    def ratio(left: pa.Array, right: pa.Array) -> pa.Array:
+        return pa.array([None if x is None or y is None else SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True)], pa.float64())
+
+    return ratio(a, b)

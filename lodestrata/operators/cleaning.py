@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import Rejected, dtype, exact_cast, finite, is_float, literal, strip
+from .running import quantiles
 
 
 def missing(df: DataFrame, column: str, policy: str = "null") -> Column:
@@ -43,8 +44,12 @@ def fill_constant(df: DataFrame, column: str, value: object, policy: str = "null
 def fill_statistic(df: DataFrame, column: str, statistic: str, policy: str = "null") -> DataFrame:
     """Mean or median of finite values; refused if the column's type can't hold it exactly."""
     t = dtype(df, column)
-    value = {"mean": F.avg, "median": F.median}[statistic](F.when(finite(F.col(column), t), F.col(column)))
-    learned = df.agg(value.alias("v"), value.cast(t).alias("c"), (value.cast(t) == value).alias("same")).first()
+    kept = F.when(finite(F.col(column), t), F.col(column))
+    if statistic == "median":
+        value, rows = F.lit(quantiles(df, kept, [0.5])[0]).cast("double"), df.sparkSession.range(1)
+    else:
+        value, rows = {"mean": F.avg}[statistic](kept), df
+    learned = rows.select(value.alias("v"), value.cast(t).alias("c"), (value.cast(t) == value).alias("same")).first()
     if learned.v is None:
         raise Rejected("nothing to learn from")
     if not learned.same:
@@ -124,8 +129,8 @@ def duplicate_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def iqr_bounds(df: DataFrame, column: str, multiplier: float = 1.5) -> tuple[float | None, float | None]:
     c = F.when(finite(F.col(column), dtype(df, column)), F.col(column))
-    q = df.agg(F.percentile(c, F.array(F.lit(0.25), F.lit(0.75)))).first()[0]
-    if not q or q[0] is None:
+    q = quantiles(df, c, [0.25, 0.75])
+    if q[0] is None:
         return None, None
     return float(q[0]) - multiplier * (float(q[1]) - float(q[0])), float(q[1]) + multiplier * (float(q[1]) - float(q[0]))
 
@@ -146,8 +151,9 @@ def outlier_candidates(df: DataFrame, column: str) -> DataFrame:
     low, high = iqr_bounds(df, column)
     if low is None:
         return df.limit(0).withColumns({m: F.lit(False) for m in ("by_iqr", "by_robust_z", "by_z")})
-    mid, mean, sd = df.agg(F.median(c), F.avg(c), F.stddev_pop(c)).first()
-    mad = df.agg(F.median(F.abs(c - mid))).first()[0]
+    mean, sd = df.agg(F.avg(c), F.stddev_pop(c)).first()
+    mid = quantiles(df, c, [0.5])[0]
+    mad = quantiles(df, F.abs(c - mid), [0.5])[0]
     flags = {
         "by_iqr": (c < low) | (c > high),
         "by_robust_z": (0.6745 * F.abs(c - mid) / mad > 3.5) if mad else F.lit(False),
@@ -173,3 +179,20 @@ def entity_merge(df: DataFrame, id_column: str, pairs: DataFrame, output: str =
 
     comps = components(pairs.select(F.col("left_id").alias("src"), F.col("right_id").alias("dst")))
     return df.join(comps.select(F.col("node").alias(id_column), F.col("component").alias("__c")), id_column, "left").withColumn(output, F.coalesce("__c", F.col(id_column))).drop("__c")
+
+
+def impact(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """``column, nulls_before, nulls_after, changed, removed``: what a change did to each column; ``removed`` rows are those whose key is gone."""
+    columns = [c for c in before.columns if c in after.columns and c != key]
+    a = before.select(F.col(key).alias("__k"), F.struct(*columns).alias("__a"))
+    b = after.select(F.col(key).alias("__m"), F.struct(*columns).alias("__b"))
+    both = a.join(b, F.col("__k") == F.col("__m"), "left")
+    there = F.col("__m").isNotNull()
+    cells = [
+        F.struct(
+            F.lit(c).alias("column"), F.count(F.when(F.col(f"__a.{c}").isNull(), 1)).alias("nulls_before"), F.count(F.when(there & F.col(f"__b.{c}").isNull(), 1)).alias("nulls_after"),
+            F.count(F.when(there & ~F.col(f"__a.{c}").eqNullSafe(F.col(f"__b.{c}")), 1)).alias("changed"), F.count(F.when(~there, 1)).alias("removed"),
+        )
+        for c in columns
+    ]
+    return both.agg(F.array(*cells).alias("c")).select(F.explode("c").alias("c")).select("c.*")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import dtype, finite
-from .running import running, with_next
+from .running import in_ranges, quantiles, running, with_next
 
 
 def _both(reference: DataFrame, current: DataFrame, column: str) -> DataFrame:
@@ -18,8 +18,8 @@ def _both(reference: DataFrame, current: DataFrame, column: str) -> DataFrame:
 
 def psi(reference: DataFrame, current: DataFrame, column: str, bins: int = 10) -> DataFrame:
     """Population stability: bins at the reference's quantiles, open at both ends, counts plus a half."""
-    cuts = reference.filter(finite(F.col(column), dtype(reference, column))).agg(F.percentile(F.col(column).cast("double"), F.array(*[F.lit(i / bins) for i in range(1, bins)]))).first()[0]
-    edges = sorted(set(cuts or []))
+    cuts = quantiles(reference, F.when(finite(F.col(column), dtype(reference, column)), F.col(column)), [i / bins for i in range(1, bins)])
+    edges = sorted({c for c in cuts if c is not None})
     both = _both(reference, current, column)
     k = F.lit(0)
     for e in edges:
@@ -115,3 +115,25 @@ def conformal_width(df: DataFrame, truth: str, predicted: str, level: float = 0.
     n = r.count()
     k = -(-int(round((n + 1) * level * 1e9)) // 10**9)
     return r.orderBy("r").offset(min(k, n) - 1).limit(1).select(F.col("r").alias("half_width"))
+
+
+def page_hinkley(df: DataFrame, order: str, value: str, slack: float, threshold: float) -> DataFrame:
+    """``order, statistic, alarm``: how far the sum of deviations from the running mean (less ``slack`` each) is above its lowest so far.
+
+    ``order`` must tell rows apart.  Sums and the minimum are taken in ranges of the order.
+    """
+    x = F.col(value).cast("double")
+    upto = running(df.select(F.col(order).alias("order"), x.alias("x")), [F.col("order")], {"n": F.lit(1), "s": F.col("x")})
+    deviations = running(upto.select("order", (F.col("x") - F.col("s") / F.col("n") - slack).alias("d")), [F.col("order")], {"m": F.col("d")})
+    low = running_min(deviations.select("order", "m"), "order", "m", "low")
+    return low.select("order", (F.col("m") - F.least("low", F.lit(0.0))).alias("statistic")).withColumn("alarm", F.col("statistic") > threshold)
+
+
+def running_min(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """Adds the least value up to each row, in ranges of the order."""
+    ranged = in_ranges(df, [F.col(order)])
+    lows = ranged.groupBy(F.col("__range").alias("__r")).agg(F.min(value).alias("__low"))
+    before = lows.select("__r", F.min("__low").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)).alias("__low"))
+    within = Window.partitionBy("__range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.join(F.broadcast(before), F.col("__range") == F.col("__r"))
+    return out.withColumn(name, F.least(F.min(value).over(within), F.col("__low"))).drop("__range", "__r", "__low")

@@ -112,3 +112,22 @@ def correlation(df: DataFrame, columns: Sequence[str], method: str = "pearson")
     for o in out[1:]:
         found = found.unionByName(o)
     return found
+
+
+def chunk_summary(df: DataFrame, chunk: str, value: str) -> DataFrame:
+    """``chunk, n, total, low, high`` of each chunk, and of all (null chunk) from the chunks' rows: the second phase reads no values again."""
+    v = _value(df, value)
+    parts = df.groupBy(F.col(chunk).alias("chunk")).agg(F.count(v).alias("n"), F.sum(v).alias("total"), F.min(v).alias("low"), F.max(v).alias("high"))
+    return parts.groupingSets([["chunk"], []], "chunk").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def suitability(df: DataFrame, target: str) -> DataFrame:
+    """``column, missing, constant, copies_target``: columns that a model can't learn from, or would cheat with; one pass."""
+    y = F.col(target)
+    cells = []
+    for c in df.columns:
+        if c != target:
+            v = F.col(f"`{c}`")
+            same = F.count(F.when(v.cast("string").eqNullSafe(y.cast("string")), 1)) == F.count(F.lit(1))
+            cells.append(F.struct(F.lit(c).alias("column"), F.count(F.when(v.isNull(), 1)).alias("missing"), F.coalesce(F.min(v) == F.max(v), F.lit(True)).alias("constant"), same.alias("copies_target")))
+    return df.agg(F.array(*cells).alias("c")).select(F.explode("c").alias("c")).select("c.*")

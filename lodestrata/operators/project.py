@@ -21,6 +21,13 @@ def rename(df: DataFrame, old: str, new: str) -> DataFrame:
     return df.withColumnRenamed(old, new)
 
 
+def select(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The named columns in that order; others are hidden, not gone from the source."""
+    if not columns or set(columns) - set(df.columns) or len(set(columns)) != len(columns):
+        raise Rejected("columns must exist and be named once")
+    return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
 def drop(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     if not columns or set(columns) - set(df.columns) or len(set(columns)) >= len(df.columns):
         raise Rejected("some but not all columns can be dropped")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.values import Rejected, dtype, require_finite
+from ..functions.values import Rejected, dtype, nfkc_fold, require_finite, sequence_ratio
 
 KINDS = ("inner", "left", "right", "full")
 
@@ -172,11 +172,18 @@ def keyed_pairs(left: DataFrame, right: DataFrame, key: str) -> tuple[DataFrame,
     return left.join(right, key), counts
 
 
-def block_pairs(df: DataFrame, key: str, block: Sequence[str], text: str, threshold: float) -> DataFrame:
-    """Pairs within a block whose texts are alike: 1 - edit distance / longer length.
+def block_pairs(df: DataFrame, key: str, block: Sequence[str], text: str, threshold: float, method: str = "distance") -> DataFrame:
+    """Pairs within a block whose texts are alike.
 
-    Only pairs with a length ratio that allows the threshold are compared.
+    ``distance``: 1 - edit distance / longer length, of trimmed lower-case texts; ``ratio``: by matching blocks, of texts in
+    compatibility form and folded.  Only pairs with lengths that allow the threshold are compared.
     """
+    if method == "ratio":
+        rows = df.select(F.col(key).alias("id"), F.struct(*block).alias("b"), nfkc_fold(F.col(text)).alias("t")).filter("t is not null").withColumn("n", F.char_length("t"))
+        a, b = rows.alias("a"), rows.alias("b")
+        able = F.least("a.n", "b.n") * 2 >= threshold * (F.col("a.n") + F.col("b.n"))
+        pairs = a.join(b, (F.col("a.b") == F.col("b.b")) & (F.col("a.id") < F.col("b.id")) & able).select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"), F.col("a.t").alias("x"), F.col("b.t").alias("y"))
+        return pairs.withColumn("similarity", sequence_ratio(F.col("x"), F.col("y"))).drop("x", "y").filter(F.col("similarity") >= threshold)
     t = df.select(F.col(key).alias("id"), F.concat_ws("\u0001", *[F.coalesce(F.lower(F.trim(F.col(b).cast("string"))), F.lit("")) for b in block]).alias("b"), F.lower(F.trim(text)).alias("t"), F.char_length(F.trim(text)).alias("n"))
     a, b = t.alias("a"), t.alias("b")
     pairs = a.join(b, (F.col("a.b") == F.col("b.b")) & (F.col("a.id") < F.col("b.id")) & (F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n")))

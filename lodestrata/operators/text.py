@@ -37,7 +37,8 @@ def vocabulary(counts: DataFrame, limit: int) -> DataFrame:
 
 def tfidf(df: DataFrame, key: str, text: str, limit: int = 5000, **options) -> DataFrame:
     """``doc, term, weight``: tf * (ln((1 + n) / (1 + df)) + 1), each document of length 1."""
-    counts = term_counts(df, key, text, **options)
+    # Kept, as both the vocabulary and the weights need them: texts are cut into terms once.
+    counts = cut(term_counts(df, key, text, **options))
     n = df.count()
     vocab = vocabulary(counts, limit)
     raw = counts.join(vocab.select("term", (F.log((1.0 + n) / (1 + F.col("df"))) + 1).alias("idf")), "term").select("doc", "term", (F.col("tf") * F.col("idf")).alias("w"))

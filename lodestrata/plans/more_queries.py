@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import charts, sets, windows
+from ..operators import charts, cleaning, monitor, profile, project, relational, sets, windows
 from ..operators.running import scratch
 from ..sources import readers, sinks
+from ..streaming import streams
 from .queries import query
 
 
@@ -231,3 +232,60 @@ def rank_in_groups(orders):
 @query("SELECT s_acctbal AS value, round((row_number() OVER (ORDER BY s_acctbal, s_suppkey) - 0.5) / count(*) OVER (), 9) AS p FROM supplier", "supplier")
 def chart_qq(supplier):
     return charts.qq(supplier, "s_acctbal", "s_suppkey").select("value", F.round("p", 9).alias("p"))
+
+
+# --- reports
+
+
+@query("SELECT c_name, c_custkey FROM customer", "customer")
+def select_columns(customer):
+    return project.select(customer, ["c_name", "c_custkey"])
+
+
+@query(
+    """WITH a AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderstatus END AS s, o_custkey AS c FROM orders), b AS (SELECT k, coalesce(s, 'X') AS s, c FROM a WHERE k % 10 <> 0)
+    SELECT 's' AS "column", count(*) FILTER (a.s IS NULL) AS nulls_before, count(*) FILTER (b.k IS NOT NULL AND b.s IS NULL) AS nulls_after, count(*) FILTER (b.k IS NOT NULL AND a.s IS DISTINCT FROM b.s) AS changed, count(*) FILTER (b.k IS NULL) AS removed FROM a LEFT JOIN b USING (k)
+    UNION ALL SELECT 'c', count(*) FILTER (a.c IS NULL), count(*) FILTER (b.k IS NOT NULL AND b.c IS NULL), count(*) FILTER (b.k IS NOT NULL AND a.c IS DISTINCT FROM b.c), count(*) FILTER (b.k IS NULL) FROM a LEFT JOIN b USING (k)""",
+    "orders",
+)
+def impact_report(orders):
+    before = orders.select(F.col("o_orderkey").alias("k"), F.expr("CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderstatus END").alias("s"), F.col("o_custkey").alias("c"))
+    return cleaning.impact(before, before.filter("k % 10 <> 0").fillna({"s": "X"}), "k")
+
+
+@query(
+    """SELECT l_linenumber AS chunk, count(*) AS n, CAST(sum(l_quantity) AS DOUBLE) AS total, CAST(min(l_quantity) AS DOUBLE) AS low, CAST(max(l_quantity) AS DOUBLE) AS high FROM lineitem GROUP BY 1
+    UNION ALL SELECT NULL, count(*), sum(l_quantity), min(l_quantity), max(l_quantity) FROM lineitem""",
+    "lineitem",
+)
+def chunk_summary(lineitem):
+    return profile.chunk_summary(lineitem.withColumn("l_quantity", F.col("l_quantity").cast("double")), "l_linenumber", "l_quantity")
+
+
+@query("SELECT 'o_custkey' AS \"column\", count(*) FILTER (o_custkey IS NULL) AS missing, min(o_custkey) = max(o_custkey) AS constant, false AS copies_target FROM orders UNION ALL SELECT 'one', 0, true, false UNION ALL SELECT 'leak', 0, false, true", "orders")
+def suitability_scan(orders):
+    return profile.suitability(orders.select("o_custkey", F.lit(1).alias("one"), F.col("o_orderstatus").alias("leak"), "o_orderstatus"), "o_orderstatus")
+
+
+@query(
+    """WITH d AS (SELECT event_id AS o, value - avg(value) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 0.1 AS d FROM events), m AS (SELECT o, sum(d) OVER (ORDER BY o) AS m FROM d)
+    SELECT o AS "order", round(m - least(0, min(m) OVER (ORDER BY o)), 4) AS statistic FROM m""",
+    "events",
+)
+def drift_alarm(events_):
+    return monitor.page_hinkley(events_, "event_id", "value", 0.1, 50.0).select("order", F.round("statistic", 4).alias("statistic"))
+
+
+@query(
+    """WITH c AS (SELECT l_linenumber AS source, l_orderkey AS o, count(*) AS n FROM lineitem GROUP BY 1, 2)
+    SELECT source, min(o) AS first, max(o) AS last, CAST(sum(n) AS BIGINT) AS rows, max(o) - min(o) + 1 - count(*) AS missing, CAST(sum(n) - count(*) AS BIGINT) AS repeated FROM c GROUP BY 1""",
+    "lineitem",
+)
+def stream_cursor(lineitem):
+    return streams.cursor_check(lineitem, "l_linenumber", "l_orderkey")
+
+
+# The ratio has no SQL; tests hold it against brute force.
+@query(None, "supplier")
+def block_pairs_ratio(supplier):
+    return relational.block_pairs(supplier, "s_suppkey", ["s_nationkey"], "s_name", 0.9, "ratio")

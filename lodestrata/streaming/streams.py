@@ -68,3 +68,10 @@ def split_late(batch: DataFrame, time: str, watermark: str) -> tuple[DataFrame,
     """(in time, late) rows of a micro-batch, for ``foreachBatch``: late rows go to a side table and aren't lost."""
     late = F.col(time) < F.lit(watermark).cast("timestamp")
     return batch.filter(~late), batch.filter(late)
+
+
+def cursor_check(df: DataFrame, source: str, offset: str) -> DataFrame:
+    """``source, first, last, rows, missing, repeated`` of each source's offsets: a resumed read must leave no gap and bring nothing twice."""
+    counts = df.groupBy(F.col(source).alias("source"), F.col(offset).alias("o")).agg(F.count(F.lit(1)).alias("n"))
+    out = counts.groupBy("source").agg(F.min("o").alias("first"), F.max("o").alias("last"), F.sum("n").alias("rows"), F.count(F.lit(1)).alias("k"))
+    return out.select("source", "first", "last", "rows", (F.col("last") - F.col("first") + 1 - F.col("k")).alias("missing"), (F.col("rows") - F.col("k")).alias("repeated"))

@@ -3,16 +3,18 @@
 import io
 import math
 import sqlite3
+import unicodedata
 import zipfile
 from collections import Counter
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.functions.distributions import NORMAL, normal_cdf, normal_quantile, t_quantile
 from lodestrata.functions.values import Rejected
-from lodestrata.operators import charts, monitor, sets, stats, windows
-from lodestrata.operators.running import running, with_next
+from lodestrata.operators import charts, monitor, relational, sets, stats, windows
+from lodestrata.operators.running import quantiles, running, with_next
 from lodestrata.sources import readers
 
 
@@ -116,6 +118,24 @@ def test_as_of_with_ties_nulls_and_a_hot_key(spark):
     assert got == {0: "b", 1: None, 2: None, 3: None, 4: None, 7: None, 8: None} | {100 + t: "k" if t >= 10 else None for t in range(2000)}
 
 
+def test_quantiles_of_many_values(spark):
+    values = [float(i * 7919 % 1000) for i in range(777)] + [5.0] * 300
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    shares = [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]
+    want = df.agg(F.percentile("v", F.array(*[F.lit(p) for p in shares]))).first()[0]
+    assert quantiles(df, F.col("v"), shares) == pytest.approx(want) and quantiles(df.limit(0), F.col("v"), [0.5]) == [None]
+
+
+def test_block_pairs_by_matching_blocks(spark):
+    names = ["Straße 12", "STRASSE 12", "strasse  13", "ﬁne paper", "fine papers", "", "zzz", None]
+    df = spark.createDataFrame([(i, i % 2, n) for i, n in enumerate(names)] + [(10 + i, 0, n) for i, n in enumerate(names)], "k int, b int, t string")
+    fold = lambda s: unicodedata.normalize("NFKC", s).casefold().strip()
+    rows = [r for r in df.collect() if r.t is not None]
+    want = {(x.k, y.k): SequenceMatcher(None, fold(x.t), fold(y.t), autojunk=False).ratio() for x in rows for y in rows if x.k < y.k and x.b == y.b}
+    got = {(r.left_id, r.right_id): r.similarity for r in relational.block_pairs(df, "k", ["b"], "t", 0.8, "ratio").collect()}
+    assert got == pytest.approx({k: v for k, v in want.items() if v >= 0.8}) and len(got) > 3
+
+
 def test_differences_and_sets_refuse_what_they_cannot_tell(spark):
     df = spark.createDataFrame([(1, math.nan), (2, None)], "k int, v double")
     assert sets.difference(df, df, ["k"]).count() == 0
