@@ -269,11 +269,11 @@ def suitability_scan(orders):
 
 @query(
     """WITH d AS (SELECT event_id AS o, value - avg(value) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 0.1 AS d FROM events), m AS (SELECT o, sum(d) OVER (ORDER BY o) AS m FROM d)
-    SELECT o AS "order", round(m - least(0, min(m) OVER (ORDER BY o)), 4) AS statistic FROM m""",
+    SELECT o AS "order", round(m - least(0, min(m) OVER (ORDER BY o)), 2) AS statistic FROM m""",
     "events",
 )
 def drift_alarm(events_):
-    return monitor.page_hinkley(events_, "event_id", "value", 0.1, 50.0).select("order", F.round("statistic", 4).alias("statistic"))
+    return monitor.page_hinkley(events_, "event_id", "value", 0.1, 50.0).select("order", F.round("statistic", 2).alias("statistic"))
 
 
 @query(
