@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distributions import NORMAL, chi2_sf, f_sf, normal_sf2, t_quantile, t_sf2
 from ..functions.values import Rejected, dtype, finite
-from .running import running
+from .running import cut, running
 from .windows import average_rank
 
 
@@ -246,16 +246,33 @@ def experiment(df: DataFrame, arm: str, outcome: str, control: str, treatment: s
 
 
 def kaplan_meier(df: DataFrame, duration: str, event: str, group: str | None = None) -> DataFrame:
-    """``time, at_risk, events, survival, variance`` at times with events; events come before censoring at the same time."""
+    """``g, time, at_risk, events, survival, variance`` at times with events; events come before censoring at the same time.
+
+    Sums run over distinct times, in ranges of their order; a group's start is taken off.
+    """
     keys = [F.col(group).alias("g")] if group else [F.lit("all").alias("g")]
     t = df.filter(F.col(duration).isNotNull()).groupBy(*keys, F.col(duration).alias("time")).agg(F.sum(F.col(event).cast("int")).alias("events"), F.count(F.lit(1)).alias("left"))
-    later = Window.partitionBy("g").orderBy("time").rowsBetween(0, Window.unboundedFollowing)
-    upto = Window.partitionBy("g").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    risk = t.withColumn("at_risk", F.sum("left").over(later)).filter("events > 0")
     d, n = F.col("events"), F.col("at_risk")
-    dead = F.max((d == n).cast("int")).over(upto) == 1
-    s = F.when(dead, 0.0).otherwise(F.exp(F.sum(F.log(F.when(d < n, 1 - d / n))).over(upto)))
-    return risk.select("g", "time", "at_risk", "events", s.alias("survival"), F.sum(F.try_divide(d, n * (n - d))).over(upto).alias("greenwood")).withColumn("variance", F.col("survival") ** 2 * F.col("greenwood")).drop("greenwood")
+    down = running(t, [F.col("g"), F.col("time").desc()], {"at_risk": F.col("left"), "__at": F.lit(1)})
+    risk = _from_start(down, "g", {"at_risk": F.col("left")}).filter("events > 0")
+    terms = {
+        "__dead": (d == n).cast("int"),
+        "__log": F.coalesce(F.log(F.when(d < n, 1 - d / n)), F.lit(0.0)),
+        "__known": F.when(d < n, 1).otherwise(0),
+        "__greenwood": F.coalesce(F.try_divide(d, n * (n - d)), F.lit(0.0)),
+    }
+    upto = _from_start(running(risk, [F.col("g"), F.col("time")], terms | {"__at": F.lit(1)}), "g", terms)
+    s = F.when(F.col("__dead") > 0, 0.0).otherwise(F.exp("__log"))
+    out = upto.select("g", "time", "at_risk", "events", s.alias("survival"), F.when(F.col("__known") > 0, F.col("__greenwood")).alias("__greenwood"))
+    return out.withColumn("variance", F.col("survival") ** 2 * F.col("__greenwood")).drop("__greenwood")
+
+
+def _from_start(df: DataFrame, group: str, sums: dict) -> DataFrame:
+    """Running sums over groups one after the other become sums within each: what stands before a group's first row is taken off."""
+    df = cut(df)
+    starts = df.groupBy(F.col(group).alias("__of")).agg(*[F.min_by(F.col(n) - c, F.col("__at")).alias(f"__s{i}") for i, (n, c) in enumerate(sums.items())])
+    out = df.join(starts, F.col(group).eqNullSafe(F.col("__of")))
+    return out.withColumns({n: F.col(n) - F.col(f"__s{i}") for i, n in enumerate(sums)}).drop("__of", "__at", *[f"__s{i}" for i in range(len(sums))])
 
 
 def log_rank(df: DataFrame, duration: str, event: str, group: str) -> DataFrame:

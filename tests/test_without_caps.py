@@ -143,3 +143,16 @@ def test_differences_and_sets_refuse_what_they_cannot_tell(spark):
         sets.difference(df.unionByName(df), df, ["k"])
     with pytest.raises(Rejected):
         sets.combine(df, df.select("k"), "union")
+
+
+def test_survival_curves_of_groups(spark):
+    rows = [("a", 1, True), ("a", 2, False), ("a", 2, True), ("a", 5, True), ("b", 1, True), ("b", 1, True), ("c", 3, False), ("c", 4, True), ("c", 9, False)]
+    got = {(r.g, r.time): (r.at_risk, r.events, r.survival) for r in stats.kaplan_meier(spark.createDataFrame(rows, "g string, t int, e boolean"), "t", "e", "g").collect()}
+    want = {}
+    for g in "abc":
+        s = 1.0
+        for t in sorted({t for h, t, e in rows if h == g and e}):
+            n, d = sum(h == g and u >= t for h, u, _ in rows), sum(h == g and u == t and e for h, u, e in rows)
+            s *= 1 - d / n
+            want[g, t] = (n, d, s)
+    assert got == {k: (n, d, pytest.approx(s, abs=1e-12)) for k, (n, d, s) in want.items()}
