@@ -41,7 +41,7 @@ def first_rows(supplier):
 
 @query("SELECT c_custkey, abs(-c_acctbal) AS size, -c_acctbal AS turned FROM customer", "customer")
 def formula_unary(customer):
-    return project.computed(project.computed(customer, "size", "abs(-c_acctbal)"), "turned", "-c_acctbal").select("c_custkey", "size", "turned")
+    return project.computed(project.computed(customer, "size", 'abs(-col("c_acctbal"))'), "turned", '-col("c_acctbal")').select("c_custkey", "size", "turned")
 
 
 @query(

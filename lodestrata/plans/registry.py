@@ -9,13 +9,13 @@ from graphlib import CycleError, TopologicalSorter
 from pyspark.sql import DataFrame
 
 from ..functions.values import Rejected
-from ..operators import charts, cleaning, events, geo, graph, ml, monitor, privacy, profile, project, quality, relational, stats, text, timeseries, windows
+from ..operators import charts, cleaning, events, geo, glm, graph, ml, monitor, privacy, profile, project, quality, relational, sets, signals, stats, survival, text, timeseries, windows
 
 KINDS = ("importer", "transform", "stat", "model", "chart")
 REGISTRY: dict[str, Callable] = {}
 _USER: dict[str, tuple[str, Callable]] = {}
 
-for _module in (charts, cleaning, events, geo, graph, ml, monitor, privacy, profile, project, quality, relational, stats, text, timeseries, windows):
+for _module in (charts, cleaning, events, geo, glm, graph, ml, monitor, privacy, profile, project, quality, relational, sets, signals, stats, survival, text, timeseries, windows):
     for _name, _f in inspect.getmembers(_module, inspect.isfunction):
         if _f.__module__ == _module.__name__ and not _name.startswith("_"):
             REGISTRY[f"{_module.__name__.rsplit('.', 1)[1]}.{_name}"] = _f
