@@ -7,12 +7,16 @@ levels see the same ones, and a lost executor costs a reread.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions.values import Rejected
+
 LOCAL_DIR = "file:///tmp/checkpoints"
+#: Rows of one block of a table in its order, where columns look back over rows.
+BLOCK_ROWS = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -70,6 +74,23 @@ def with_next(df: DataFrame, order: Column, name: str) -> DataFrame:
     return out.withColumn(name, F.coalesce(F.lead("__v").over(within), F.col("__first"))).drop("__v", "__range", "__r", "__first")
 
 
+def looking_back(df: DataFrame, order: Sequence[str], groups: Sequence[str], back: int, add: Callable[[WindowSpec], dict[str, Column]], rows: int | None = None) -> DataFrame:
+    """Adds columns over a window of each group in ``order`` that look back over at most ``back`` rows.
+
+    Rows are numbered along groups and order and cut into blocks of ``rows`` (``BLOCK_ROWS``); the last ``back`` rows of a block are also given to
+    the next, so a group may be as large as the table.
+    """
+    rows = rows or BLOCK_ROWS
+    if not 0 <= back <= rows:
+        raise Rejected(f"looking back over {back} rows, of {rows} at most")
+    at = running(df, [F.col(c) for c in (*groups, *order)], {"__at": F.lit(1)}).withColumn("__at", F.col("__at") - 1)
+    own = F.expr(f"__at div {rows}")
+    late = F.pmod(F.col("__at"), F.lit(rows)) >= rows - back
+    dealt = at.withColumn("__block", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))))
+    w = Window.partitionBy("__block", *groups).orderBy("__at")
+    return dealt.withColumns(add(w)).filter(F.col("__block") == own).drop("__at", "__block")
+
+
 def quantiles(df: DataFrame, value: Column, shares: Sequence[float]) -> list[float | None]:
     """Exact quantiles, halfway between neighbours by their distance; nulls are left out, and nothing but the values at those places comes to the driver.
 

@@ -8,10 +8,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import Rejected
+from .running import looking_back
 from .timeseries import acf
 
 #: Windows by their cosine terms: a0 - a1 cos(2 pi i / n), periodic.
@@ -66,7 +67,6 @@ def pacf(df: DataFrame, time: str, value: str, lags: int) -> DataFrame:
 
 def scaled_error(df: DataFrame, time: str, actual: str, forecast: str, period: int = 1, groups: Sequence[str] = ()) -> DataFrame:
     """``*groups, n, mase``: mean absolute error over that of the value a period before; null where that is 0."""
-    w = Window.partitionBy(*groups).orderBy(time)
-    rows = df.withColumn("__naive", F.abs(F.col(actual) - F.lag(actual, period).over(w)))
+    rows = looking_back(df, [time], groups, period, lambda w: {"__naive": F.abs(F.col(actual) - F.lag(actual, period).over(w))})
     e = F.abs(F.col(actual) - F.col(forecast))
     return rows.groupBy(*groups).agg(F.count(e).alias("n"), F.try_divide(F.avg(e), F.avg("__naive")).alias("mase"))

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import Rejected
+from .running import looking_back
 
 UNITS = {"h": ("hour", "1 hour"), "D": ("day", "1 day"), "W-MON": ("week", "7 days"), "MS": ("month", "1 month")}
 
@@ -39,8 +42,7 @@ def normalise(df: DataFrame, time: str, value: str, frequency: str, groups: Sequ
 
 def seasonal_naive(df: DataFrame, time: str, value: str, period: int, groups: Sequence[str] = ()) -> DataFrame:
     """Adds ``naive`` (the row before) and ``seasonal`` (the row a period before)."""
-    w = Window.partitionBy(*groups).orderBy(time)
-    return df.withColumns({"naive": F.lag(value, 1).over(w), "seasonal": F.lag(value, period).over(w)})
+    return looking_back(df, [time], groups, max(1, period), lambda w: {"naive": F.lag(value, 1).over(w), "seasonal": F.lag(value, period).over(w)})
 
 
 def forecast_errors(df: DataFrame, actual: str, forecast: str) -> DataFrame:
@@ -50,10 +52,11 @@ def forecast_errors(df: DataFrame, actual: str, forecast: str) -> DataFrame:
 
 def acf(df: DataFrame, time: str, value: str, lags: int, groups: Sequence[str] = ()) -> DataFrame:
     """``lag, acf``: products of centred values over the sum of squares."""
-    everything = Window.partitionBy(*groups)
-    order = everything.orderBy(time)
-    c = df.select(*groups, F.col(time), (F.col(value) - F.avg(value).over(everything)).alias("c"))
-    products = c.select(*groups, "c", *[(F.col("c") * F.lag("c", k).over(order)).alias(f"p{k}") for k in range(1, lags + 1)])
+    means = df.groupBy(*groups).agg(F.avg(value).alias("__mean"))
+    means = F.broadcast(means) if not groups else means.withColumnsRenamed({g: f"__g{i}" for i, g in enumerate(groups)})
+    same = reduce(and_, [F.col(f"__g{i}").eqNullSafe(F.col(g)) for i, g in enumerate(groups)], F.lit(True))
+    c = df.select(*groups, time, value).join(means, same).select(*groups, time, (F.col(value) - F.col("__mean")).alias("c"))
+    products = looking_back(c, [time], groups, lags, lambda w: {f"p{k}": F.col("c") * F.lag("c", k).over(w) for k in range(1, lags + 1)})
     sums = products.groupBy(*groups).agg(*[(F.sum(f"p{k}") / F.sum(F.col("c") * F.col("c"))).alias(str(k)) for k in range(1, lags + 1)])
     return sums.unpivot(list(groups), [str(k) for k in range(1, lags + 1)], "lag", "acf").withColumn("lag", F.col("lag").cast("int"))
 

@@ -6,11 +6,11 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.values import Rejected, dtype, finite
-from .running import cut, running
+from .running import cut, looking_back, running
 
 
 def average_rank(df: DataFrame, column: str, output: str = "rank", groups: Sequence[str] = ()) -> DataFrame:
@@ -29,10 +29,13 @@ def average_rank(df: DataFrame, column: str, output: str = "rank", groups: Seque
 
 def lag_features(df: DataFrame, value: str, order: str, lags: Sequence[int], window: int, groups: Sequence[str] = ()) -> DataFrame:
     """Lags, and the mean of the ``window`` rows strictly before (null until there are as many)."""
-    w = Window.partitionBy(*groups).orderBy(order)
-    before = w.rowsBetween(-window, -1)
-    out = df.withColumns({f"lag_{k}": F.lag(value, k).over(w) for k in lags})
-    return out.withColumn(f"rolling_{window}", F.when(F.count(value).over(before) == window, F.avg(value).over(before)))
+
+    def add(w: WindowSpec) -> dict[str, Column]:
+        before = w.rowsBetween(-window, -1)
+        mean = F.when(F.count(value).over(before) == window, F.avg(value).over(before))
+        return {f"lag_{k}": F.lag(value, k).over(w) for k in lags} | {f"rolling_{window}": mean}
+
+    return looking_back(df, [order], groups, max(window, *lags, 0), add)
 
 
 def ecdf(df: DataFrame, column: str, weight: str | None = None) -> DataFrame:

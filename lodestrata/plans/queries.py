@@ -24,6 +24,8 @@ def query(sql: str | None, *tables: str):
 
     def add(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         name = f.__name__
+        if name in QUERIES:
+            raise ValueError(f"{name!r} is taken")
         QUERIES[name] = lambda spark, sf_dir: f(*[_table(spark, sf_dir, t) for t in tables])
         if sql:
             ORACLE_SQL[name] = sql
