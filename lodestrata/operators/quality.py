@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.values import Rejected, dtype, exact_cast, finite, fold, is_float
+from ..functions.values import Rejected, dtype, exact_cast, finite, fold, is_float, sequence_ratio
 
 BLANKS = r"(?U)^\s*$|^\s|\s$|  |[\t\n\r]"
 
@@ -121,6 +121,6 @@ def similar_categories(df: DataFrame, column: str, threshold: float = 0.85, limi
     """
     top = df.filter(F.col(column).isNotNull()).groupBy(column).count().orderBy(F.col("count").desc(), column).limit(limit).select(F.col(column).alias("v"), fold(F.col(column)).alias("f"))
     a, b = top.select(F.col("v").alias("a"), F.col("f").alias("fa")), top.select(F.col("v").alias("b"), F.col("f").alias("fb"))
-    ratio = 1 - F.levenshtein("fa", "fb") / F.greatest(F.char_length("fa"), F.char_length("fb"), F.lit(1))
+    ratio = sequence_ratio(F.col("fa"), F.col("fb"))
     long = F.least(F.char_length("fa"), F.char_length("fb")) >= 4
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", ratio.alias("similarity"), (F.col("fa") == F.col("fb")).alias("same_folded"), long.alias("long")).filter(F.col("same_folded") | (F.col("similarity") >= threshold) & F.col("long")).drop("long")

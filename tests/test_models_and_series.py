@@ -2,13 +2,14 @@
 
 import math
 import random
+from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
 
 from lodestrata.functions.values import Rejected
-from lodestrata.operators import glm, running, signals, survival, timeseries, windows
-from lodestrata.plans import further_queries, more_queries, queries, registry  # noqa: F401
+from lodestrata.operators import glm, quality, running, signals, survival, timeseries, windows
+from lodestrata.plans import further_queries, more_queries, queries, registry, report_queries  # noqa: F401
 
 
 @pytest.mark.parametrize("rows", [4, 7, 1000])
@@ -157,3 +158,17 @@ def test_causal_contrasts_recover_a_planted_effect(spark):
 def test_every_query_is_registered_once_and_operators_are_found():
     assert {"glm.glm", "survival.cox", "signals.welch", "sets.union"} & registry.REGISTRY.keys() >= {"glm.glm", "survival.cox", "signals.welch"}
     assert queries.ORACLE_SQL.keys() <= queries.QUERIES.keys()
+
+
+def test_similar_categories_by_matching_blocks(spark):
+    names = ["cold gear", "old gear", "Old Gear", "red plate", "large plate", "abc", "abd", "xyzzy"]
+    df = spark.createDataFrame([(n,) for n in names] + [(None,)], "c string")
+    got = {(r.a, r.b): (r.similarity, r.same_folded) for r in quality.similar_categories(df, "c", 0.75).collect()}
+    want = {}
+    for a in names:
+        for b in names:
+            x, y = a.lower(), b.lower()
+            ratio = SequenceMatcher(None, x, y, autojunk=False).ratio()
+            if a < b and (x == y or ratio >= 0.75 and min(len(a), len(b)) >= 4):
+                want[a, b] = (ratio, x == y)
+    assert got.keys() == want.keys() and all(abs(got[k][0] - want[k][0]) < 1e-12 and got[k][1] == want[k][1] for k in want)
