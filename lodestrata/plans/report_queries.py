@@ -157,11 +157,11 @@ def pca_shares(lineitem):
 
 @query(
     """WITH u AS (SELECT user_id, ts, value, lead(ts) OVER w AS next, count(*) OVER (w ROWS UNBOUNDED PRECEDING) AS n, sum(value) OVER (w ROWS UNBOUNDED PRECEDING) AS s, count(*) OVER (PARTITION BY user_id) AS m, sum(value) OVER (PARTITION BY user_id) AS t FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-    g AS (SELECT *, s * s / n + (t - s) * (t - s) / (m - n) AS gain FROM u WHERE n < m) SELECT user_id, max_by(next, gain) AS change_at, round(max_by(s / n, gain), 6) AS before, round(max_by((t - s) / (m - n), gain), 6) AS "after" FROM g GROUP BY 1""",
+    g AS (SELECT *, s * s / n + (t - s) * (t - s) / (m - n) AS gain FROM u WHERE n < m) SELECT user_id, max_by(next, gain) AS change_at, round(max_by(s / n, gain), 9) AS before, round(max_by((t - s) / (m - n), gain), 9) AS "after" FROM g GROUP BY 1""",
     "events",
 )
 def change_points(events_):
-    return _rounded(timeseries.change_point(events_, "ts", "value", ["user_id"]), 6, "before", "after").filter("change_at is not null").withColumn("change_at", F.col("change_at").cast("timestamp_ntz"))
+    return _rounded(timeseries.change_point(events_, "ts", "value", ["user_id"]), 9, "before", "after").filter("change_at is not null").withColumn("change_at", F.col("change_at").cast("timestamp_ntz"))
 
 
 @query(
@@ -192,13 +192,13 @@ def croston_demand(events_):
 
 @query(
     """WITH d AS (SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS time, count(*)::DOUBLE AS v FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY time) AS i FROM d),
-    l AS (SELECT a.user_id, a.time, a.v, a.i, sum(b.v * CASE WHEN b.i = 1 THEN 1 ELSE 0.3 END * 0.7 ** (a.i - b.i)) AS level FROM r a JOIN r b ON a.user_id = b.user_id AND b.i <= a.i GROUP BY ALL)
-    SELECT user_id, time, v AS value, round(lag(level) OVER (PARTITION BY user_id ORDER BY i), 6) AS forecast FROM l""",
+    l AS (SELECT a.user_id, a.time, a.v, a.i, sum(b.v * CASE WHEN b.i = 1 THEN 1 ELSE 0.25 END * 0.75 ** (a.i - b.i)) AS level FROM r a JOIN r b ON a.user_id = b.user_id AND b.i <= a.i GROUP BY ALL)
+    SELECT user_id, time, v AS value, round(lag(level) OVER (PARTITION BY user_id ORDER BY i), 9) AS forecast FROM l""",
     "events",
 )
 def exponential_smoothing(events_):
     daily = events_.groupBy("user_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("time")).agg(F.count(F.lit(1)).cast("double").alias("v"))
-    return timeseries.smooth(daily, "time", "v", 0.3, ["user_id"]).select("user_id", "time", "value", F.round(F.nanvl("forecast", F.lit(None)), 6).alias("forecast"))
+    return timeseries.smooth(daily, "time", "v", 0.25, ["user_id"]).select("user_id", "time", "value", F.round(F.nanvl("forecast", F.lit(None)), 9).alias("forecast"))
 
 
 # --- monitoring and feedback
