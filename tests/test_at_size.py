@@ -7,7 +7,7 @@ from lodestrata.operators import relational
 from pyspark.sql import functions as F
 
 
-@pytest.mark.parametrize("method", ["distance"])
+@pytest.mark.parametrize("method", ["distance", "ratio"])
 def test_copies_are_compared_once(spark, monkeypatch, method):
     # Names of two blocks, each many times, with ids in an order of their own.
     names = ["red bolt 1", "red bolt 2", "Red Bolt 1 ", "blue rod", "blue rods", "", None]
