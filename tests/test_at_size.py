@@ -1,10 +1,11 @@
 """Work of queries on tables with many copies, heavy keys and many rows."""
 
-from collections import Counter
+from collections import Counter, defaultdict
 from difflib import SequenceMatcher
+from itertools import combinations
 
 import pytest
-from lodestrata.operators import relational
+from lodestrata.operators import relational, text
 from pyspark.sql import functions as F
 
 
@@ -63,3 +64,27 @@ def test_full_join_deals_out_heavy_keys(spark, monkeypatch, nulls):
     assert Counter(tuple(r)[:4] for r in rows) == Counter(want)
     heavy = Counter(r.p for r in rows if (r.ak is None and r.bk is None and r.av is not None and r.bv is not None) or r.ak == 1)
     assert len(heavy) > 2 and max(heavy.values()) < 0.6 * sum(heavy.values())
+
+
+def test_copies_are_no_pairs_before_the_closest(spark, monkeypatch):
+    # Copies of four texts, one of them twice as long, and texts that differ in a word; few terms, in many documents each.
+    kinds = ["a b c d", "a b c d a b c d", "a b b e", "c d e e f"]
+    docs = [(i * 11 % 240, kinds[i % 4] if i < 160 else f"a b c w{i} w{i % 7}") for i in range(240)]
+    weights = text.tfidf(spark.createDataFrame(docs, "id bigint, t string"), "id", "t").cache()
+    by = defaultdict(dict)
+    for r in weights.collect():
+        by[r.doc][r.term] = r.weight
+    every = sorted((-round(sum(w * by[j].get(t, 0) for t, w in by[i].items()), 12), i, j) for i, j in combinations(sorted(by), 2) if set(by[i]) & set(by[j]))
+    met, plain = [], text._meeting
+
+    def counted(*args):
+        met.append(plain(*args))
+        return met[-1]
+
+    monkeypatch.setattr(text, "_meeting", counted)
+    for limit in (30, 3500):
+        got = [tuple(r) for r in text.similar(weights, limit).collect()]
+        assert [c for _, _, c in got] == pytest.approx([-c for c, _, _ in every[:limit]])
+        if limit == 30:
+            assert [p[:2] for p in got] == [p[1:] for p in every[:30]]
+    assert met[0].count() < 100
