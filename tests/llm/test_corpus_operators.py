@@ -6,6 +6,7 @@ import math
 import random
 import re
 import time
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -336,6 +337,28 @@ def test_quality_without_labels(spark):
     assert quality.score(docs, model).first().score >= 0.5
 
 
+def test_quality_fits_on_all_labelled_rows(spark, monkeypatch):
+    # Fewer rows or pairs than these were read before; the fit is held against the loss of all pairs.
+    rng = random.Random(5)
+    text = lambda good, i: " ".join(rng.choice(["tree", "house", "7", "42"] if good ^ (rng.random() < 0.2) else ["tree", "house", "BUY!"]) for _ in range(12))
+    rows = [(i, text(i % 3 > 0, i), "s") for i in range(600)]
+    docs, labels = make(spark, rows), spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(600)], "doc_id bigint, quality int")
+    monkeypatch.setattr(quality, "TRAIN_ROWS", 50, raising=False)
+    monkeypatch.setattr(quality, "PAIRS", 100, raising=False)
+    model = quality.train(docs, labels, "quality", 1, 3)
+    used = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    x, y = np.array([quality.features(r[1].encode()) for r in used]), np.array([r[0] % 3 > 0 for r in used])
+    z = np.clip((x - x.mean(axis=0)) / np.where(x.std(axis=0) > 1e-9, x.std(axis=0), 1), -8, 8)
+    # The loss of all pairs is flat at the weights, and the threshold is the worth at the rank of the bad rows.
+    diff = (z[y][:, None] - z[~y][None]).reshape(-1, z.shape[1])
+    slope = lambda w: (diff / (1 + np.exp(diff @ w))[:, None]).mean(axis=0) - 1e-3 * w
+    assert np.abs(slope(model.w)).max() < 5e-5 < 5e-4 < np.abs(slope(model.w * 0.95)).max()
+    order = np.sort(z @ model.w)
+    assert model.threshold == pytest.approx((order[(~y).sum() - 1] + order[(~y).sum()]) / 2)
+    same = quality.fit(x, y.astype(int))
+    assert model.w == pytest.approx(same.w, abs=1e-9) and (model.threshold, model.width) == pytest.approx((same.threshold, same.width))
+
+
 # --- 7: toxicity
 
 
