@@ -132,7 +132,9 @@ def frequent_ngrams(docs: DataFrame, n: int, percent: int) -> np.ndarray:
     least = max(levels, default=1)
     while least > 1 and sum(v for k, v in levels.items() if k >= least - 1) <= MARKED:
         least -= 1
-    return bit_table(counts.filter(F.col("c") >= (1 << least)), "h")
+    marked = bit_table(counts.filter(F.col("c") >= (1 << least)), "h")
+    discard(counts)
+    return marked
 
 
 def ordered(h: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -347,11 +349,13 @@ def verified(pairs: DataFrame, segs: DataFrame, percent: int) -> DataFrame:
 
 def linked(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of the written ``pairs`` that link, written."""
+    release(docs.sparkSession)
     asked = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     segs = materialize(segments(docs, asked, n), "segments")
     release(docs.sparkSession)
     out = materialize(verified(pairs, segs, percent), "links")
     discard(segs, pairs)
+    release(docs.sparkSession)
     return out
 
 
@@ -376,18 +380,27 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     """
     spark = docs.sparkSession
     source = _bytes_of(docs, key, text)
-    sets = materialize(n_gram_sets(source, frequent_ngrams(source, n, percent), n, percent), "sets")
-    classes = materialize(
-        sets.filter(F.col("key").isNotNull()).groupBy("key")
+    frequent = frequent_ngrams(source, n, percent)
+    release(spark)
+    # Prefixes are the most of these tables, so each is written again without them as soon as they have been read.
+    wide = materialize(n_gram_sets(source, frequent, n, percent), "sets")
+    whole = materialize(
+        wide.filter(F.col("key").isNotNull()).groupBy("key")
         .agg(F.min("rid").alias("rep"), F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "prefix", "sizes")]),
         "classes",
     )
-    members = materialize(buckets(classes), "members")
+    sets = materialize(wide.select("doc_id", "n", "key"), "rows")
+    discard(wide)
+    release(spark)
+    members = materialize(buckets(whole), "members")
+    classes = materialize(whole.select("key", "rep", "least", "sizes"), "named")
+    discard(whole)
     release(spark)
     links = linked(source, materialize(leader_pairs(members, percent), "pairs"), n, percent)
     comps = connected_components(links)
     more = materialize(open_pairs(_still_open(members, comps, classes.select("rep", "sizes")), percent), "open")
     discard(members)
+    release(spark)
     if not more.isEmpty():
         comps = connected_components(links.unionByName(linked(source, more, n, percent)))
     named = classes.select("key", "rep", "least").join(comps, F.col("rep") == F.col("node"), "left").select("key", "least", "component")

@@ -8,6 +8,7 @@ import re
 import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -315,6 +316,18 @@ def test_pack_prefers_room_in_the_needed_dimension():
     assert np.ptp(loads, axis=0).tolist() == [0, 0, 0]
 
 
+def test_near_duplicates_keep_no_prefixes(spark, monkeypatch):
+    # Written tables of prefixes and segments take the most disk, and go once they have been read.
+    written, plain = [], ngram_join.materialize
+    monkeypatch.setattr(ngram_join, "materialize", lambda df, name: (written.append(plain(df, name)), written[-1])[1])
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words[: 40 + i % 3]), "s") for i in range(12)] + [(20, " ".join(words[::-1]), "s"), (21, None, "s")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(make(spark, rows)).collect()}
+    assert got == {i: (36 + i % 3, 0) for i in range(12)} | {20: (56, 20), 21: (0, 21)}
+    wide = [df for df in written if {"prefix", "segment"} & set(df.columns)]
+    assert len(wide) >= 3 and not any(Path(df._written_to.removeprefix("file:")).exists() for df in wide)
+
+
 # --- 9: quality
 
 
