@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,8 +37,8 @@ PERCENT = 80
 FRAGMENTS = 4
 #: Ranges of hashes for which a set's sizes are kept: the sum of the lesser sizes bounds an overlap.
 PARTS = 128
-#: Bits of a table of hashes; its size doesn't depend on the input's.  One marks the
-#: frequent n-grams, another the texts that are no candidates and needn't be cut.
+#: Bits of a table of hashes; its size doesn't depend on the input's.  They mark
+#: frequent n-grams, keys of several rows, buckets, and texts that are to be cut; all that matters is checked exactly.
 FILTER_BITS = 1 << 27
 #: About so many n-grams are marked as frequent; which ones depends on their counts.
 MARKED = FILTER_BITS // 8
@@ -109,10 +110,20 @@ def bit_table(ids: DataFrame, column: str) -> np.ndarray:
 
 
 def is_set(table: np.ndarray, values: np.ndarray) -> np.ndarray:
-    place = (values & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+    place = (values & np.uint64(8 * len(table) - 1)).astype(np.int64)
     return ((table[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)
 
 
+def marked(sent: Broadcast, column: Column) -> Column:
+    """Whether a sent table of bits has that of the column's 64-bit value, by chance too; other columns don't go to Python."""
+
+    @F.arrow_udf("boolean")
+    def found(values: pa.Array) -> pa.Array:
+        return pa.array(is_set(sent.value, values.to_numpy(zero_copy_only=False).view(np.uint64)))
+
+    return found(column)
+
+
 def frequent_ngrams(docs: DataFrame, n: int, percent: int) -> np.ndarray:
     """Bit table of n-grams that several documents have near the start of the order of hashes.
 
@@ -132,9 +143,9 @@ def frequent_ngrams(docs: DataFrame, n: int, percent: int) -> np.ndarray:
     least = max(levels, default=1)
     while least > 1 and sum(v for k, v in levels.items() if k >= least - 1) <= MARKED:
         least -= 1
-    marked = bit_table(counts.filter(F.col("c") >= (1 << least)), "h")
+    frequent = bit_table(counts.filter(F.col("c") >= (1 << least)), "h")
     discard(counts)
-    return marked
+    return frequent
 
 
 def ordered(h: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -149,7 +160,7 @@ def _sizes(h: np.ndarray) -> bytes | None:
 
 
 def n_gram_sets(docs: DataFrame, frequent: np.ndarray, n: int, percent: int) -> DataFrame:
-    """``doc_id, rid, n, key`` (128-bit hash of the set; null if empty), ``prefix`` and ``sizes``."""
+    """``doc_id, rid, n, key`` (128-bit hash of the set; null if empty), ``prefix`` and ``sizes``, written."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def sets(t: pa.Table) -> pa.Table:
@@ -165,11 +176,28 @@ def n_gram_sets(docs: DataFrame, frequent: np.ndarray, n: int, percent: int) ->
         })
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(docs, sets, f"doc_id {kind}, rid bigint, n bigint, key binary, prefix array<bigint>, sizes binary")
+    out = materialize(map_arrow(docs, sets, f"doc_id {kind}, rid bigint, n bigint, key binary, prefix array<bigint>, sizes binary"), "sets")
+    sent.destroy()
+    return out
+
+
+def copied_classes(wide: DataFrame, sent: Broadcast) -> DataFrame:
+    """Classes ``key, rep, least, n, prefix, sizes`` of the rows of written sets whose keys are marked in ``sent``, written."""
+    return materialize(
+        wide.filter(F.col("key").isNotNull()).filter(marked(sent, F.xxhash64("key"))).groupBy("key")
+        .agg(F.min("rid").alias("rep"), F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "prefix", "sizes")]),
+        "classes",
+    )
+
+
+def lone_classes(wide: DataFrame, sent: Broadcast) -> DataFrame:
+    """The other rows, each a class of its own: their prefixes are neither shuffled nor written again."""
+    lone = wide.filter(F.col("key").isNotNull()).filter(~marked(sent, F.xxhash64("key")))
+    return lone.select("key", F.col("rid").alias("rep"), F.col("doc_id").alias("least"), "n", "prefix", "sizes")
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """``h, rep, n, pos`` of n-grams that two or more classes have in their prefixes, ``rare``, and ``e1`` to ``e4``.
+    """``h, rep, n, pos`` of n-grams that two or more classes have in their prefixes, ``rare``, and ``e1`` to ``e4``, written.
 
     ``rare`` counts the class's n-grams in the prefix that no other has there.  The last are the n-grams before ``h`` in the class's prefix that may be shared
     (0: none).  A table of bits skips most rows that the join would drop.
@@ -177,6 +205,7 @@ def buckets(classes: DataFrame) -> DataFrame:
     several = materialize(
         classes.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h"), "several"
     )
+    release(classes.sparkSession)
     sent = classes.sparkSession.sparkContext.broadcast(bit_table(several, "h"))
 
     def rows(t: pa.Table) -> pa.Table | None:
@@ -196,7 +225,10 @@ def buckets(classes: DataFrame) -> DataFrame:
         return pa.table(out)
 
     schema = "h bigint, rep bigint, n bigint, pos bigint, rare bigint" + "".join(f", e{k} bigint" for k in range(1, EARLIER + 1))
-    return map_arrow(classes.select("rep", "n", "prefix"), rows, schema).join(several, "h", "left_semi")
+    out = materialize(map_arrow(classes.select("rep", "n", "prefix"), rows, schema).join(several, "h", "left_semi"), "members")
+    sent.destroy()
+    discard(several)
+    return out
 
 
 def leader_pairs(members: DataFrame, percent: int) -> DataFrame:
@@ -252,8 +284,27 @@ def _dealt(members: DataFrame) -> DataFrame:
     )
 
 
-def open_pairs(members: DataFrame, percent: int, chunk: int = 1 << 20) -> DataFrame:
-    """Pairs ``a, na, b, nb`` of a bucket in different components whose bounds allow a link.
+def _states(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """``h, m, mixed``, written: a bucket's rows, and whether they are of several components.  Small buckets of one component are left out."""
+    of = members.select("h", "rep").join(comps, F.col("rep") == F.col("node"), "left").select("h", F.coalesce("component", "rep").alias("comp"))
+    found = of.groupBy("h").agg(F.count(F.lit(1)).alias("m"), (F.min("comp") != F.max("comp")).alias("mixed"))
+    return materialize(found.filter(F.col("mixed") | (F.col("m") > BLOCK_ROWS)), "states")
+
+
+def _still_open(members: DataFrame, comps: DataFrame, sizes: DataFrame, states: DataFrame, sent: Broadcast) -> DataFrame:
+    """Members with their components and sizes, of the buckets that still have more than one; ``m`` is the bucket's rows, or 1 if it is small.
+
+    A table of bits finds the buckets, so only rows that are asked for are shuffled; a small bucket may
+    come by chance.  Those with over ``BLOCK_ROWS`` rows, so at most one for as many rows, are broadcast.
+    """
+    large = states.filter(F.col("m") > BLOCK_ROWS)
+    rows = members.filter(marked(sent, F.col("h"))).join(F.broadcast(large), "h", "left").filter(F.coalesce("mixed", F.lit(True))).withColumn("m", F.coalesce("m", F.lit(1).cast("bigint")))
+    where = sizes.join(comps, F.col("rep") == F.col("node"), "left").select("rep", "sizes", F.coalesce("component", "rep").alias("comp"))
+    return rows.join(where, "rep")
+
+
+def open_pairs(members: DataFrame, comps: DataFrame, sizes: DataFrame, percent: int, chunk: int = 1 << 20) -> DataFrame:
+    """Pairs ``a, na, b, nb`` of a bucket in different components whose bounds allow a link, written.
 
     Of the pair's buckets only those list it in whose rows no earlier n-gram is
     the same, among them that of its first shared n-gram.  The overlap is at most
@@ -304,15 +355,24 @@ def open_pairs(members: DataFrame, percent: int, chunk: int = 1 << 20) -> DataFr
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _runs(batches, "g"):
-            order = np.lexsort((r["rep"], r["n"], r["g"]))
-            yield from listed(r, order)
-
-    dealt = _dealt(members).select(*narrow).repartition("g").sortWithinPartitions("g")
-    return dealt.mapInArrow(scan, "a bigint, na bigint, b bigint, nb bigint").distinct()
+            first = np.flatnonzero(np.concatenate([[True], r["g"][1:] != r["g"][:-1]]))
+            mixed = np.minimum.reduceat(r["comp"], first) != np.maximum.reduceat(r["comp"], first)
+            part = np.flatnonzero(np.repeat(mixed, np.diff(np.append(first, len(r["g"])))))
+            if len(part):
+                yield from listed(r, part[np.lexsort((r["rep"][part], r["n"][part], r["g"][part]))])
+
+    states = _states(members, comps)
+    release(members.sparkSession)
+    sent = members.sparkSession.sparkContext.broadcast(bit_table(states.filter("mixed"), "h"))
+    dealt = _dealt(_still_open(members, comps, sizes, states, sent)).select(*narrow).repartition("g").sortWithinPartitions("g")
+    out = materialize(dealt.mapInArrow(scan, "a bigint, na bigint, b bigint, nb bigint").distinct(), "open")
+    sent.destroy()
+    discard(states)
+    return out
 
 
 def segments(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
-    """``rep, fragment, segment`` of each class of ``members`` (column ``rep``).
+    """``rep, fragment, segment`` of each class of ``members`` (a row for each ``rep``) and its other columns, written.
 
     Texts are read again; a filter of bounded size skips most that aren't
     asked for, and the join drops what the filter lets through by chance.
@@ -332,13 +392,18 @@ def segments(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
         return pa.table({"rep": np.repeat(np.array(ids, np.int64), FRAGMENTS), "fragment": np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(ids)), "segment": _lists(parts)})
 
     found = map_arrow(docs.select("rid", "__bytes"), cut, "rep bigint, fragment int, segment array<bigint>")
-    return found.join(members.select("rep"), "rep", "left_semi").dropDuplicates(["rep", "fragment"])
+    out = materialize(found.join(members, "rep").dropDuplicates(["rep", "fragment"]), "segments")
+    sent.destroy()
+    return out
 
 
 def verified(pairs: DataFrame, segs: DataFrame, percent: int) -> DataFrame:
-    """``a, b`` of those pairs ``a, na, b, nb`` that link: partial overlaps by fragment, summed for each pair."""
-    left = segs.select(F.col("rep").alias("b"), "fragment", F.col("segment").alias("__sb"))
-    right = segs.select(F.col("rep").alias("a"), "fragment", F.col("segment").alias("__sa"))
+    """``a, b`` of those pairs ``a, na, b, nb`` that link: partial overlaps by fragment, summed for each pair.
+
+    Segments have ``as_a`` and ``as_b``, whether a pair has their class there.
+    """
+    left = segs.filter("as_b").select(F.col("rep").alias("b"), "fragment", F.col("segment").alias("__sb"))
+    right = segs.filter("as_a").select(F.col("rep").alias("a"), "fragment", F.col("segment").alias("__sa"))
     partial = (
         pairs.join(left, "b").join(right, ["a", "fragment"])
         .select("a", "na", "b", "nb", F.size(F.array_intersect("__sa", "__sb")).alias("o"))
@@ -350,8 +415,9 @@ def verified(pairs: DataFrame, segs: DataFrame, percent: int) -> DataFrame:
 def linked(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of the written ``pairs`` that link, written."""
     release(docs.sparkSession)
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    segs = materialize(segments(docs, asked, n), "segments")
+    sides = F.array(*[F.struct(F.col(c).alias("rep"), F.lit(c == "a").alias("as_a"), F.lit(c == "b").alias("as_b")) for c in ("a", "b")])
+    asked = pairs.select(F.inline(sides)).groupBy("rep").agg(F.bool_or("as_a").alias("as_a"), F.bool_or("as_b").alias("as_b"))
+    segs = segments(docs, asked, n)
     release(docs.sparkSession)
     out = materialize(verified(pairs, segs, percent), "links")
     discard(segs, pairs)
@@ -359,13 +425,6 @@ def linked(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame
     return out
 
 
-def _still_open(members: DataFrame, comps: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Members with their components and sizes, of the buckets that still have more than one; ``m`` is the bucket's rows."""
-    now = members.join(comps, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep")).drop("node", "component")
-    several = now.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi").select("h", "m")
-    return now.join(several, "h").join(sizes, "rep")
-
-
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
     """``key, n_shingles, component_id`` for each row of ``docs``.
 
@@ -382,23 +441,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     source = _bytes_of(docs, key, text)
     frequent = frequent_ngrams(source, n, percent)
     release(spark)
-    # Prefixes are the most of these tables, so each is written again without them as soon as they have been read.
-    wide = materialize(n_gram_sets(source, frequent, n, percent), "sets")
-    whole = materialize(
-        wide.filter(F.col("key").isNotNull()).groupBy("key")
-        .agg(F.min("rid").alias("rep"), F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "prefix", "sizes")]),
-        "classes",
-    )
-    sets = materialize(wide.select("doc_id", "n", "key"), "rows")
-    discard(wide)
+    # Prefixes are the most of these tables: only those of keys with several rows are shuffled and written again.
+    wide = n_gram_sets(source, frequent, n, percent)
+    several = wide.filter(F.col("key").isNotNull()).groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    sent = spark.sparkContext.broadcast(bit_table(several.select(F.xxhash64("key").alias("k")), "k"))
+    copied = copied_classes(wide, sent)
     release(spark)
-    members = materialize(buckets(whole), "members")
+    whole = lone_classes(wide, sent).unionByName(copied)
+    members = buckets(whole)
     classes = materialize(whole.select("key", "rep", "least", "sizes"), "named")
-    discard(whole)
+    sets = materialize(wide.select("doc_id", "n", "key"), "rows")
+    discard(wide, copied)
+    sent.destroy()
     release(spark)
     links = linked(source, materialize(leader_pairs(members, percent), "pairs"), n, percent)
     comps = connected_components(links)
-    more = materialize(open_pairs(_still_open(members, comps, classes.select("rep", "sizes")), percent), "open")
+    release(spark)
+    more = open_pairs(members, comps, classes.select("rep", "sizes"), percent)
     discard(members)
     release(spark)
     if not more.isEmpty():

@@ -328,6 +328,60 @@ def test_near_duplicates_keep_no_prefixes(spark, monkeypatch):
     assert len(wide) >= 3 and not any(Path(df._written_to.removeprefix("file:")).exists() for df in wide)
 
 
+def test_near_duplicates_write_prefixes_of_lone_rows_once(spark, monkeypatch):
+    # Only rows of sets that several rows have are grouped, so prefixes of the others are neither shuffled nor written again.
+    rows_of, plain = {}, ngram_join.materialize
+
+    def spy(df, name):
+        out = plain(df, name)
+        if "prefix" in out.columns:
+            rows_of[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", spy)
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(30)), "s") for i in range(40)] + [(50 + i, " ".join(f"w{i}x{k}" for k in range(30)), "s") for i in range(3)]
+    got = {tuple(r) for r in ngram_join.near_duplicates(make(spark, rows)).collect()}
+    assert got == {(i, 26, i) for i in range(40)} | {(50 + i, 26, i) for i in range(3)}
+    assert rows_of == {"sets": 43, "classes": 3}
+
+
+def test_near_duplicates_cut_segments_once_and_know_their_sides(spark, monkeypatch):
+    tables, plain = {}, ngram_join.materialize
+
+    def spy(df, name):
+        out = plain(df, name)
+        if name in ("pairs", "segments") and name not in tables:
+            tables[name] = out.collect()
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", spy)
+    rows = [(i, " ".join(f"w{i // 2}x{k}" for k in range(60 + i % 2)), "s") for i in range(12)]
+    got = {tuple(r) for r in ngram_join.near_duplicates(make(spark, rows)).collect()}
+    assert got == {(i, 56 + i % 2, i - i % 2) for i in range(12)}
+    pairs, found = tables["pairs"], tables["segments"]
+    assert len(pairs) == 6 and len(found) == 12 * ngram_join.FRAGMENTS
+    assert {r.rep for r in found if r.as_a} == {p.a for p in pairs} and {r.rep for r in found if r.as_b} == {p.b for p in pairs}
+
+
+@pytest.mark.parametrize("block", [4096, 20])
+def test_near_duplicates_with_bits_that_are_all_set(spark, monkeypatch, block):
+    # Tables of bits may let anything through: the result doesn't depend on them.
+    monkeypatch.setattr(ngram_join, "FILTER_BITS", 1 << 15)
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block)
+    rng = random.Random(4)
+    template = [f"t{i}" for i in range(60)]
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(600)), "s") for i in range(150)]
+    for k in range(120):
+        w = template[:]
+        for _ in range(rng.choice([0, 1, 2, 4])):
+            w[rng.randrange(60)] = f"e{rng.randrange(30)}"
+        rows.append((200 + k, " ".join(w), "s"))
+    rows += [(900 + k, rows[k][1], "s") for k in range(5)] + [(950, None, "s"), rows[160]]
+    want = brute_components(rows)
+    got = ngram_join.near_duplicates(make(spark, rows)).collect()
+    assert len(got) == len(rows) and {tuple(r) for r in got} == want
+
+
 # --- 9: quality
 
 
