@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import decontamination, mixing, ngram_join, quality, sharding
-from lodestrata.llm.common import materialize, row_digest, table
+from lodestrata.llm.common import materialize, release, row_digest, table
 
 #: Share of a document's words that benchmark passages may cover before it goes.
 MAX_HIT_SHARE = 0.0
@@ -21,6 +21,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the classifier rejects (score under 0.5); repeated rows share their score, null texts that of no features."""
     model = quality.train(docs, table(spark, sf_dir, "labels"), "quality", held_out=1, modulus=3)
+    release(spark)
     return quality.score(docs, model, out="__score").filter(F.col("__score") >= 0.5).select(*docs.columns)
 
 
@@ -48,6 +49,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     keyed = docs.select(row_digest("doc_id", "text").alias("__row"), "text")
     found = decontamination.decontaminate(keyed, table(spark, sf_dir, "benchmark"), key="__row")
     gone = materialize(found.filter(F.col("n_hit") > F.col("n_words") * MAX_HIT_SHARE).select("__row"), "hit")
+    release(spark)
     return _without(docs, gone).select(*docs.columns)
 
 
@@ -56,7 +58,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     A null source is a source; texts without words are drawn at their source's rate.
     """
-    return mixing.emit(docs, mixing.mix(mixing.sized(docs.withColumn("__row", row_digest("doc_id", "text")))))
+    mixed = mixing.mix(mixing.sized(docs.withColumn("__row", row_digest("doc_id", "text"))))
+    release(spark)
+    return mixing.emit(docs, mixed)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,13 +51,36 @@ def discard(*tables: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark remove shuffle files of jobs whose results are written.
+    """Lets Spark remove shuffle files of jobs whose results are written, and gives the driver's free memory back.
 
     Spark drops them when the driver collects its garbage, which a driver with
-    little to do rarely does by itself; until then they take disk.
+    little to do rarely does by itself; until then they take disk.  What the JVM has
+    freed outside its heap stays with its allocator and adds up over a run's jobs.
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    give_back()
+    trim_jvm(spark)
+
+
+def trim_jvm(spark: SparkSession) -> None:
+    """Has the driver's JVM return free memory outside its heap to the system; one that has no such command keeps it."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+
+    def array(kind: object, *values: object) -> object:
+        out = gateway.new_array(kind, len(values))
+        for i, v in enumerate(values):
+            out[i] = v
+        return out
+
+    named = jvm.java.lang.Class.forName
+    kinds = ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")
+    # By the interface, for the server's own class isn't open.
+    invoke = named("javax.management.MBeanServerConnection").getMethod("invoke", array(jvm.java.lang.Class, *map(named, kinds)))
+    commands = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    given = array(jvm.Object, commands, "systemTrimNativeHeap", array(jvm.Object, array(jvm.String)), array(jvm.String, kinds[-1]))
+    with contextlib.suppress(Py4JJavaError):  # a JVM before 17.0.9, or of another system
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
 
 
 def ascii_lower(c: Column) -> Column:

@@ -104,8 +104,8 @@ def bit_table(ids: DataFrame, column: str) -> np.ndarray:
     )
     got = rows.toArrow()
     out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for k, bits in zip(got.column("k").to_pylist(), got.column("bits").to_pylist(), strict=True):
-        out[(k - 1) * 4096 : k * 4096] = np.frombuffer(bits, np.uint8)
+    for k, bits in zip(got.column("k").to_pylist(), got.column("bits"), strict=True):
+        out[(k - 1) * 4096 : k * 4096] = np.frombuffer(bits.as_buffer(), np.uint8)
     return out
 
 
@@ -443,6 +443,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     release(spark)
     # Prefixes are the most of these tables: only those of keys with several rows are shuffled and written again.
     wide = n_gram_sets(source, frequent, n, percent)
+    del frequent  # the driver holds a table of bits only until it is read
     several = wide.filter(F.col("key").isNotNull()).groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     sent = spark.sparkContext.broadcast(bit_table(several.select(F.xxhash64("key").alias("k")), "k"))
     copied = copied_classes(wide, sent)
@@ -453,6 +454,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     sets = materialize(wide.select("doc_id", "n", "key"), "rows")
     discard(wide, copied)
     sent.destroy()
+    del sent
     release(spark)
     links = linked(source, materialize(leader_pairs(members, percent), "pairs"), n, percent)
     comps = connected_components(links)

@@ -6,6 +6,7 @@ import math
 import random
 import re
 import time
+import weakref
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -15,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.llm import decontamination, mixing, ngram_join, quality, sharding, toxicity
-from lodestrata.llm.common import row_digest
+from lodestrata.llm.common import release, row_digest
 from lodestrata.llm.components import connected_components
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -316,6 +317,45 @@ def test_pack_prefers_room_in_the_needed_dimension():
     assert np.ptp(loads, axis=0).tolist() == [0, 0, 0]
 
 
+def test_release_gives_back_what_the_jvm_freed_outside_its_heap(spark):
+    jvm = spark.sparkContext._jvm
+    status = Path(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/smaps_rollup")
+    held = lambda: int(re.search(r"\nPss_Anon:\s+(\d+)", status.read_text())[1]) / 1024
+    jvm.System.gc()
+    # Each has some 256 KB of its own; a few that stay keep the rest from going by itself.
+    made = [jvm.java.util.zip.Deflater() for _ in range(400)]
+    for i, x in enumerate(made):
+        if i % 40 != 39:
+            x.end()
+    jvm.System.gc()
+    before = held()
+    release(spark)
+    after = held()
+    for x in made:
+        x.end()
+    assert after < before - 50
+
+
+def test_near_duplicates_hold_no_tables_of_bits_on_the_driver(spark, monkeypatch):
+    made, alive, plain, pairs = [], [], ngram_join.bit_table, ngram_join.open_pairs
+
+    def noted(*args):
+        table = plain(*args)
+        made.append(weakref.ref(table))
+        return table
+
+    def counted(*args):
+        alive.append(sum(x() is not None for x in made))
+        return pairs(*args)
+
+    monkeypatch.setattr(ngram_join, "bit_table", noted)
+    monkeypatch.setattr(ngram_join, "open_pairs", counted)
+    rows = corpus(4)
+    got = ngram_join.near_duplicates(make(spark, rows)).select("doc_id", "component_id").collect()
+    assert {tuple(r) for r in got} == {(i, c) for i, _, c in brute_components(rows)}
+    assert len(made) >= 4 and alive == [0]
+
+
 def test_near_duplicates_keep_no_prefixes(spark, monkeypatch):
     # Written tables of prefixes and segments take the most disk, and go once they have been read.
     written, plain = [], ngram_join.materialize
